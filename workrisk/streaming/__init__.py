@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference processes whole files in batch: it has no watermarks, time
+windows, stateful operators or late data, so nothing is built here. Every
+operator in ``workrisk.operators`` is a pure DataFrame function and therefore
+also runs unchanged inside ``foreachBatch`` if inputs arrive incrementally.
+"""
