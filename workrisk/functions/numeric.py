@@ -12,7 +12,7 @@ def _c(c) -> Column:
 
 def dirty_to_double(c) -> Column:
     """Dirty numeric text (``1,234``, ``*``, ``#``, blanks) -> double or NULL."""
-    return F.try_cast(F.replace(F.trim(_c(c).cast("string")), F.lit(","), F.lit("")), "double")
+    return F.replace(F.trim(_c(c).cast("string")), F.lit(","), F.lit("")).try_cast("double")
 
 
 def nan_to_null(c) -> Column:
