@@ -30,7 +30,7 @@ def _norm(v, places=6):
     return v
 
 
-def compare(spark_df, con, sql, places=6, show=5):
+def compare(spark_df, con, sql, places=9, show=5):
     """Return (ok, message). Columns are matched by name; rows order-insensitively."""
     sp_cols = sorted(spark_df.columns)
     rows = [tuple(_norm(r[c], places) for c in sp_cols) for r in spark_df.collect()]

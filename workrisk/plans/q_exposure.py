@@ -17,30 +17,30 @@ def _result(spark, d) -> X.ExposureResult:
     return X.exposure_index(domain.employment(spark, d), domain.tech(spark, d), domain.apps(spark, d))
 
 
-GROUP_DOUBLES = ("TOT_EMP", "economic_value", "automation_susceptibility", "enhanced_automation_risk",
-                 "estimated_zapier_apps", "zapier_apps_per_worker", "potential_econ_value_at_risk",
-                 "current_econ_value_at_risk", "minor_potential_index", "minor_iceberg_index",
+GROUP_MONEY = ("TOT_EMP", "economic_value", "potential_econ_value_at_risk", "current_econ_value_at_risk")
+GROUP_DOUBLES = ("automation_susceptibility", "enhanced_automation_risk",
+                 "estimated_zapier_apps", "zapier_apps_per_worker", "minor_potential_index", "minor_iceberg_index",
                  "automation_gap", "weighted_iceberg_index")
 
 
-@query("exposure_index_by_group", sql="SELECT * FROM groups", views=("groups",), rounded=GROUP_DOUBLES,
+@query("exposure_index_by_group", sql="SELECT * FROM groups", views=("groups",), rounded=GROUP_DOUBLES, money=GROUP_MONEY,
        group="exposure", ops=("S1", "P1", "P4", "P6", "F1", "F2", "F3", "J1", "J2", "J3", "P7", "P8", "P9",
                               "P10", "P11", "P12", "A1", "A2", "A3", "A4", "W1"))
 def exposure_index_by_group(spark, d):
     return _result(spark, d).groups
 
 
-SUMMARY_DOUBLES = ("potential_ratio", "iceberg_ratio", "automation_gap", "total_employment",
-                   "potential_employment_at_risk", "current_employment_at_risk", "pct_potential_employment_at_risk",
-                   "pct_current_employment_at_risk", "economic_value_total", "potential_economic_value_at_risk",
-                   "current_economic_value_at_risk", "pct_potential_economic_value_at_risk",
+SUMMARY_MONEY = ("total_employment", "potential_employment_at_risk", "current_employment_at_risk",
+                 "economic_value_total", "potential_economic_value_at_risk", "current_economic_value_at_risk")
+SUMMARY_DOUBLES = ("potential_ratio", "iceberg_ratio", "automation_gap", "pct_potential_employment_at_risk",
+                   "pct_current_employment_at_risk", "pct_potential_economic_value_at_risk",
                    "pct_current_economic_value_at_risk")
 
 
 @query("area_summary", sql="""
   SELECT * REPLACE (coalesce(array_to_string(highest_risk_industries, '|'), '') AS highest_risk_industries,
                     coalesce(array_to_string(lowest_risk_industries, '|'), '') AS lowest_risk_industries)
-  FROM summary""", views=("summary",), rounded=SUMMARY_DOUBLES, group="exposure", ops=("A5", "W3", "D1"))
+  FROM summary""", views=("summary",), rounded=SUMMARY_DOUBLES, money=SUMMARY_MONEY, group="exposure", ops=("A5", "W3", "D1"))
 def area_summary(spark, d):
     s = _result(spark, d).summary
     return (s.withColumn("highest_risk_industries", F.array_join("highest_risk_industries", "|"))
@@ -51,12 +51,13 @@ OCC_COLS = ("AREA_TITLE", "minor_group", "minor_group_name", "SOC_Code_Cleaned",
             "economic_value", "automation_susceptibility", "automation_risk_category", "is_potentially_at_risk",
             "potential_index", "enhanced_automation_risk", "enhanced_risk_category", "is_currently_at_risk",
             "estimated_zapier_apps", "zapier_apps_per_worker", "econ_potential_index")
-OCC_DOUBLES = ("TOT_EMP", "A_MEAN", "economic_value", "automation_susceptibility", "potential_index",
+OCC_MONEY = ("TOT_EMP", "A_MEAN", "economic_value")
+OCC_DOUBLES = ("automation_susceptibility", "potential_index",
                "enhanced_automation_risk", "estimated_zapier_apps", "zapier_apps_per_worker", "econ_potential_index")
 
 
 @query("occupation_details", sql=f"SELECT {', '.join(OCC_COLS)} FROM occupations", views=("occupations",),
-       rounded=OCC_DOUBLES, group="exposure", ops=("P11", "P12", "P13", "P35", "P36"))
+       rounded=OCC_DOUBLES, money=OCC_MONEY, group="exposure", ops=("P11", "P12", "P13", "P35", "P36"))
 def occupation_details(spark, d):
     return _result(spark, d).occupations.select(*OCC_COLS)
 
@@ -139,6 +140,6 @@ def dedup_first(spark, d):
         FROM occ_levels GROUP BY AREA_TITLE) s
   LEFT JOIN (SELECT AREA_TITLE, min(TOT_EMP) AS official_total FROM emp_clean WHERE O_GROUP = 'total'
              GROUP BY AREA_TITLE) t ON s.AREA_TITLE = t.AREA_TITLE""", views=("occ_levels", "emp_clean"),
-       rounded=("official_total", "calculated_total", "discrepancy_pct"), group="exposure", ops=("A6",))
+       rounded=("discrepancy_pct",), money=("official_total", "calculated_total"), group="exposure", ops=("A6",))
 def quality_report(spark, d):
     return employment_quality(domain.employment(spark, d))

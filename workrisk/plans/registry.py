@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from workrisk.plans.sql import with_views
 
-PLACES = 6
+PLACES = 9  # fixed-decimal inputs make ties at 6 places likely (e.g. means over 2^k rows)
+MONEY_PLACES = 2  # sums of ~1e12 differ between engines in the last bits
 
 
 @dataclass
@@ -32,27 +33,33 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def round_cols(df: DataFrame, cols) -> DataFrame:
-    cols = set(cols)
-    return df.select(*[F.round(F.col(c), PLACES).alias(c) if c in cols else F.col(c) for c in df.columns])
+def _places(c: str, money) -> int:
+    return MONEY_PLACES if c in money else PLACES
 
 
-def sql_round(body: str, cols) -> str:
+def round_cols(df: DataFrame, cols, money=()) -> DataFrame:
+    cols = set(cols) | set(money)
+    return df.select(*[F.round(F.col(c), _places(c, money)).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
+
+
+def sql_round(body: str, cols, money=()) -> str:
+    cols = list(dict.fromkeys(list(cols) + list(money)))
     if not cols:
         return body
-    rep = ", ".join(f"round({c}, {PLACES}) AS {c}" for c in cols)
+    rep = ", ".join(f"round({c}, {_places(c, money)}) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) q"
 
 
 def query(name: str, *, sql: str | None, views: tuple[str, ...] = (), rounded: tuple[str, ...] = (),
-          group: str = "", ops: tuple[str, ...] = ()):
+          money: tuple[str, ...] = (), group: str = "", ops: tuple[str, ...] = ()):
     """Decorator registering ``fn(spark, sf_dir) -> DataFrame`` with its oracle."""
 
     def deco(fn):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_cols(fn(spark, sf_dir), rounded)
+            return round_cols(fn(spark, sf_dir), rounded, money)
 
-        full_sql = None if sql is None else sql_round(with_views(sql, *views), rounded)
+        full_sql = None if sql is None else sql_round(with_views(sql, *views), rounded, money)
         REGISTRY[name] = Query(name, build, full_sql, tuple(rounded), group, tuple(ops))
         return fn
 
