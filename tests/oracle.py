@@ -20,7 +20,7 @@ def _norm(v, places=6):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, places)
+        return round(v, places) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x, places) for x in v)
     if isinstance(v, dict):

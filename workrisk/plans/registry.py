@@ -33,33 +33,34 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def _places(c: str, money) -> int:
-    return MONEY_PLACES if c in money else PLACES
+def _places(c: str, money, places: int) -> int:
+    return MONEY_PLACES if c in money else places
 
 
-def round_cols(df: DataFrame, cols, money=()) -> DataFrame:
+def round_cols(df: DataFrame, cols, money=(), places: int = PLACES) -> DataFrame:
     cols = set(cols) | set(money)
-    return df.select(*[F.round(F.col(c), _places(c, money)).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    # "+ 0.0" turns a rounded -0.0 into 0.0 on both engines.
+    return df.select(*[(F.round(F.col(c), _places(c, money, places)) + F.lit(0.0)).alias(c) if c in cols
+                       else F.col(c) for c in df.columns])
 
 
-def sql_round(body: str, cols, money=()) -> str:
+def sql_round(body: str, cols, money=(), places: int = PLACES) -> str:
     cols = list(dict.fromkeys(list(cols) + list(money)))
     if not cols:
         return body
-    rep = ", ".join(f"round({c}, {_places(c, money)}) AS {c}" for c in cols)
+    rep = ", ".join(f"round({c}, {_places(c, money, places)}) + 0.0 AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) q"
 
 
 def query(name: str, *, sql: str | None, views: tuple[str, ...] = (), rounded: tuple[str, ...] = (),
-          money: tuple[str, ...] = (), group: str = "", ops: tuple[str, ...] = ()):
-    """Decorator registering ``fn(spark, sf_dir) -> DataFrame`` with its oracle."""
-
+          money: tuple[str, ...] = (), places: int = PLACES, group: str = "", ops: tuple[str, ...] = ()):
+    """``places``: 9 by default; 6 for outputs of long floating sums (fewer
+    rounding-boundary straddles between engines)."""
     def deco(fn):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_cols(fn(spark, sf_dir), rounded, money)
+            return round_cols(fn(spark, sf_dir), rounded, money, places)
 
-        full_sql = None if sql is None else sql_round(with_views(sql, *views), rounded, money)
+        full_sql = None if sql is None else sql_round(with_views(sql, *views), rounded, money, places)
         REGISTRY[name] = Query(name, build, full_sql, tuple(rounded), group, tuple(ops))
         return fn
 
