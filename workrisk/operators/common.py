@@ -21,5 +21,5 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, tiebreak:
     s1 = (df.withColumn("_salt", salt)
             .withColumn("_r1", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*full)))
             .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
-    return (s1.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*full)))
+    return (s1.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*full)).cast("bigint"))
               .filter(F.col(rank_col) <= k))

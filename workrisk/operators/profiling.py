@@ -126,7 +126,7 @@ def n_largest(df: DataFrame, col: str, n: int, tiebreak: str, smallest: bool = F
     o = F.col(col).asc_nulls_last() if smallest else F.col(col).desc_nulls_last()
     w = Window.orderBy(o, F.col(tiebreak).asc())
     # limit-based top-n: Spark plans TakeOrderedAndProject (per-partition top-n, then merge).
-    return df.orderBy(o, F.col(tiebreak).asc()).limit(n).withColumn("rank", F.row_number().over(w))
+    return df.orderBy(o, F.col(tiebreak).asc()).limit(n).withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -79,8 +79,9 @@ register("detailed_opp", ("detailed", "opp_hp"), """
 register("sector_roll", ("detailed_opp",), """
   SELECT CASE WHEN grouping(AREA_TITLE) = 0 THEN AREA_TITLE ELSE 'National' END AS area, sector,
          coalesce(sum(TOT_EMP), 0.0) AS employment, coalesce(sum(economic_value), 0.0) AS economic_value,
-         coalesce(sum(CASE WHEN perc_ile_thresholded_risk THEN RISK_EMP END), 0) AS risk_employment,
-         coalesce(sum(CASE WHEN perc_ile_thresholded_risk THEN AT_RISK_ECONOMIC_VALUE END), 0) AS risk_economic_value,
+         CAST(coalesce(sum(CASE WHEN perc_ile_thresholded_risk THEN RISK_EMP END), 0) AS BIGINT) AS risk_employment,
+         CAST(coalesce(sum(CASE WHEN perc_ile_thresholded_risk THEN AT_RISK_ECONOMIC_VALUE END), 0) AS BIGINT)
+           AS risk_economic_value,
          count_if(perc_ile_thresholded_risk) AS risk_occupations,
          coalesce(sum(CASE WHEN is_opp THEN TOT_EMP END), 0.0) AS opportunity_employment,
          coalesce(sum(CASE WHEN is_opp THEN economic_value END), 0.0) AS opportunity_economic_value,

@@ -92,7 +92,7 @@ def label_density(spark, d):
     return r.withColumn("label_sum", F.col("label_sum").cast("bigint"))
 
 
-@query("label_count", sql="SELECT count(*) AS n, sum(label) AS positives FROM score_labels",
+@query("label_count", sql="SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM score_labels",
        views=("score_labels",), group="profile", ops=("A18",))
 def label_count(spark, d):
     s = domain.score_labels(spark, d)
