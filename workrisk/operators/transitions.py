@@ -97,28 +97,47 @@ def graph_edges(matrix: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- G6 rank
 
 def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
-             checkpoint_every: int = 10) -> DataFrame:
+             checkpoint_every: int = 10, broadcast_limit: int = 2_000_000) -> DataFrame:
     """Weighted PageRank, fixed iterations, no dangling redistribution.
 
     n = nodes touching at least one edge; start 1/n; new = (1-a)/n + a * sum(rank * w).
-    Edges are materialised once (partitioned by src for the per-iteration
-    join); the rank vector is checkpointed every ``checkpoint_every``
-    iterations so the lineage stays bounded and the job survives executor loss.
+    Edges (plus a zero-weight self-loop per node, so that every node is a
+    destination) are checkpointed once, hash-partitioned by ``dst`` and
+    cached: the per-iteration aggregation by ``dst`` needs no shuffle. Node
+    codes are replaced by 64-bit hashes (checked for collisions, else the
+    codes themselves are the keys). The rank vector (one row per node) is
+    broadcast when the node count is within ``broadcast_limit``, else joined
+    by shuffle. Ranks are checkpointed every ``checkpoint_every`` iterations
+    (bounded lineage; survives executor loss).
     """
-    e = materialize(edges.select("src", "dst", "weight").repartition("src"))
-    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+    spark = edges.sparkSession
+    e0 = edges.select("src", "dst", "weight")
+    nodes = (e0.select(F.col("src").alias("node")).union(e0.select(F.col("dst").alias("node"))).distinct()
+               .withColumn("id", F.xxhash64("node")))
     nodes = materialize(nodes)
-    n = nodes.count()
+    stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+    n = stats["n"]
+    if stats["ids"] != n:  # hash collision: key on the codes themselves
+        nodes = nodes.withColumn("id", F.col("node"))
+    ids = nodes.select("node", "id")
+    keyed = (e0.join(ids.withColumnRenamed("node", "src").withColumnRenamed("id", "s"), "src")
+               .join(ids.withColumnRenamed("node", "dst").withColumnRenamed("id", "d"), "dst")
+               .select("s", "d", "weight"))
+    loops = ids.select(F.col("id").alias("s"), F.col("id").alias("d"), F.lit(0.0).alias("weight"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = materialize(keyed.unionByName(loops).repartition(parts, "d")).persist()
     base = (1.0 - alpha) / n
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    ranks = ids.select(F.col("id").alias("s"), F.lit(1.0 / n).alias("rank"))
+    small = n <= broadcast_limit
     for it in range(1, max_iter + 1):
-        contrib = (e.join(ranks.withColumnRenamed("node", "src"), "src")
-                    .groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight")).alias("_in")))
-        ranks = (nodes.join(contrib.withColumnRenamed("dst", "node"), "node", "left")
-                      .select("node", (F.lit(base) + F.lit(alpha) * F.coalesce("_in", F.lit(0.0))).alias("rank")))
+        side = F.broadcast(ranks) if small else ranks
+        ranks = (e.join(side, "s").groupBy("d")
+                  .agg((F.lit(base) + F.lit(alpha) * F.sum(F.col("rank") * F.col("weight"))).alias("rank"))
+                  .withColumnRenamed("d", "s"))
         if it % checkpoint_every == 0 or it == max_iter:
             ranks = materialize(ranks)
-    return ranks
+    e.unpersist()
+    return ranks.join(ids.withColumnRenamed("id", "s"), "s").select("node", "rank")
 
 
 # ---------------------------------------------------------------- G7-G9 recommendations

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from workrisk.operators import exposure as X
 from workrisk.operators.quality import employment_quality
 from workrisk.plans import oracle_exposure  # noqa: F401  (registers the oracle CTEs)
 from workrisk.plans.registry import query
+from workrisk.plans.stages import stage
 from workrisk.sources import domain
 
 
 def _result(spark, d) -> X.ExposureResult:
-    return X.exposure_index(domain.employment(spark, d), domain.tech(spark, d), domain.apps(spark, d))
+    return stage(spark, d, "exposure", lambda: X.exposure_index(domain.employment(spark, d), domain.tech(spark, d),
+                                                                domain.apps(spark, d)))
 
 
 GROUP_MONEY = ("TOT_EMP", "economic_value", "potential_econ_value_at_risk", "current_econ_value_at_risk")
@@ -90,8 +90,7 @@ def level_fallback(spark, d):
 @query("wage_fill", sql="SELECT AREA_TITLE, SOC_Code_Cleaned, A_MEAN FROM occ_wage", views=("occ_wage",),
        rounded=("A_MEAN",), group="exposure", ops=("J3",))
 def wage_fill(spark, d):
-    occ = X.occupations(domain.employment(spark, d), domain.tech(spark, d), domain.apps(spark, d))
-    return occ.select(X.AREA, X.CODE, "A_MEAN")
+    return _result(spark, d).occupations.select(X.AREA, X.CODE, "A_MEAN")
 
 
 @query("app_coverage", sql="""
@@ -100,7 +99,7 @@ def wage_fill(spark, d):
        rounded=("estimated_zapier_apps", "zapier_apps_per_worker", "enhanced_automation_risk"),
        group="exposure", ops=("S2", "J2", "A4", "P10"))
 def app_coverage(spark, d):
-    occ = X.occupations(domain.employment(spark, d), domain.tech(spark, d), domain.apps(spark, d))
+    occ = _result(spark, d).occupations
     return occ.select(X.AREA, X.CODE, "major_group", "estimated_zapier_apps", "zapier_apps_per_worker",
                       "enhanced_automation_risk", "enhanced_risk_category")
 

@@ -11,13 +11,14 @@ from workrisk.plans.q_exposure import _result
 from workrisk.plans.q_skills import CATS, skills_risk_table
 from workrisk.plans.registry import query
 from workrisk.sources import domain
+from workrisk.plans.stages import stage
 from workrisk.session import materialize
 
 SIX = tuple(OP.SIX)
 
 
 def _risk(spark, d):
-    return materialize(skills_risk_table(spark, d))
+    return stage(spark, d, "skills_risk", lambda: materialize(skills_risk_table(spark, d)))
 
 
 @query("tech_composition", sql="SELECT onet_code, technical_composition FROM opp_base", views=("opp_base",),
@@ -60,10 +61,12 @@ def composition_profile(spark, d):
 
 
 def _detailed(spark, d):
-    occ = _result(spark, d).occupations
-    risk = _risk(spark, d)
-    det = R.displacement(occ, domain.sector(spark, d), R.percentile_flag(risk))
-    return det, OP.high_potential(OP.opportunity_v2(risk))
+    def build():
+        occ = _result(spark, d).occupations
+        risk = _risk(spark, d)
+        det = materialize(R.displacement(occ, domain.sector(spark, d), R.percentile_flag(risk)))
+        return det, materialize(OP.high_potential(OP.opportunity_v2(risk)))
+    return stage(spark, d, "detailed", build)
 
 
 @query("percentile_flag", sql="""
@@ -129,5 +132,4 @@ def sector_top5(spark, d):
 @query("risk_opportunity_doc", sql=None, group="rollup", ops=("D11", "D12", "S7"))
 def risk_opportunity_doc(spark, d):
     det, opp = _detailed(spark, d)
-    det = materialize(det)
     return R.risk_opportunity_document(R.area_rollup(det, opp), R.sector_rollup(det, opp), R.sector_top5(det, opp))
