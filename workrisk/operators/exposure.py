@@ -64,19 +64,24 @@ def state_areas(emp: DataFrame, area: str = AREA) -> DataFrame:
 
 def select_levels(emp: DataFrame, area: str = AREA, level: str = "O_GROUP", code: str = "OCC_CODE",
                   detailed_share_min: float = DETAILED_SHARE_MIN) -> DataFrame:
-    """keep detailed occupations, with broad fallback, per area in one pass."""
+    """keep detailed occupations, with broad fallback, per area in one pass.
+
+    One aggregation at (area, 2-digit prefix) grain; the area totals are
+    rolled up from that small table, so the fact is scanned once for stats.
+    """
     lv = F.col(level)
-    area_stats = emp.groupBy(area).agg(
-        F.count(F.lit(1)).alias("_n_all"),
-        F.count_if(lv == "detailed").alias("_n_det"),
-        F.count_if(lv == "broad").alias("_n_broad"),
-        F.count_if(lv == "total").alias("_n_total"))
     with_prefix = emp.withColumn("_p2", F.substring(F.col(code).cast("string"), 1, 2))
     prefix_stats = with_prefix.groupBy(area, "_p2").agg(
-        (F.count_if(lv == "detailed") > 0).alias("_det_prefix"),
-        (F.count_if(lv == "major") > 0).alias("_major_prefix"))
-    j = (with_prefix.join(area_stats, area)
-                    .join(prefix_stats, [area, "_p2"]))
+        F.count(F.lit(1)).alias("_c_all"), F.count_if(lv == "detailed").alias("_c_det"),
+        F.count_if(lv == "broad").alias("_c_broad"), F.count_if(lv == "total").alias("_c_total"),
+        F.count_if(lv == "major").alias("_c_major"))
+    area_stats = prefix_stats.groupBy(area).agg(
+        F.sum("_c_all").alias("_n_all"), F.sum("_c_det").alias("_n_det"),
+        F.sum("_c_broad").alias("_n_broad"), F.sum("_c_total").alias("_n_total"))
+    stats = prefix_stats.join(area_stats, area).select(
+        area, "_p2", "_n_all", "_n_det", "_n_broad", "_n_total",
+        (F.col("_c_det") > 0).alias("_det_prefix"), (F.col("_c_major") > 0).alias("_major_prefix"))
+    j = with_prefix.join(stats, [area, "_p2"])
     add_broad = ((F.col("_n_det") < F.col("_n_all") * detailed_share_min) & (F.col("_n_broad") > 0)
                  & (lv == "broad") & F.col("_major_prefix") & ~F.col("_det_prefix"))
     keep = (F.when(F.col("_n_det") > 0, (lv == "detailed") | add_broad)
@@ -159,26 +164,34 @@ def app_counts_by_major(apps: DataFrame | None) -> DataFrame | None:
 
 
 def app_coverage(occ: DataFrame, apps_by_major: DataFrame | None, area: str = AREA) -> DataFrame:
-    """J2 + A4 + P10: apps spread by employment share; enhanced risk."""
+    """J2 + A4 + P10: apps spread by employment share; enhanced risk.
+
+    The per-area maximum of the spread app count is derived from the small
+    (area, major) table: max_i apps_major * emp_i / emp_major equals
+    apps_major * max_emp / emp_major per major, so the fact is aggregated once.
+    """
     o = occ.withColumn("major_group", major_code(CODE))
     if apps_by_major is None:
         o = o.withColumn("estimated_zapier_apps_major", F.lit(0.0))
     else:
         o = (o.join(apps_by_major.withColumnRenamed("_major", "major_group"), "major_group", "left")
               .withColumn("estimated_zapier_apps_major", F.coalesce("estimated_zapier_apps_major", F.lit(0.0))))
-    major_emp = o.groupBy(area, "major_group").agg(sum0("TOT_EMP").alias("major_group_emp_total"))
-    o = o.join(major_emp, [area, "major_group"])
+    major = o.groupBy(area, "major_group").agg(
+        sum0("TOT_EMP").alias("major_group_emp_total"), F.max("TOT_EMP").alias("_max_emp"),
+        F.first("estimated_zapier_apps_major").alias("_am"))
+    spread_max = F.coalesce(F.col("_am") * safe_div("_max_emp", "major_group_emp_total"), F.lit(0.0))
+    area_max = major.groupBy(area).agg(F.max(spread_max).alias("_max_apps"))
+    stats = major.join(area_max, area).select(area, "major_group", "major_group_emp_total", "_max_apps")
+    o = o.join(stats, [area, "major_group"])
     apps = F.coalesce(F.col("estimated_zapier_apps_major") * safe_div("TOT_EMP", "major_group_emp_total"),
                       F.lit(0.0))
     o = (o.withColumn("estimated_zapier_apps", apps)
           .withColumn("zapier_apps_per_worker",
                       F.coalesce(safe_div("estimated_zapier_apps", "TOT_EMP"), F.lit(0.0))))
-    mx = o.groupBy(area).agg(F.max("estimated_zapier_apps").alias("_max_apps"))
     w_s, w_a = ENHANCED_WEIGHTS
     apps_norm = F.when(F.col("_max_apps") > 0, F.col("estimated_zapier_apps") / F.col("_max_apps")).otherwise(0.0)
     enhanced = clip((F.col("automation_susceptibility") / 100.0 * w_s + apps_norm * w_a) * 100.0, 0, 100)
-    return (o.join(mx, area)
-             .withColumn("enhanced_automation_risk", enhanced)
+    return (o.withColumn("enhanced_automation_risk", enhanced)
              .withColumn("enhanced_risk_category", risk_category("enhanced_automation_risk"))
              .drop("_max_apps"))
 
@@ -189,21 +202,25 @@ def measure(occ: DataFrame, minor_titles: DataFrame | None = None, area: str = A
             threshold: float = POTENTIAL_THRESHOLD, current_threshold: float = CURRENT_THRESHOLD) -> DataFrame:
     """P11-P13 + F3: economic value, risk flags, econ potential, minor group."""
     ev = F.col("TOT_EMP") * F.col("A_MEAN")
-    tot = occ.withColumn("_ev", ev).groupBy(area).agg(sum0("_ev").alias("_tot_ev"), sum0("TOT_EMP").alias("_tot_emp"))
+    susc = F.col("automation_susceptibility")
+    # One aggregation gives the totals and the maxima of the econ potential
+    # (division by the positive area total is monotone, so the row maximum of
+    # susc * ev / total is max(susc * ev) / total).
+    tot = occ.groupBy(area).agg(sum0(ev).alias("_tot_ev"), sum0("TOT_EMP").alias("_tot_emp"),
+                                F.max(susc * ev).alias("_mx_ev"), F.max(susc * F.col("TOT_EMP")).alias("_mx_emp"))
     o = occ.join(tot, area)
     use_emp = F.col("_tot_ev") == 0
     o = (o.withColumn("economic_value", F.when(use_emp, F.col("TOT_EMP")).otherwise(ev))
           .withColumn("area_economic_value", F.when(use_emp, F.col("_tot_emp")).otherwise(F.col("_tot_ev")))
-          .withColumn("is_potentially_at_risk", F.coalesce(F.col("automation_susceptibility") > threshold, F.lit(False)))
+          .withColumn("is_potentially_at_risk", F.coalesce(susc > threshold, F.lit(False)))
           .withColumn("is_currently_at_risk",
                       F.coalesce(F.col("enhanced_automation_risk") > current_threshold, F.lit(False)))
           .withColumn("potential_index", F.when(F.col("is_potentially_at_risk"), 100.0).otherwise(0.0))
-          .withColumn("_epi", safe_div(F.col("automation_susceptibility") * F.col("economic_value"),
-                                       "area_economic_value"))
-          .drop("_tot_ev", "_tot_emp"))
-    mx = o.groupBy(area).agg(F.max("_epi").alias("_max_epi"))
-    o = (o.join(mx, area).withColumn("econ_potential_index", safe_div("_epi", "_max_epi"))
-          .drop("_epi", "_max_epi"))
+          .withColumn("_epi", safe_div(susc * F.col("economic_value"), "area_economic_value"))
+          .withColumn("_max_epi", safe_div(F.when(use_emp, F.col("_mx_emp")).otherwise(F.col("_mx_ev")),
+                                           "area_economic_value"))
+          .withColumn("econ_potential_index", safe_div("_epi", "_max_epi"))
+          .drop("_tot_ev", "_tot_emp", "_mx_ev", "_mx_emp", "_epi", "_max_epi"))
     o = o.filter(F.col(CODE).isNotNull() & (F.trim(F.col(CODE)) != ""))
     o = o.withColumn("minor_group", minor_code(CODE))
     if minor_titles is not None:
@@ -300,7 +317,7 @@ def occupations(employment: DataFrame, tech: DataFrame, apps: DataFrame | None =
     occ = dedup_first(occ, [AREA, CODE], [_level_rank().asc(), F.col("OCC_CODE").asc(), F.col("OCC_TITLE").asc()])
     occ = attach_tech(occ, tech_susceptibility(tech))
     occ = materialize(fill_wages(occ, national_wages(emp)))
-    occ = materialize(app_coverage(occ, app_counts_by_major(apps)))
+    occ = app_coverage(occ, app_counts_by_major(apps))
     return materialize(measure(occ, minor_titles, threshold=threshold))
 
 

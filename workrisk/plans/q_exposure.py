@@ -142,3 +142,16 @@ def dedup_first(spark, d):
        rounded=("discrepancy_pct",), money=("official_total", "calculated_total"), group="exposure", ops=("A6",))
 def quality_report(spark, d):
     return employment_quality(domain.employment(spark, d))
+
+
+@query("write_roundtrip", sql="SELECT * FROM groups", views=("groups",), rounded=GROUP_DOUBLES, money=GROUP_MONEY,
+       group="exposure", ops=("S6", "S8", "U1"))
+def write_roundtrip(spark, d):
+    """Minor-group table written partitioned by area to the shared checkpoint folder and read back."""
+    import uuid
+
+    from workrisk.session import ensure_checkpoint_dir
+    from workrisk.sources.sinks import write_partitioned
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/groups-{uuid.uuid4().hex}"
+    write_partitioned(_result(spark, d).groups, path, partition_by=X.AREA)
+    return spark.read.parquet(path)
