@@ -79,7 +79,7 @@ def wage_quartiles(spark, d):
               "economic_value FROM occupations UNION ALL SELECT AREA_TITLE, 'current', enhanced_risk_category, "
               "TOT_EMP, economic_value FROM occupations) d"), views=("occupations",),
        rounded=("employment_share", "value_share"), money=("employment", "economic_value"),
-       group="dashboards", ops=("A13", "P34", "D3"))
+       group="dashboards", ops=("A13", "P34", "D3", "U5"))
 def risk_distribution(spark, d):
     return DB.risk_distribution(_result(spark, d).occupations)
 
@@ -188,3 +188,95 @@ def unpivot_indices(spark, d):
                                     "potential_differential"), group="dashboards", ops=("J15", "P27"))
 def area_comparison(spark, d):
     return DB.comparison(_result(spark, d).summary)
+
+
+@query("top_groups", sql="""
+  SELECT AREA_TITLE, rank, minor_group, minor_group_name, minor_potential_index, minor_iceberg_index, automation_gap,
+         TOT_EMP, economic_value FROM (
+    SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY minor_potential_index DESC NULLS LAST,
+                                 minor_group) AS rank FROM groups) WHERE rank <= 10""", views=("groups",),
+       rounded=("minor_potential_index", "minor_iceberg_index", "automation_gap"), money=("TOT_EMP", "economic_value"),
+       group="dashboards", ops=("W5", "D3"))
+def top_groups(spark, d):
+    return DB.top_groups(_result(spark, d).groups)
+
+
+@query("coverage_opportunity", sql="""
+  SELECT AREA_TITLE, rank, SOC_Code_Cleaned, OCC_TITLE, automation_susceptibility, mcp_coverage_norm,
+         mcp_opportunity, TOT_EMP, economic_value FROM (
+    SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY mcp_opportunity DESC NULLS LAST,
+                                 SOC_Code_Cleaned) AS rank FROM (
+      SELECT *, automation_susceptibility - mcp_coverage_norm AS mcp_opportunity FROM (
+        SELECT *, CASE WHEN max(zapier_apps_per_worker) OVER (PARTITION BY AREA_TITLE) > 0
+                       THEN zapier_apps_per_worker / max(zapier_apps_per_worker) OVER (PARTITION BY AREA_TITLE) * 100
+                       ELSE 0.0 END AS mcp_coverage_norm FROM occupations)))
+  WHERE rank <= 10""", views=("occupations",),
+       rounded=("automation_susceptibility", "mcp_coverage_norm", "mcp_opportunity"),
+       money=("TOT_EMP", "economic_value"), group="dashboards", ops=("P28", "W7", "D5"))
+def coverage_opportunity(spark, d):
+    return DB.coverage_opportunity(_result(spark, d).occupations)
+
+
+@query("retraining", sql="""
+  SELECT * FROM (
+  WITH r AS (SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY econ_potential_index DESC NULLS LAST,
+                                          SOC_Code_Cleaned) AS rk,
+                    count(*) OVER (PARTITION BY AREA_TITLE) AS n,
+                    CAST(trunc(count(*) OVER (PARTITION BY AREA_TITLE) * 0.25) AS BIGINT) AS q FROM occupations),
+  top AS (SELECT * FROM r WHERE rk <= q AND rk <= 5 AND q > 0),
+  low AS (SELECT * FROM r WHERE rk > n - q),
+  alts AS (SELECT * FROM (
+             SELECT t.AREA_TITLE, t.SOC_Code_Cleaned, l.rk AS lr, l.SOC_Code_Cleaned AS alt_code,
+                    l.OCC_TITLE AS alt_title, l.A_MEAN AS alt_wage, l.econ_potential_index AS alt_score,
+                    row_number() OVER (PARTITION BY t.AREA_TITLE, t.SOC_Code_Cleaned ORDER BY l.rk) AS alt_rank
+             FROM top t JOIN low l ON t.AREA_TITLE = l.AREA_TITLE
+              AND l.A_MEAN >= t.A_MEAN * (1 - 0.2) AND l.A_MEAN <= t.A_MEAN * (1 + 0.2)) WHERE alt_rank <= 3)
+  SELECT t.AREA_TITLE, t.rk AS risk_rank, t.SOC_Code_Cleaned, t.OCC_TITLE, t.A_MEAN, t.econ_potential_index,
+         t.TOT_EMP, a.alt_rank, a.alt_code, a.alt_title, a.alt_wage, a.alt_score
+  FROM top t LEFT JOIN alts a ON t.AREA_TITLE = a.AREA_TITLE AND t.SOC_Code_Cleaned = a.SOC_Code_Cleaned)""",
+       views=("occupations",), rounded=("econ_potential_index", "alt_score"), money=("A_MEAN", "TOT_EMP", "alt_wage"),
+       group="dashboards", ops=("W8", "J13", "D5"))
+def retraining(spark, d):
+    return DB.retraining(_result(spark, d).occupations)
+
+
+@query("synthetic_distribution", sql="""
+  SELECT position, label, employment, employment / t * 100 AS percentage FROM (
+    SELECT p.position, p.label, t,
+           CASE p.position WHEN 0 THEN a * 0.4 * 0.3 WHEN 1 THEN a * 0.4 * 0.7 WHEN 2 THEN a * 0.6 * 1.0
+                           WHEN 3 THEN (t - a) * 0.65 ELSE (t - a) * 0.35 END AS employment
+    FROM (SELECT sum(total_employment) AS t, sum(current_employment_at_risk) AS a FROM summary) s,
+         (VALUES (0, 'Very High Risk'), (1, 'High Risk'), (2, 'Moderate Risk'), (3, 'Low Risk'),
+                 (4, 'Very Low Risk')) p(position, label))""", views=("summary",), rounded=("percentage",),
+       money=("employment",), group="dashboards", ops=("A14", "D9"))
+def synthetic_distribution(spark, d):
+    return DB.synthetic_distribution(_result(spark, d).summary)
+
+
+_FIXED2 = ("(CASE WHEN CAST(round(({x}) * 100.0) AS BIGINT) < 0 THEN '-' ELSE '' END"
+           " || CAST(abs(CAST(round(({x}) * 100.0) AS BIGINT)) // 100 AS VARCHAR) || '.'"
+           " || lpad(CAST(abs(CAST(round(({x}) * 100.0) AS BIGINT)) % 100 AS VARCHAR), 2, '0'))")
+
+
+def _fx(x: str) -> str:
+    return _FIXED2.format(x=x)
+
+
+@query("area_dashboard", sql=f"""
+  SELECT state, iceberg_ratio AS iceberg_index, potential_ratio AS potential_index,
+         potential_ratio - iceberg_ratio AS automation_gap, total_employment,
+         economic_value_total / 1e9 AS economic_value_billions,
+         CASE WHEN apps IS NOT NULL THEN CAST(trunc(round(apps, 6)) AS BIGINT)
+              ELSE CAST(trunc(total_employment * 1000 / 25000) AS BIGINT) END AS mcp_servers,
+         iceberg_ratio * 2 AS projected_index,
+         'In ' || state || ', ' || {_fx('iceberg_ratio')} || '% of economic value ($'
+           || {_fx('economic_value_total / 1e9')} || 'B) is exposed today; potential exposure is '
+           || {_fx('potential_ratio')} || '%, a gap of ' || {_fx('potential_ratio - iceberg_ratio')}
+           || ' points.' AS headline
+  FROM summary s LEFT JOIN (SELECT AREA_TITLE, sum(estimated_zapier_apps) AS apps FROM groups GROUP BY 1) g
+    ON s.state = g.AREA_TITLE""", views=("summary", "groups"),
+       rounded=("iceberg_index", "potential_index", "automation_gap", "economic_value_billions", "projected_index"),
+       money=("total_employment",), group="dashboards", ops=("D10", "P30", "P31", "P32", "P14"))
+def area_dashboard(spark, d):
+    r = _result(spark, d)
+    return DB.area_dashboard(r.summary, r.groups)

@@ -43,7 +43,7 @@ def opportunity_v2(spark, d):
 
 
 @query("high_potential", sql="SELECT OCC_CODE FROM opp_hp", views=("opp_hp",), group="opportunity",
-       ops=("F7",))
+       ops=("F7", "F9"))
 def high_potential(spark, d):
     v2 = OP.high_potential(OP.opportunity_v2(_risk(spark, d)))
     return R.first_per_occ(v2).select("OCC_CODE")
@@ -71,7 +71,7 @@ def _detailed(spark, d):
 
 @query("percentile_flag", sql="""
   SELECT OCC_CODE, automation_risk_score, risk_threshold, perc_ile_thresholded_risk FROM job_risk""",
-       views=("job_risk",), rounded=("risk_threshold",), group="rollup", ops=("W19", "W1"))
+       views=("job_risk",), rounded=("risk_threshold",), group="rollup", ops=("W19", "W1", "P3", "F4"))
 def percentile_flag(spark, d):
     return R.percentile_flag(_risk(spark, d)).select("OCC_CODE", "automation_risk_score", "risk_threshold",
                                                      "perc_ile_thresholded_risk")
@@ -102,7 +102,7 @@ SECTOR_DOUBLES = ("risk_impact_pct", "opportunity_impact_pct")
 
 
 @query("sector_rollup", sql="SELECT * FROM sector_roll", views=("sector_roll",), rounded=SECTOR_DOUBLES, money=SECTOR_MONEY,
-       group="rollup", ops=("A7", "A9", "J9", "M12", "M13"))
+       group="rollup", ops=("A7", "A9", "J9", "M12", "M13", "F10", "F4"))
 def sector_rollup(spark, d):
     det, opp = _detailed(spark, d)
     return R.sector_rollup(det, opp)

@@ -65,7 +65,7 @@ def top_decile_blend(spark, d):
 
 
 @query("nearest_code", sql="SELECT wc AS code, match, common_length FROM nearest", views=("nearest",),
-       group="skills", ops=("J11", "J10"))
+       group="skills", ops=("J11", "J10", "P5"))
 def nearest_code(spark, d):
     occ = _result(spark, d).occupations
     b = _blended(spark, d, occ)
@@ -108,3 +108,21 @@ def distinct_counts(spark, d):
     s = K.importance(domain.skills_long(spark, d))
     return s.agg(F.count_distinct("onet_code").alias("n_codes"), F.count_distinct("element").alias("n_elements"),
                  F.count_distinct("title").alias("n_titles"), F.count(F.lit(1)).alias("n_ratings"))
+
+
+@query("risk_lookup", sql="""
+  SELECT o.OCC_CODE, coalesce(r.automation_risk_score, m.med) AS automation_risk_score,
+         r.automation_risk_score IS NULL AS used_default
+  FROM (SELECT DISTINCT OCC_CODE FROM occupations) o
+  LEFT JOIN long_risk r ON r.onet_code = o.OCC_CODE || '.00',
+       (SELECT quantile_cont(automation_risk_score, 0.5) AS med FROM long_risk) m""",
+       views=("occupations", "long_risk"), group="skills", ops=("J18", "P5", "A6"))
+def risk_lookup(spark, d):
+    """Long-term risk per occupation code; codes without skill data get the median (flagged)."""
+    risk = K.long_term_risk(_cats(spark, d))
+    med = F.broadcast(risk.agg(F.percentile("automation_risk_score", 0.5).alias("_m")))
+    codes = _result(spark, d).occupations.select("OCC_CODE").distinct()
+    r = risk.select(F.col("onet_code"), "automation_risk_score")
+    j = codes.join(r, F.concat(codes.OCC_CODE, F.lit(".00")) == r.onet_code, "left").crossJoin(med)
+    return j.select("OCC_CODE", F.coalesce("automation_risk_score", "_m").alias("automation_risk_score"),
+                    F.col("automation_risk_score").isNull().alias("used_default"))
