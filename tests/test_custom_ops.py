@@ -118,3 +118,18 @@ def test_band_join(spark):  # J14
     exp = {(f"s{i}", f"s{j}") for i, a in enumerate(vals) for j, b in enumerate(vals)
            if i != j and b >= a * 0.75 and b <= a * 1.25}
     assert got == exp
+
+
+def test_transition_types(spark):  # F8 / G7 labels
+    pairs = [("11-1011.00", "11-1021.00"), ("11-1011.00", "11-2011.00"), ("11-1011.00", "13-1011.00")]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    from pyspark.sql import functions as F
+    labels = [r[0] for r in df.select(G.transition_label(F.col("src"), F.col("dst"))).collect()]
+    assert labels == ["same_minor", "different_minor", "general"]
+    keep = [r[0] for r in df.select(G.type_filter("different_minor")).collect()]
+    assert keep == [False, True, False]
+    keep = [r[0] for r in df.select(G.type_filter("different_major")).collect()]
+    assert keep == [False, False, True]
+    import pytest
+    with pytest.raises(ValueError):
+        G.type_filter("sideways")
