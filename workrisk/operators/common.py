@@ -23,3 +23,12 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, tiebreak:
             .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
     return (s1.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*full)).cast("bigint"))
               .filter(F.col(rank_col) <= k))
+
+
+def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row global aggregate (a scalar subquery) to every row.
+
+    ``scalars`` must be a global ``agg`` (exactly one row), so broadcasting it
+    has a proven size bound; the join never multiplies rows.
+    """
+    return df.crossJoin(F.broadcast(scalars))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from workrisk.functions import (clean_soc_code, clip, dirty_to_double, major_code, minor_code,
                                 risk_category, safe_div, sum0)
+from workrisk.operators.common import with_scalars
 from workrisk.session import materialize
 
 AREA = "AREA_TITLE"
@@ -38,11 +39,6 @@ def _level_rank(c: str = "O_GROUP") -> Column:
     return F.when(pos > 0, pos).otherwise(F.lit(len(LEVEL_ORDER) + 1))
 
 
-def _one_row(df: DataFrame) -> DataFrame:
-    """Mark a one-row aggregate for broadcast: its size is bounded by construction."""
-    return F.broadcast(df)
-
-
 # --------------------------------------------------------------------- cleaning
 
 def clean_employment(emp: DataFrame, numeric=("TOT_EMP", "A_MEAN", "A_MEDIAN")) -> DataFrame:
@@ -107,9 +103,9 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def tech_susceptibility(tech: DataFrame, code_col: str = "SOC_Code") -> DataFrame:
     """P7-P9 on the tech dimension; deduplicated on the cleaned code."""
-    mx = _one_row(tech.agg(F.max("tech_intensity_score").alias("_max_tis")))
+    mx = (tech.agg(F.max("tech_intensity_score").alias("_max_tis")))
     w_norm, w_hot = SUSCEPTIBILITY_WEIGHTS
-    t = (tech.crossJoin(mx)
+    t = (with_scalars(tech, mx)
              .withColumn("tech_intensity_normalized", safe_div("tech_intensity_score", "_max_tis"))
              .withColumn("automation_susceptibility",
                          clip((F.col("tech_intensity_normalized") * w_norm + F.col("hot_tech_ratio") * w_hot)
@@ -122,10 +118,10 @@ def tech_susceptibility(tech: DataFrame, code_col: str = "SOC_Code") -> DataFram
 
 def attach_tech(occ: DataFrame, tech_s: DataFrame) -> DataFrame:
     """J1 + P35: left join susceptibility; fill misses with the median of the tech table."""
-    med = _one_row(tech_s.agg(F.percentile("automation_susceptibility", 0.5).alias("_med_susc")))
+    med = (tech_s.agg(F.percentile("automation_susceptibility", 0.5).alias("_med_susc")))
     dim = tech_s.select(CODE, "tech_intensity_score", "automation_susceptibility")
     susc = F.coalesce(F.col("automation_susceptibility"), F.col("_med_susc"))
-    return (occ.join(dim, CODE, "left").crossJoin(med)
+    return (with_scalars(occ.join(dim, CODE, "left"), med)
                .withColumn("automation_susceptibility", susc)
                .withColumn("automation_risk_category", risk_category("automation_susceptibility"))
                .drop("_med_susc"))

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from workrisk.operators.common import with_scalars
+
 HIST_BINS = 30
 KDE_POINTS = 100
 DENSITY_WINDOW = 20
@@ -31,11 +33,11 @@ def profile(df: DataFrame, col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed), count and density."""
     c = F.col(col)
-    rng = F.broadcast(df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n")))
+    rng = (df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n")))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.lit(bins), F.floor((c - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins) + 1)
-    counts = df.filter(c.isNotNull()).crossJoin(rng).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin")).crossJoin(rng)
+    counts = with_scalars(df.filter(c.isNotNull()), rng).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = with_scalars(df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin")), rng)
     return (grid.join(counts, "bin", "left")
                 .select("bin", (F.col("_lo") + (F.col("bin") - 1) * width).alias("bin_start"),
                         (F.col("_lo") + F.col("bin") * width).alias("bin_end"),
@@ -46,11 +48,11 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
 def box_stats(df: DataFrame, col: str) -> DataFrame:
     """T4: quartiles and 1.5 IQR whiskers (most extreme data inside the fences)."""
     c = F.col(col)
-    q = F.broadcast(df.agg(F.percentile(c, 0.25).alias("q1"), F.median(c).alias("median"),
+    q = (df.agg(F.percentile(c, 0.25).alias("q1"), F.median(c).alias("median"),
                            F.percentile(c, 0.75).alias("q3")))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    return (df.crossJoin(q).groupBy("q1", "median", "q3")
+    return (with_scalars(df, q).groupBy("q1", "median", "q3")
               .agg(F.min(F.when(c >= lo, c)).alias("whisker_low"), F.max(F.when(c <= hi, c)).alias("whisker_high"),
                    F.count_if((c < lo) | (c > hi)).alias("outliers")))
 
@@ -62,12 +64,12 @@ def kde(df: DataFrame, col: str, points: int = KDE_POINTS) -> DataFrame:
     join) and the kernel sums are aggregated per grid point.
     """
     c = F.col(col)
-    s = F.broadcast(df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n"),
+    s = (df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n"),
                            F.stddev_samp(c).alias("_sd")))
     h = F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))
     g = F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / (points - 1)
     k = F.exp(-0.5 * F.pow((g - c) / h, 2)) / (h * math.sqrt(2 * math.pi))
-    return (df.filter(c.isNotNull()).crossJoin(s)
+    return (with_scalars(df.filter(c.isNotNull()), s)
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
               .groupBy("i", "_lo", "_hi", "_n")
               .agg(F.sum(k).alias("_k"))
@@ -83,6 +85,7 @@ def global_positions(df: DataFrame, order: list[Column], partitions: int | None
     offsets = counts.withColumn("_off", F.coalesce(
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    # offsets: one row per range partition (bounded by the partition count)
     return (r.withColumn("_rn", local).join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
              .withColumn(pos_col, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))
 
@@ -90,8 +93,8 @@ def global_positions(df: DataFrame, order: list[Column], partitions: int | None
 def ecdf(df: DataFrame, col: str, tiebreak: str) -> DataFrame:
     """y = i / n in sort order (ties are not merged)."""
     pos = global_positions(df.filter(F.col(col).isNotNull()), [F.col(col).asc(), F.col(tiebreak).asc()])
-    n = F.broadcast(df.agg(F.count(col).alias("_n")))
-    return pos.crossJoin(n).select(tiebreak, col, "pos", (F.col("pos") / F.col("_n")).alias("ecdf"))
+    n = (df.agg(F.count(col).alias("_n")))
+    return with_scalars(pos, n).select(tiebreak, col, "pos", (F.col("pos") / F.col("_n")).alias("ecdf"))
 
 
 def label_density(df: DataFrame, score: str, label: str, key: str, window: int = DENSITY_WINDOW) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from workrisk.operators.common import with_scalars
 from workrisk.functions import null_max, safe_div
 
 # ---------------------------------------------------------------- fixed values
@@ -116,11 +117,11 @@ def top_decile_blend(risk: DataFrame, area_occupations: DataFrame, code: str = "
     ``area_occupations``: (OCC_CODE, automation_susceptibility) of the
     reference area; the first row per OCC_CODE (by code order) is used.
     """
-    p90 = F.broadcast(risk.agg(F.percentile("technical_skills", TOP_TECH_QUANTILE).alias("_p90")))
+    p90 = (risk.agg(F.percentile("technical_skills", TOP_TECH_QUANTILE).alias("_p90")))
     area = (area_occupations.groupBy("OCC_CODE")
                             .agg(F.min_by("automation_susceptibility", "SOC_Code_Cleaned").alias("_susc")))
-    j = (risk.withColumn("OCC_CODE", F.substring_index(F.col(code), ".", 1))
-             .join(area, "OCC_CODE", "left").crossJoin(p90))
+    j = with_scalars(risk.withColumn("OCC_CODE", F.substring_index(F.col(code), ".", 1))
+                     .join(area, "OCC_CODE", "left"), p90)
     a, s = TOP_TECH_BLEND
     blend = (F.col("technical_skills") >= F.col("_p90")) & F.col("_susc").isNotNull()
     risk_col = F.when(blend, F.col("intermediate_automation_risk") * a + F.col("_susc") / 100.0 * s) \
@@ -203,8 +204,8 @@ def adoption_fill(risk: DataFrame, tech: DataFrame, code: str = "onet_code") ->
     """adoption_rate = hot-tech ratio by code; misses get the median of the merged column."""
     t = tech.select(F.col("onet_code").alias(code), F.col("hot_tech_ratio").alias("adoption_rate"))
     j = risk.join(t, code, "left")
-    med = F.broadcast(j.agg(F.percentile("adoption_rate", 0.5).alias("_m")))
-    return (j.crossJoin(med).withColumn("adoption_rate", F.coalesce("adoption_rate", "_m")).drop("_m"))
+    med = (j.agg(F.percentile("adoption_rate", 0.5).alias("_m")))
+    return (with_scalars(j, med).withColumn("adoption_rate", F.coalesce("adoption_rate", "_m")).drop("_m"))
 
 
 def skills_based_risk(skills: DataFrame, categories: DataFrame, area_occupations: DataFrame,

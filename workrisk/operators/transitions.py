@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from workrisk.operators.common import with_scalars
 from workrisk.functions import clean_onet_code
 from workrisk.functions import major_code as _major
 from workrisk.functions import minor_code as _minor
@@ -55,7 +56,7 @@ def skill_vectors(skills: DataFrame, elements: list[str], code: str = "onet_code
                      *[F.stddev_pop(e).alias(f"s_{i}") for i, e in enumerate(elements)])
     z = [(F.col(e) - F.col(f"m_{i}")) / F.when(F.col(f"s_{i}") == 0, 1.0).otherwise(F.col(f"s_{i}"))
          for i, e in enumerate(elements)]
-    return wide.crossJoin(F.broadcast(stats)).select(F.col(code).alias("code"), F.array(*z).alias("v"))
+    return with_scalars(wide, stats).select(F.col(code).alias("code"), F.array(*z).alias("v"))
 
 
 # ---------------------------------------------------------------- G2-G4 tiles

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from workrisk.operators.common import with_scalars
 from workrisk.operators import exposure as X
 from workrisk.operators import skills as K
 from workrisk.plans import oracle_skills as O
@@ -120,9 +121,9 @@ def distinct_counts(spark, d):
 def risk_lookup(spark, d):
     """Long-term risk per occupation code; codes without skill data get the median (flagged)."""
     risk = K.long_term_risk(_cats(spark, d))
-    med = F.broadcast(risk.agg(F.percentile("automation_risk_score", 0.5).alias("_m")))
+    med = (risk.agg(F.percentile("automation_risk_score", 0.5).alias("_m")))
     codes = _result(spark, d).occupations.select("OCC_CODE").distinct()
     r = risk.select(F.col("onet_code"), "automation_risk_score")
-    j = codes.join(r, F.concat(codes.OCC_CODE, F.lit(".00")) == r.onet_code, "left").crossJoin(med)
+    j = with_scalars(codes.join(r, F.concat(codes.OCC_CODE, F.lit(".00")) == r.onet_code, "left"), med)
     return j.select("OCC_CODE", F.coalesce("automation_risk_score", "_m").alias("automation_risk_score"),
                     F.col("automation_risk_score").isNull().alias("used_default"))
