@@ -72,3 +72,17 @@ def test_golden_minor_groups(spark, area):  # GD1
     for c in ["is_potentially_at_risk", "is_currently_at_risk"]:
         assert (got[c].astype(int) == gold[c].astype(int)).all(), c
     assert (got["at_risk_soc_codes"].fillna("") == gold["at_risk_soc_codes"].fillna("")).all()
+
+
+def test_fact_scan_is_pruned(spark):
+    """The flagship's lineitem scan reads only the four columns it uses."""
+    import contextlib
+    import io
+
+    from conftest import SF_SMALL
+    from workrisk.sources import domain
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        domain.employment(spark, SF_SMALL).explain(mode="formatted")
+    plan = buf.getvalue()
+    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_extendedprice:double>" in plan

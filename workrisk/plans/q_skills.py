@@ -10,6 +10,8 @@ from workrisk.operators import skills as K
 from workrisk.plans import oracle_skills as O
 from workrisk.plans.q_exposure import _result
 from workrisk.plans.registry import query
+from workrisk.plans.stages import stage
+from workrisk.session import materialize
 from workrisk.sources import domain
 
 CATS = tuple(K.CATEGORY_NAMES)
@@ -28,9 +30,12 @@ def _blended(spark, d, occ=None):
 
 
 def skills_risk_table(spark, d):
-    occ = _result(spark, d).occupations
-    b = K.backfill_missing(_blended(spark, d, occ), occ)
-    return K.adoption_fill(b, domain.tech(spark, d))
+    """Stage B output (skills-based risk with backfill and adoption), materialised once per session."""
+    def build():
+        occ = _result(spark, d).occupations
+        b = K.backfill_missing(_blended(spark, d, occ), occ)
+        return materialize(K.adoption_fill(b, domain.tech(spark, d)))
+    return stage(spark, d, "skills_risk", build)
 
 
 @query("skill_pivot", sql="""
