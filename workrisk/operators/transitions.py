@@ -98,7 +98,8 @@ def graph_edges(matrix: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- G6 rank
 
 def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
-             checkpoint_every: int = 10, broadcast_limit: int = 2_000_000) -> DataFrame:
+             checkpoint_every: int = 10, broadcast_limit: int = 2_000_000,
+             edges_per_partition: int = 2_000_000) -> DataFrame:
     """Weighted PageRank, fixed iterations, no dangling redistribution.
 
     n = nodes touching at least one edge; start 1/n; new = (1-a)/n + a * sum(rank * w).
@@ -125,7 +126,10 @@ def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
                .join(ids.withColumnRenamed("node", "dst").withColumnRenamed("id", "d"), "dst")
                .select("s", "d", "weight"))
     loops = ids.select(F.col("id").alias("s"), F.col("id").alias("d"), F.lit(0.0).alias("weight"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Partition count from the edge count (each iteration runs one task per
+    # partition): at least the cluster's parallelism, ~2 M edges per task.
+    m = keyed.count() + n
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(m / edges_per_partition))
     e = materialize(keyed.unionByName(loops).repartition(parts, "d")).persist()
     base = (1.0 - alpha) / n
     ranks = ids.select(F.col("id").alias("s"), F.lit(1.0 / n).alias("rank"))
