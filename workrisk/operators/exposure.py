@@ -50,12 +50,16 @@ def clean_employment(emp: DataFrame, numeric=("TOT_EMP", "A_MEAN", "A_MEDIAN"))
     return out
 
 
-def state_areas(emp: DataFrame, area: str = AREA) -> DataFrame:
-    """Areas that are states (not the national row, no metro areas, no commas)."""
+def is_state_area(area: str = AREA) -> Column:
+    """Row predicate: the area is a state (not the national row, no metro areas, no commas)."""
     a = F.col(area)
-    return (emp.select(a.alias(area)).distinct()
-               .filter(a.isNotNull() & (a != US_AREA) & ~a.startswith("Metropolitan")
-                       & ~a.startswith("Nonmetropolitan") & ~a.contains(",")))
+    return (a.isNotNull() & (a != US_AREA) & ~a.startswith("Metropolitan")
+            & ~a.startswith("Nonmetropolitan") & ~a.contains(","))
+
+
+def state_areas(emp: DataFrame, area: str = AREA) -> DataFrame:
+    """The distinct state areas."""
+    return emp.filter(is_state_area(area)).select(area).distinct()
 
 
 def select_levels(emp: DataFrame, area: str = AREA, level: str = "O_GROUP", code: str = "OCC_CODE",
@@ -308,8 +312,7 @@ def occupations(employment: DataFrame, tech: DataFrame, apps: DataFrame | None =
     # The raw fact is read once: cleaned employment rows are materialised and
     # then feed level selection, the national wage map and validation.
     emp = materialize(clean_employment(employment))
-    states = state_areas(emp)
-    occ = select_levels(emp.join(states, AREA, "left_semi"))
+    occ = select_levels(emp.filter(is_state_area()))
     occ = dedup_first(occ, [AREA, CODE], [_level_rank().asc(), F.col("OCC_CODE").asc(), F.col("OCC_TITLE").asc()])
     occ = attach_tech(occ, tech_susceptibility(tech))
     occ = materialize(fill_wages(occ, national_wages(emp)))

@@ -18,7 +18,7 @@ def employment_quality(employment: DataFrame) -> DataFrame:
     smallest is used (deterministic stand-in for "the first one").
     """
     emp = X.clean_employment(employment)
-    sel = X.select_levels(emp.join(X.state_areas(emp), X.AREA, "left_semi"))
+    sel = X.select_levels(emp.filter(X.is_state_area()))
     calc = sel.groupBy(X.AREA).agg(
         sum0("TOT_EMP").alias("calculated_total"),
         F.count_if(F.col("TOT_EMP").isNull()).alias("null_employment"),

@@ -84,7 +84,7 @@ def risk_category(spark, d):
        group="exposure", ops=("F2", "U2"))
 def level_fallback(spark, d):
     e = X.clean_employment(domain.employment(spark, d))
-    return X.select_levels(e.join(X.state_areas(e), X.AREA, "left_semi")).select("AREA_TITLE", "OCC_CODE", "O_GROUP")
+    return X.select_levels(e.filter(X.is_state_area())).select("AREA_TITLE", "OCC_CODE", "O_GROUP")
 
 
 @query("wage_fill", sql="SELECT AREA_TITLE, SOC_Code_Cleaned, A_MEAN FROM occ_wage", views=("occ_wage",),
