@@ -56,10 +56,15 @@ def displacement(occupations: DataFrame, sector: DataFrame, job_risk: DataFrame)
              .drop("_med"))
 
 
-def opportunity_occupations(detailed: DataFrame, opportunity: DataFrame) -> DataFrame:
-    """High-potential occupations (first per OCC_CODE) joined to every area's rows."""
-    opp = first_per_occ(opportunity).select("OCC_CODE")
-    return detailed.join(opp, "OCC_CODE")
+def opportunity_codes(v2: DataFrame) -> DataFrame:
+    """F7 after W1: the first classification row per OCC_CODE, kept if it is high potential."""
+    from workrisk.operators.opportunity import high_potential
+    return high_potential(first_per_occ(v2)).select("OCC_CODE")
+
+
+def opportunity_occupations(detailed: DataFrame, opp_codes: DataFrame) -> DataFrame:
+    """The high-potential occupation codes joined to every area's rows."""
+    return detailed.join(opp_codes, "OCC_CODE")
 
 
 def sector_rollup(detailed: DataFrame, opportunity: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def sector_rollup(detailed: DataFrame, opportunity: DataFrame) -> DataFrame:
     Rows with a NULL sector are not grouped (pandas drops NaN keys) but are
     part of the area totals of ``area_rollup``.
     """
-    opp = first_per_occ(opportunity).select("OCC_CODE").withColumn("_opp", F.lit(True))
+    opp = opportunity.select("OCC_CODE").withColumn("_opp", F.lit(True))
     d = (detailed.join(opp, "OCC_CODE", "left")
                  .withColumn("_opp", F.coalesce("_opp", F.lit(False)))
                  .filter(F.col(SECTOR).isNotNull()))
@@ -96,7 +101,7 @@ def sector_rollup(detailed: DataFrame, opportunity: DataFrame) -> DataFrame:
 
 def area_rollup(detailed: DataFrame, opportunity: DataFrame) -> DataFrame:
     """Area and national totals and shares for risk and opportunity (GROUPING SETS ((area), ()))."""
-    opp = first_per_occ(opportunity).select("OCC_CODE").withColumn("_opp", F.lit(True))
+    opp = opportunity.select("OCC_CODE").withColumn("_opp", F.lit(True))
     d = detailed.join(opp, "OCC_CODE", "left").withColumn("_opp", F.coalesce("_opp", F.lit(False)))
     flag, opp_c = F.col("perc_ile_thresholded_risk"), F.col("_opp")
     g = (d.groupingSets([[AREA], []], AREA)

@@ -45,9 +45,9 @@ register("opp_v2", ("opp_base",), f"""
 register("opp_hp", ("opp_v2",), """
   SELECT OCC_CODE FROM (
     SELECT *, split_part(onet_code, '.', 1) AS OCC_CODE,
-           row_number() OVER (PARTITION BY split_part(onet_code, '.', 1) ORDER BY onet_code) AS rn FROM opp_v2
-    WHERE AI_Transformation_Classification = 'High Transformation Potential'
-      AND Tech_Stratum IN ('Low-Tech', 'Medium-Tech')) WHERE rn = 1""")
+           row_number() OVER (PARTITION BY split_part(onet_code, '.', 1) ORDER BY onet_code) AS rn FROM opp_v2)
+  WHERE rn = 1 AND AI_Transformation_Classification = 'High Transformation Potential'
+    AND Tech_Stratum IN ('Low-Tech', 'Medium-Tech')""")
 
 register("job_risk", ("skills_risk",), """
   SELECT *, automation_risk_score >= risk_threshold AS perc_ile_thresholded_risk FROM (

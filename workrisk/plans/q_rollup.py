@@ -45,8 +45,7 @@ def opportunity_v2(spark, d):
 @query("high_potential", sql="SELECT OCC_CODE FROM opp_hp", views=("opp_hp",), group="opportunity",
        ops=("F7", "F9"))
 def high_potential(spark, d):
-    v2 = OP.high_potential(OP.opportunity_v2(_risk(spark, d)))
-    return R.first_per_occ(v2).select("OCC_CODE")
+    return R.opportunity_codes(OP.opportunity_v2(_risk(spark, d)))
 
 
 @query("composition_profile", sql="""
@@ -65,7 +64,7 @@ def _detailed(spark, d):
         occ = _result(spark, d).occupations
         risk = _risk(spark, d)
         det = materialize(R.displacement(occ, domain.sector(spark, d), R.percentile_flag(risk)))
-        return det, materialize(OP.high_potential(OP.opportunity_v2(risk)))
+        return det, materialize(R.opportunity_codes(OP.opportunity_v2(risk)))
     return stage(spark, d, "detailed", build)
 
 
