@@ -280,3 +280,77 @@ def _fx(x: str) -> str:
 def area_dashboard(spark, d):
     r = _result(spark, d)
     return DB.area_dashboard(r.summary, r.groups)
+
+
+@query("top_risk_areas", sql="""
+  SELECT * FROM (
+    SELECT state, iceberg_ratio AS iceberg_index, current_economic_value_at_risk AS economic_value_at_risk,
+           current_employment_at_risk AS workers_at_risk, potential_ratio AS potential_index,
+           row_number() OVER (ORDER BY iceberg_ratio DESC NULLS LAST, state) AS rank,
+           potential_ratio - iceberg_ratio AS automation_gap FROM summary) WHERE rank <= 10""", views=("summary",),
+       rounded=("iceberg_index", "potential_index", "automation_gap"),
+       money=("economic_value_at_risk", "workers_at_risk"), group="dashboards", ops=("W9", "P14"))
+def top_risk_areas(spark, d):
+    return DB.top_risk_areas(_result(spark, d).summary)
+
+
+_CHART = """
+  SELECT * FROM (
+    SELECT row_number() OVER (ORDER BY current DESC NULLS LAST, minor_group) AS rank, minor_group_name AS label,
+           current, potential, employment, economic_value FROM (
+      SELECT minor_group, minor_group_name, avg(automation_susceptibility) AS potential,
+             avg(enhanced_automation_risk) AS current, coalesce(sum(TOT_EMP), 0.0) AS employment,
+             coalesce(sum(economic_value), 0.0) AS economic_value FROM groups GROUP BY 1, 2)) WHERE rank <= 10"""
+
+
+@query("industry_risk_chart", sql=_CHART, views=("groups",), rounded=("current", "potential"),
+       money=("employment", "economic_value"), group="dashboards", ops=("W10", "A10"))
+def industry_risk_chart(spark, d):
+    return DB.industry_risk_chart(_result(spark, d).groups)
+
+
+def _fx1(x: str) -> str:
+    return ("(CASE WHEN CAST(round(({x}) * 10.0) AS BIGINT) < 0 THEN '-' ELSE '' END"
+            " || CAST(abs(CAST(round(({x}) * 10.0) AS BIGINT)) // 10 AS VARCHAR) || '.'"
+            " || CAST(abs(CAST(round(({x}) * 10.0) AS BIGINT)) % 10 AS VARCHAR))").format(x=x)
+
+
+@query("key_insights", sql=f"""
+  WITH t AS (SELECT state, iceberg_ratio AS v, row_number() OVER (ORDER BY iceberg_ratio DESC NULLS LAST, state) AS rk
+             FROM summary),
+  c AS ({_CHART}),
+  o AS (SELECT avg(iceberg_ratio) AS cur, avg(automation_gap) AS gap FROM summary),
+  t3 AS (SELECT count(*) AS n, string_agg(state, ', ' ORDER BY rk) AS names,
+                max(CASE WHEN rk = 1 THEN v END) AS v1, max(CASE WHEN rk = 2 THEN v END) AS v2,
+                max(CASE WHEN rk = 3 THEN v END) AS v3 FROM t WHERE rk <= 3),
+  i3 AS (SELECT count(*) AS n, string_agg(label, ', ' ORDER BY rank) AS names,
+                max(CASE WHEN rank = 1 THEN potential END) AS p1, max(CASE WHEN rank = 2 THEN potential END) AS p2,
+                max(CASE WHEN rank = 3 THEN potential END) AS p3 FROM c WHERE rank <= 3)
+  SELECT 'regional' AS key, 'Regional Variations' AS title,
+         CASE WHEN t3.n >= 3 THEN 'The highest automation risk is concentrated in ' || t3.names
+              || '. These states show Iceberg Indices of ' || {_fx1('t3.v1')} || '%, ' || {_fx1('t3.v2')}
+              || '%, and ' || {_fx1('t3.v3')} || '% respectively.'
+              ELSE '{DB.REGIONAL_DEFAULT}' END AS content FROM t3
+  UNION ALL
+  SELECT 'industry', 'Industry Trends',
+         CASE WHEN i3.n >= 3 THEN i3.names || ' occupations consistently show the highest automation risk across all '
+              || 'states, with potential indices exceeding ' || {_fx1('i3.p1')} || '%, ' || {_fx1('i3.p2')}
+              || '%, and ' || {_fx1('i3.p3')} || '% respectively.'
+              ELSE '{DB.INDUSTRY_DEFAULT}' END FROM i3
+  UNION ALL
+  SELECT 'projection', 'Automation Projection',
+         'The current Iceberg Index of ' || {_fx('coalesce(o.cur, 1.75)')} || '% is projected to double to '
+         || {_fx('coalesce(o.cur, 1.75) * 2')} || '% within the next 18-24 months as MCP server adoption accelerates. '
+         || 'The significant gap between potential and current automation risk (' || {_fx1('coalesce(o.gap, 10.85)')}
+         || '% nationally) indicates substantial room for growth.' FROM o""".replace("WITH t AS", "SELECT * FROM (WITH t AS", 1) + ")",
+       views=("summary", "groups"), group="dashboards", ops=("P32", "P31", "D2"))
+def key_insights(spark, d):
+    r = _result(spark, d)
+    return DB.key_insights(DB.top_risk_areas(r.summary), DB.industry_risk_chart(r.groups),
+                           DB.national_overview(r.summary))
+
+
+@query("national_dashboard", sql=None, group="dashboards", ops=("D9", "S7"))
+def national_dashboard(spark, d):
+    r = _result(spark, d)
+    return DB.national_dashboard(r.summary, r.groups)
