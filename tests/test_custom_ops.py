@@ -133,3 +133,22 @@ def test_transition_types(spark):  # F8 / G7 labels
     import pytest
     with pytest.raises(ValueError):
         G.type_filter("sideways")
+
+
+def test_transition_edge_cases(spark):  # G3-G6 fixtures
+    # a: risk 0 -> risk factor 0; b is riskier than a -> no a->b pair; c has a vector that makes a
+    # negative weight (kept in the row sum, dropped from the graph); d is isolated (only riskier targets).
+    jobs = spark.createDataFrame([
+        ("a", [1.0, 0.0], 0.0, 0.5), ("b", [0.0, 1.0], 50.0, 0.5),
+        ("c", [-3.0, -3.0], 50.0, 0.0), ("d", [1.0, 1.0], -1.0, 1.0)],
+        "code string, v array<double>, risk double, hot double")
+    pairs = G.pair_weights(jobs, tile_size=2)
+    got = {(r.src, r.dst): r.w for r in pairs.collect()}
+    assert ("a", "b") not in got and ("d", "a") not in got   # riskier targets have weight 0
+    assert ("a", "d") in got and ("b", "c") in got and ("c", "b") in got
+    m = {(r.src, r.dst): r.p for r in G.transition_matrix(pairs).collect()}
+    for src in {"a", "b", "c"}:
+        row = [p for (s, _), p in m.items() if s == src]
+        assert abs(sum(row) - 1.0) < 1e-9          # rows (incl. negative weights) sum to 1
+    edges = G.graph_edges(G.transition_matrix(pairs))
+    assert all(r.weight > 0 for r in edges.collect())
