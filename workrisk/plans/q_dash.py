@@ -354,3 +354,9 @@ def key_insights(spark, d):
 def national_dashboard(spark, d):
     r = _result(spark, d)
     return DB.national_dashboard(r.summary, r.groups)
+
+
+@query("area_documents", sql=None, group="dashboards", ops=("D2", "D3", "D4", "D5", "D6", "D7", "S7"))
+def area_documents(spark, d):
+    r = _result(spark, d)
+    return DB.area_documents(r.summary, r.groups, r.occupations)
