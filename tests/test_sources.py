@@ -32,6 +32,8 @@ def test_soc_mapping_and_minor_titles(spark):
     assert m.count() == 2
     t = {r.minor_code: r.minor_title for r in readers.minor_titles(m).collect()}
     assert t == {"111": "Top Executives"}
+    g = {(r.level, r.code): r.title for r in readers.group_titles(m).collect()}
+    assert g == {("major", "11"): "Management", ("minor", "111"): "Top Executives", ("broad", "1110"): "b"}
 
 
 def test_code_list_and_roundtrip(spark):
