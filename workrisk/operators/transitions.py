@@ -99,7 +99,7 @@ def graph_edges(matrix: DataFrame) -> DataFrame:
 
 def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
              checkpoint_every: int = 10, broadcast_limit: int = 2_000_000,
-             edges_per_partition: int = 2_000_000) -> DataFrame:
+             edges_per_partition: int = 2_000_000, min_partitions: int | None = None) -> DataFrame:
     """Weighted PageRank, fixed iterations, no dangling redistribution.
 
     n = nodes touching at least one edge; start 1/n; new = (1-a)/n + a * sum(rank * w).
@@ -129,7 +129,7 @@ def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
     # Partition count from the edge count (each iteration runs one task per
     # partition): at least the cluster's parallelism, ~2 M edges per task.
     m = keyed.count() + n
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(m / edges_per_partition))
+    parts = max(min_partitions or 2 * spark.sparkContext.defaultParallelism, math.ceil(m / edges_per_partition))
     e = materialize(keyed.unionByName(loops).repartition(parts, "d")).persist()
     base = (1.0 - alpha) / n
     ranks = ids.select(F.col("id").alias("s"), F.lit(1.0 / n).alias("rank"))
