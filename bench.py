@@ -28,6 +28,7 @@ def main() -> None:
                           extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt")})
     from workrisk.plans.catalog import all_queries
     qs = all_queries()
+    spark.range(1000).count()  # session warm-up only (JVM start); no query work is done here
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
     for name in names:
