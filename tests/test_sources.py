@@ -48,3 +48,14 @@ def test_code_list_and_roundtrip(spark):
     sinks.write_partitioned(df, out)
     back = spark.read.parquet(out)
     assert sorted((r.state, r.v) for r in back.collect()) == [("A", 1.0), ("B", 2.0)]
+
+
+def test_area_files(spark):
+    d = tempfile.mkdtemp()
+    for area, v in (("new_york", 1), ("guam", 2)):
+        with open(os.path.join(d, f"{area}_industry_analysis.csv"), "w") as f:
+            f.write(f"minor_group,TOT_EMP\n111,{v}\n")
+        with open(os.path.join(d, f"{area}_summary.csv"), "w") as f:
+            f.write("x\n1\n")
+    df = readers.read_area_files(spark, d, "_industry_analysis.csv", "minor_group string, TOT_EMP double")
+    assert sorted((r.state, r.TOT_EMP) for r in df.collect()) == [("Guam", 2.0), ("New York", 1.0)]
