@@ -3,10 +3,12 @@
 All areas are computed in one pass. Per-area scalars (totals, maxima,
 medians) are computed with ``groupBy(area)`` - partial aggregation before the
 shuffle - and joined back on the area key, instead of windows partitioned by
-area: a window would put every row of a hot area into one task, while the
-aggregated side is one row per area and AQE broadcasts it after measuring it.
-Global scalars (tech maximum, tech median) are one-row aggregates joined with
-an explicit broadcast (a one-row side has a proven size bound).
+area: a window would put every row of a hot area into one task. The joined-back
+side has one row per area (or per area x major group / 2-digit prefix), a size
+bounded by geography x occupation taxonomy and not by data volume, so it is
+broadcast explicitly (``_per_area``) and the occupation table is never
+shuffled for a join-back. Global scalars (tech maximum, tech median) are
+one-row aggregates (``with_scalars``).
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ DEFAULT_WAGE = 50000.0
 LEVEL_ORDER = ["detailed", "broad", "major", "minor", "total"]
 
 
+def _per_area(stats: DataFrame) -> DataFrame:
+    """Broadcast a per-area (or area x major-group) aggregate: bounded by geography x taxonomy."""
+    return F.broadcast(stats)
+
+
 def _level_rank(c: str = "O_GROUP") -> Column:
     pos = F.array_position(F.array(*[F.lit(x) for x in LEVEL_ORDER]), F.col(c))
     return F.when(pos > 0, pos).otherwise(F.lit(len(LEVEL_ORDER) + 1))
@@ -81,7 +88,7 @@ def select_levels(emp: DataFrame, area: str = AREA, level: str = "O_GROUP", code
     stats = prefix_stats.join(area_stats, area).select(
         area, "_p2", "_n_all", "_n_det", "_n_broad", "_n_total",
         (F.col("_c_det") > 0).alias("_det_prefix"), (F.col("_c_major") > 0).alias("_major_prefix"))
-    j = with_prefix.join(stats, [area, "_p2"])
+    j = with_prefix.join(_per_area(stats), [area, "_p2"])
     add_broad = ((F.col("_n_det") < F.col("_n_all") * detailed_share_min) & (F.col("_n_broad") > 0)
                  & (lv == "broad") & F.col("_major_prefix") & ~F.col("_det_prefix"))
     keep = (F.when(F.col("_n_det") > 0, (lv == "detailed") | add_broad)
@@ -149,7 +156,7 @@ def fill_wages(occ: DataFrame, nat_wages: DataFrame, area: str = AREA,
     ok = F.col("A_MEAN").isNotNull() & (F.col("A_MEAN") != 0)
     med = step1.groupBy(area).agg(F.percentile(F.when(ok, F.col("A_MEAN")), 0.5).alias("_med_wage"))
     fill = F.coalesce(F.when(F.col("_med_wage") != 0, F.col("_med_wage")), F.lit(default_wage))
-    return (step1.join(med, area, "left")
+    return (step1.join(_per_area(med), area, "left")
                  .withColumn("A_MEAN", F.when(ok, F.col("A_MEAN")).otherwise(fill))
                  .drop("_med_wage"))
 
@@ -182,7 +189,7 @@ def app_coverage(occ: DataFrame, apps_by_major: DataFrame | None, area: str = AR
     spread_max = F.coalesce(F.col("_am") * safe_div("_max_emp", "major_group_emp_total"), F.lit(0.0))
     area_max = major.groupBy(area).agg(F.max(spread_max).alias("_max_apps"))
     stats = major.join(area_max, area).select(area, "major_group", "major_group_emp_total", "_max_apps")
-    o = o.join(stats, [area, "major_group"])
+    o = o.join(_per_area(stats), [area, "major_group"])
     apps = F.coalesce(F.col("estimated_zapier_apps_major") * safe_div("TOT_EMP", "major_group_emp_total"),
                       F.lit(0.0))
     o = (o.withColumn("estimated_zapier_apps", apps)
@@ -208,7 +215,7 @@ def measure(occ: DataFrame, minor_titles: DataFrame | None = None, area: str = A
     # susc * ev / total is max(susc * ev) / total).
     tot = occ.groupBy(area).agg(sum0(ev).alias("_tot_ev"), sum0("TOT_EMP").alias("_tot_emp"),
                                 F.max(susc * ev).alias("_mx_ev"), F.max(susc * F.col("TOT_EMP")).alias("_mx_emp"))
-    o = occ.join(tot, area)
+    o = occ.join(_per_area(tot), area)
     use_emp = F.col("_tot_ev") == 0
     o = (o.withColumn("economic_value", F.when(use_emp, F.col("TOT_EMP")).otherwise(ev))
           .withColumn("area_economic_value", F.when(use_emp, F.col("_tot_emp")).otherwise(F.col("_tot_ev")))
