@@ -152,3 +152,22 @@ def test_transition_edge_cases(spark):  # G3-G6 fixtures
         assert abs(sum(row) - 1.0) < 1e-9          # rows (incl. negative weights) sum to 1
     edges = G.graph_edges(G.transition_matrix(pairs))
     assert all(r.weight > 0 for r in edges.collect())
+
+
+def test_quantiles_by_key_matches_percentile(spark):
+    from pyspark.sql import functions as F
+    from workrisk.operators.common import quantiles_by_key
+    rnd = random.Random(11)
+    rows = [("hot", float(rnd.randint(0, 50))) for _ in range(400)]          # a hot key with ties
+    rows += [(f"k{i}", float(rnd.random())) for i in range(30) for _ in range(rnd.randint(1, 4))]
+    rows += [("nulls", None), ("k0", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.25, 0.5, 0.75, 0.9]
+    got = {(r.k, r.q): r.quantile for r in quantiles_by_key(df, ["k"], "v", qs).collect()}
+    exp = {}
+    for r in df.groupBy("k").agg(F.percentile("v", qs).alias("p")).collect():
+        if r.p is not None:
+            for q, x in zip(qs, r.p):
+                exp[(r.k, q)] = x
+    assert got.keys() == exp.keys()
+    assert all(abs(got[key] - exp[key]) <= 1e-12 * (1 + abs(exp[key])) for key in exp)

@@ -32,3 +32,45 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     has a proven size bound; the join never multiplies rows.
     """
     return df.crossJoin(F.broadcast(scalars))
+
+
+def keyed_positions(df: DataFrame, keys: list[str], order: list[Column], pos_col: str = "pos",
+                    partitions: int | None = None) -> DataFrame:
+    """1-based position of each row within its key under ``order``, skew-safe.
+
+    Rows are range-partitioned on (keys, order), so a hot key spans several
+    partitions; each partition ranks its rows per key, and a key's offset in a
+    partition is the number of its rows in earlier partitions (a prefix sum
+    over the small (partition, key) count table).
+    """
+    n_parts = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    r = (df.repartitionByRange(n_parts, *[F.col(k) for k in keys], *order)
+           .withColumn("_pid", F.spark_partition_id()))
+    counts = r.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
+    prev = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_c").over(prev), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order))
+    return (r.withColumn("_rn", local).join(offsets, ["_pid", *keys])
+             .withColumn(pos_col, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))
+
+
+def quantiles_by_key(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (as ``percentile``) per key, without
+    holding a group's values in one aggregation buffer.
+
+    Returns (keys..., q, quantile); NULL values are ignored; keys without
+    values are absent.
+    """
+    from workrisk.session import materialize
+    v = materialize(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
+    # positions are read three times (counts, lower and upper neighbour): cut them once
+    pos = materialize(keyed_positions(v, keys, [F.col("_v").asc()]))
+    n = pos.groupBy(*keys).agg(F.max("pos").alias("_n"))
+    want = (n.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+             .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
+             .withColumn("_lo", F.floor("_h") + 1).withColumn("_hi", F.ceil("_h") + 1)
+             .withColumn("_f", F.col("_h") - F.floor("_h")))
+    lo = pos.select(*keys, F.col("pos").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi = pos.select(*keys, F.col("pos").alias("_hi"), F.col("_v").alias("_vhi"))
+    j = want.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
+    return j.select(*keys, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("quantile"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from workrisk.functions import (clean_soc_code, clip, dirty_to_double, major_code, minor_code,
                                 risk_category, safe_div, sum0)
-from workrisk.operators.common import with_scalars
+from workrisk.operators.common import quantiles_by_key, with_scalars
 from workrisk.session import materialize
 
 AREA = "AREA_TITLE"
@@ -154,7 +154,9 @@ def fill_wages(occ: DataFrame, nat_wages: DataFrame, area: str = AREA,
                 .withColumn("A_MEAN", F.when(missing, F.col("_nat_wage")).otherwise(F.col("A_MEAN")))
                 .drop("_nat_wage"))
     ok = F.col("A_MEAN").isNotNull() & (F.col("A_MEAN") != 0)
-    med = step1.groupBy(area).agg(F.percentile(F.when(ok, F.col("A_MEAN")), 0.5).alias("_med_wage"))
+    # exact median per area without buffering an area's wages in one task
+    med = (quantiles_by_key(step1.filter(ok), [area], "A_MEAN", [0.5])
+           .select(area, F.col("quantile").alias("_med_wage")))
     fill = F.coalesce(F.when(F.col("_med_wage") != 0, F.col("_med_wage")), F.lit(default_wage))
     return (step1.join(_per_area(med), area, "left")
                  .withColumn("A_MEAN", F.when(ok, F.col("A_MEAN")).otherwise(fill))
