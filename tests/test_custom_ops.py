@@ -171,3 +171,19 @@ def test_quantiles_by_key_matches_percentile(spark):
                 exp[(r.k, q)] = x
     assert got.keys() == exp.keys()
     assert all(abs(got[key] - exp[key]) <= 1e-12 * (1 + abs(exp[key])) for key in exp)
+
+
+def test_keyed_positions_stable_under_checkpoint(spark):
+    """Positions must not depend on whether the range shuffle is evaluated once or twice."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from workrisk.operators.common import keyed_positions
+    from workrisk.session import materialize
+    rnd = random.Random(5)
+    rows = [("hot" if i % 3 else f"k{i % 7}", rnd.random(), f"c{i:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double, code string")
+    order = [F.col("v").desc(), F.col("code").asc()]
+    kp = materialize(keyed_positions(df, ["k"], order))
+    w = kp.withColumn("p2", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    assert w.count() == 3000
+    assert w.filter(F.col("pos") != F.col("p2")).count() == 0

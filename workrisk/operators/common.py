@@ -43,9 +43,13 @@ def keyed_positions(df: DataFrame, keys: list[str], order: list[Column], pos_col
     partition is the number of its rows in earlier partitions (a prefix sum
     over the small (partition, key) count table).
     """
+    from workrisk.session import materialize
     n_parts = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    r = (df.repartitionByRange(n_parts, *[F.col(k) for k in keys], *order)
-           .withColumn("_pid", F.spark_partition_id()))
+    # The partition id is materialised with the rows: the counts and the local
+    # ranks below must see the same range assignment (two range shuffles of the
+    # same input may sample different bounds).
+    r = materialize(df.repartitionByRange(n_parts, *[F.col(k) for k in keys], *order)
+                      .withColumn("_pid", F.spark_partition_id()))
     counts = r.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
     prev = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_c").over(prev), F.lit(0)).alias("_off"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workrisk.operators.common import with_scalars
+from workrisk.session import materialize
 
 HIST_BINS = 30
 KDE_POINTS = 100
@@ -80,7 +81,9 @@ def global_positions(df: DataFrame, order: list[Column], partitions: int | None
                      pos_col: str = "pos") -> DataFrame:
     """1-based position of every row under a total order, without a global window."""
     n_parts = partitions or df.sparkSession.sparkContext.defaultParallelism
-    r = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
+    # rows and their range partition id are materialised together, so that the
+    # counts and the local ranks see one and the same range assignment
+    r = materialize(df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id()))
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.withColumn("_off", F.coalesce(
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -106,7 +109,7 @@ def label_density(df: DataFrame, score: str, label: str, key: str, window: int =
     """
     order = [F.col(score).desc_nulls_last(), F.col(key).asc()]
     n_parts = df.sparkSession.sparkContext.defaultParallelism
-    r = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
+    r = materialize(df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id()))
     w_local = Window.partitionBy("_pid").orderBy(*order)
     r = (r.withColumn("_rn", F.row_number().over(w_local))
           .withColumn("_run", F.sum(F.col(label)).over(w_local.rowsBetween(Window.unboundedPreceding, 0))))

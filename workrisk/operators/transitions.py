@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workrisk.operators.common import with_scalars
+from workrisk.operators.common import top_k, with_scalars
 from workrisk.functions import clean_onet_code
 from workrisk.functions import major_code as _major
 from workrisk.functions import minor_code as _minor
@@ -223,8 +223,7 @@ def recommendations(edges: DataFrame, vectors: DataFrame, titles: DataFrame, tec
     e = edges.filter(type_filter(transition_type))
     if sources is not None:
         e = e.join(sources.select(F.col("code").alias("src")).distinct(), "src", "left_semi")
-    w = Window.partitionBy("src").orderBy(F.col("weight").desc(), F.col("dst").asc())
-    top = e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    top = top_k(e, ["src"], [F.col("weight").desc()], n, ["dst"])
     vs = vectors.select(F.col("code").alias("src"), F.col("v").alias("sv"))
     vt = vectors.select(F.col("code").alias("dst"), F.col("v").alias("tv"))
     st = job_titles(top.select(F.col("src").alias("code")).distinct(), titles).withColumnRenamed("code", "src") \
