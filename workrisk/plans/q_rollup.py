@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from workrisk.operators import opportunity as OP
 from workrisk.operators import rollup as R
 from workrisk.plans import oracle_rollup  # noqa: F401
 from workrisk.plans.q_exposure import _result
-from workrisk.plans.q_skills import CATS, skills_risk_table
+from workrisk.plans.q_skills import skills_risk_table
 from workrisk.plans.registry import query
-from workrisk.sources import domain
 from workrisk.plans.stages import stage
 from workrisk.session import materialize
+from workrisk.sources import domain
 
 SIX = tuple(OP.SIX)
 
