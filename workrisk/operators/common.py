@@ -58,15 +58,17 @@ def keyed_positions(df: DataFrame, keys: list[str], order: list[Column], pos_col
              .withColumn(pos_col, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))
 
 
-def quantiles_by_key(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+def quantiles_by_key(df: DataFrame, keys: list[str], value: str, qs: list[float],
+                     cut_input: bool = True) -> DataFrame:
     """Exact quantiles with linear interpolation (as ``percentile``) per key, without
     holding a group's values in one aggregation buffer.
 
     Returns (keys..., q, quantile); NULL values are ignored; keys without
-    values are absent.
+    values are absent. ``cut_input=False`` when ``df`` is already materialised.
     """
     from workrisk.session import materialize
-    v = materialize(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
+    v = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    v = materialize(v) if cut_input else v
     # positions are read three times (counts, lower and upper neighbour): cut them once
     pos = materialize(keyed_positions(v, keys, [F.col("_v").asc()]))
     n = pos.groupBy(*keys).agg(F.max("pos").alias("_n"))

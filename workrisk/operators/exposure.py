@@ -150,12 +150,13 @@ def fill_wages(occ: DataFrame, nat_wages: DataFrame, area: str = AREA,
                default_wage: float = DEFAULT_WAGE) -> DataFrame:
     """missing/zero wage -> national wage -> area median of the rest -> default."""
     missing = F.col("A_MEAN").isNull() | (F.col("A_MEAN") == 0)
-    step1 = (occ.join(nat_wages, CODE, "left")
-                .withColumn("A_MEAN", F.when(missing, F.col("_nat_wage")).otherwise(F.col("A_MEAN")))
-                .drop("_nat_wage"))
+    # cut once: read by the median and by the final fill
+    step1 = materialize(occ.join(nat_wages, CODE, "left")
+                           .withColumn("A_MEAN", F.when(missing, F.col("_nat_wage")).otherwise(F.col("A_MEAN")))
+                           .drop("_nat_wage"))
     ok = F.col("A_MEAN").isNotNull() & (F.col("A_MEAN") != 0)
     # exact median per area without buffering an area's wages in one task
-    med = (quantiles_by_key(step1.filter(ok), [area], "A_MEAN", [0.5])
+    med = (quantiles_by_key(step1.filter(ok), [area], "A_MEAN", [0.5], cut_input=False)
            .select(area, F.col("quantile").alias("_med_wage")))
     fill = F.coalesce(F.when(F.col("_med_wage") != 0, F.col("_med_wage")), F.lit(default_wage))
     return (step1.join(_per_area(med), area, "left")
@@ -324,7 +325,7 @@ def occupations(employment: DataFrame, tech: DataFrame, apps: DataFrame | None =
     occ = select_levels(emp.filter(is_state_area()))
     occ = dedup_first(occ, [AREA, CODE], [_level_rank().asc(), F.col("OCC_CODE").asc(), F.col("OCC_TITLE").asc()])
     occ = attach_tech(occ, tech_susceptibility(tech))
-    occ = materialize(fill_wages(occ, national_wages(emp)))
+    occ = fill_wages(occ, national_wages(emp))
     occ = app_coverage(occ, app_counts_by_major(apps))
     return materialize(measure(occ, minor_titles, threshold=threshold))
 
