@@ -328,7 +328,7 @@ def _fx1(x: str) -> str:
                 max(CASE WHEN rank = 3 THEN potential END) AS p3 FROM c WHERE rank <= 3)
   SELECT 'regional' AS key, 'Regional Variations' AS title,
          CASE WHEN t3.n >= 3 THEN 'The highest automation risk is concentrated in ' || t3.names
-              || '. These states show Iceberg Indices of ' || {_fx1('t3.v1')} || '%, ' || {_fx1('t3.v2')}
+              || '. These states show exposure indices of ' || {_fx1('t3.v1')} || '%, ' || {_fx1('t3.v2')}
               || '%, and ' || {_fx1('t3.v3')} || '% respectively.'
               ELSE '{DB.REGIONAL_DEFAULT}' END AS content FROM t3
   UNION ALL
@@ -339,7 +339,7 @@ def _fx1(x: str) -> str:
               ELSE '{DB.INDUSTRY_DEFAULT}' END FROM i3
   UNION ALL
   SELECT 'projection', 'Automation Projection',
-         'The current Iceberg Index of ' || {_fx('coalesce(o.cur, 1.75)')} || '% is projected to double to '
+         'The current exposure index of ' || {_fx('coalesce(o.cur, 1.75)')} || '% is projected to double to '
          || {_fx('coalesce(o.cur, 1.75) * 2')} || '% within the next 18-24 months as MCP server adoption accelerates. '
          || 'The significant gap between potential and current automation risk (' || {_fx1('coalesce(o.gap, 10.85)')}
          || '% nationally) indicates substantial room for growth.' FROM o""".replace("WITH t AS", "SELECT * FROM (WITH t AS", 1) + ")",
