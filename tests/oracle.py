@@ -30,8 +30,25 @@ def _norm(v, places=6):
     return v
 
 
-def compare(spark_df, con, sql, places=9, show=5):
+SPARK_TO_DUCK = {"StringType": "VARCHAR", "DoubleType": "DOUBLE", "LongType": "BIGINT", "IntegerType": "INTEGER",
+                 "BooleanType": "BOOLEAN", "FloatType": "FLOAT"}
+
+
+def type_mismatches(spark_df, con, sql):
+    """Columns whose Spark type and DuckDB result type differ."""
+    st = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+          for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+
+
+def compare(spark_df, con, sql, places=9, show=5, check_types=False):
     """Return (ok, message). Columns are matched by name; rows order-insensitively."""
+    if check_types:
+        bad = type_mismatches(spark_df, con, sql)
+        if bad:
+            return False, f"types differ: {bad}"
     sp_cols = sorted(spark_df.columns)
     rows = [tuple(_norm(r[c], places) for c in sp_cols) for r in spark_df.collect()]
     rel = con.execute(sql)

@@ -6,7 +6,8 @@ from conftest import SF_SMALL
 from oracle import compare, duck
 from workrisk.plans.catalog import all_queries
 
-SAMPLE = ["exposure_index_by_group", "area_summary", "level_fallback", "wage_fill", "quality_report",
+SAMPLE = ["exposure_index_by_group", "area_summary", "occupation_details", "level_fallback", "wage_fill",
+          "quality_report", "box_stats", "synthetic_distribution",
           "skill_categories", "risk_long_term", "nearest_code", "adoption_fill", "opportunity_v2",
           "sector_rollup", "sector_top5", "transition_matrix", "recommendations", "skill_gaps",
           "wage_quartiles", "similar_areas", "projection", "histogram", "ecdf", "label_density"]
@@ -20,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_oracle(spark, con, name):
     q = all_queries()[name]
-    ok, msg = compare(q.build(spark, SF_SMALL), con, q.sql)
+    ok, msg = compare(q.build(spark, SF_SMALL), con, q.sql, check_types=True)
     assert ok, msg
 
 

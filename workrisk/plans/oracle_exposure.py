@@ -115,7 +115,7 @@ register("occupations", ("occ_measure1",), """
   SELECT * EXCLUDE (epi, a_tot_ev, a_tot_emp, mx),
          epi / NULLIF(max(epi) OVER (PARTITION BY AREA_TITLE), 0) AS econ_potential_index,
          substring(SOC_Code_Cleaned, 1, 3) AS minor_group, substring(SOC_Code_Cleaned, 1, 3) AS minor_group_name
-  FROM (SELECT *, CASE WHEN is_potentially_at_risk THEN 100.0 ELSE 0.0 END AS potential_index,
+  FROM (SELECT *, CASE WHEN is_potentially_at_risk THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS potential_index,
                automation_susceptibility * economic_value / NULLIF(area_economic_value, 0) AS epi
         FROM occ_measure1)
   WHERE SOC_Code_Cleaned IS NOT NULL AND trim(SOC_Code_Cleaned) <> ''""")
@@ -131,8 +131,8 @@ register("groups", ("occupations",), """
                coalesce(sum(TOT_EMP), 0.0) AS TOT_EMP, coalesce(sum(economic_value), 0.0) AS economic_value,
                avg(automation_susceptibility) AS automation_susceptibility,
                avg(enhanced_automation_risk) AS enhanced_automation_risk,
-               count_if(is_potentially_at_risk) AS is_potentially_at_risk,
-               count_if(is_currently_at_risk) AS is_currently_at_risk,
+               CAST(count_if(is_potentially_at_risk) AS BIGINT) AS is_potentially_at_risk,
+               CAST(count_if(is_currently_at_risk) AS BIGINT) AS is_currently_at_risk,
                coalesce(sum(estimated_zapier_apps), 0.0) AS estimated_zapier_apps,
                avg(zapier_apps_per_worker) AS zapier_apps_per_worker,
                coalesce(string_agg(CASE WHEN is_potentially_at_risk THEN SOC_Code_Cleaned END, ','
@@ -158,8 +158,8 @@ register("summary", ("occupations", "groups"), """
          potential_ratio AS pct_potential_economic_value_at_risk,
          iceberg_ratio AS pct_current_economic_value_at_risk
   FROM (SELECT AREA_TITLE, count(*) AS total_occupations,
-               count_if(is_potentially_at_risk) AS occupations_at_potential_risk,
-               count_if(is_currently_at_risk) AS occupations_at_current_risk,
+               CAST(count_if(is_potentially_at_risk) AS BIGINT) AS occupations_at_potential_risk,
+               CAST(count_if(is_currently_at_risk) AS BIGINT) AS occupations_at_current_risk,
                coalesce(sum(TOT_EMP), 0.0) AS total_employment,
                coalesce(sum(CASE WHEN is_potentially_at_risk THEN TOT_EMP END), 0.0) AS potential_employment_at_risk,
                coalesce(sum(CASE WHEN is_currently_at_risk THEN TOT_EMP END), 0.0) AS current_employment_at_risk,

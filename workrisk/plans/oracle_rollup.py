@@ -82,10 +82,10 @@ register("sector_roll", ("detailed_opp",), """
          CAST(coalesce(sum(CASE WHEN perc_ile_thresholded_risk THEN RISK_EMP END), 0) AS BIGINT) AS risk_employment,
          CAST(coalesce(sum(CASE WHEN perc_ile_thresholded_risk THEN AT_RISK_ECONOMIC_VALUE END), 0) AS BIGINT)
            AS risk_economic_value,
-         count_if(perc_ile_thresholded_risk) AS risk_occupations,
+         CAST(count_if(perc_ile_thresholded_risk) AS BIGINT) AS risk_occupations,
          coalesce(sum(CASE WHEN is_opp THEN TOT_EMP END), 0.0) AS opportunity_employment,
          coalesce(sum(CASE WHEN is_opp THEN economic_value END), 0.0) AS opportunity_economic_value,
-         count_if(is_opp) AS opportunity_occupations,
+         CAST(count_if(is_opp) AS BIGINT) AS opportunity_occupations,
          coalesce(coalesce(sum(CASE WHEN perc_ile_thresholded_risk THEN RISK_EMP END), 0)
                   / NULLIF(coalesce(sum(TOT_EMP), 0.0), 0) * 100.0, 0.0) AS risk_impact_pct,
          coalesce(coalesce(sum(CASE WHEN is_opp THEN TOT_EMP END), 0.0)

@@ -241,7 +241,7 @@ def retraining(spark, d):
 
 
 @query("synthetic_distribution", sql="""
-  SELECT position, label, employment, employment / t * 100 AS percentage FROM (
+  SELECT CAST(position AS BIGINT) AS position, label, employment, employment / t * 100 AS percentage FROM (
     SELECT p.position, p.label, t,
            CASE p.position WHEN 0 THEN a * 0.4 * 0.3 WHEN 1 THEN a * 0.4 * 0.7 WHEN 2 THEN a * 0.6 * 1.0
                            WHEN 3 THEN (t - a) * 0.65 ELSE (t - a) * 0.35 END AS employment

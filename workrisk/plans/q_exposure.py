@@ -134,7 +134,7 @@ def dedup_first(spark, d):
            AS total_mismatch,
          null_employment, duplicate_codes
   FROM (SELECT AREA_TITLE, coalesce(sum(TOT_EMP), 0.0) AS calculated_total,
-               count_if(TOT_EMP IS NULL) AS null_employment,
+               CAST(count_if(TOT_EMP IS NULL) AS BIGINT) AS null_employment,
                count(*) - count(DISTINCT SOC_Code_Cleaned) AS duplicate_codes
         FROM occ_levels GROUP BY AREA_TITLE) s
   LEFT JOIN (SELECT AREA_TITLE, min(TOT_EMP) AS official_total FROM emp_clean WHERE O_GROUP = 'total'

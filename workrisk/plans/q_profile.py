@@ -38,7 +38,7 @@ def histogram(spark, d):
 @query("box_stats", sql=f"""
   SELECT q1, median, q3, min({COL}) FILTER (WHERE {COL} >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
          max({COL}) FILTER (WHERE {COL} <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
-         count_if({COL} < q1 - 1.5 * (q3 - q1) OR {COL} > q3 + 1.5 * (q3 - q1)) AS outliers
+         CAST(count_if({COL} < q1 - 1.5 * (q3 - q1) OR {COL} > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS outliers
   FROM tech, (SELECT quantile_cont({COL}, 0.25) AS q1, median({COL}) AS median,
                      quantile_cont({COL}, 0.75) AS q3 FROM tech) q
   GROUP BY q1, median, q3""", views=("tech",), rounded=("q1", "median", "q3"), group="profile", ops=("T4",))
@@ -82,7 +82,7 @@ def correlation(spark, d):
 
 @query("label_density", sql="""
   SELECT doc_id, score, label, row_number() OVER w AS pos,
-         CASE WHEN count(*) OVER w20 = 20 THEN sum(label) OVER w20 END AS label_sum
+         CASE WHEN count(*) OVER w20 = 20 THEN CAST(sum(label) OVER w20 AS BIGINT) END AS label_sum
   FROM score_labels
   WINDOW w AS (ORDER BY score DESC NULLS LAST, doc_id),
          w20 AS (ORDER BY score DESC NULLS LAST, doc_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
