@@ -59,3 +59,41 @@ def test_area_files(spark):
             f.write("x\n1\n")
     df = readers.read_area_files(spark, d, "_industry_analysis.csv", "minor_group string, TOT_EMP double")
     assert sorted((r.state, r.TOT_EMP) for r in df.collect()) == [("Guam", 2.0), ("New York", 1.0)]
+
+
+def test_employment_csv_end_to_end(spark):  # S1 + P1/P6 (M1)
+    from workrisk.operators import exposure as X
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "emp.csv")
+    with open(p, "w") as f:
+        f.write("AREA_TITLE,OCC_CODE,OCC_TITLE,O_GROUP,TOT_EMP,A_MEAN,A_MEDIAN\n"
+                'Guam,11-1011,Chief Executives,detailed,"1,234","123,080",*\n'
+                "Guam,11-1021,Managers,detailed,*,#,\n")
+    e = X.clean_employment(readers.read_employment(spark, p))
+    got = sorted((r.SOC_Code_Cleaned, r.TOT_EMP, r.A_MEAN, r.A_MEDIAN) for r in e.collect())
+    assert got == [("111011", 1234.0, 123080.0, None), ("111021", None, None, None)]
+
+
+def test_recommendations_for_requested_codes(spark):  # S4 + G7
+    import pytest
+
+    from workrisk.operators import transitions as G
+    vec = spark.createDataFrame([("11-1011.00", [1.0, 0.5]), ("11-2011.00", [0.8, 0.4]), ("13-1011.00", [0.1, 0.9])],
+                                "code string, v array<double>")
+    edges = spark.createDataFrame([("11-1011.00", "11-2011.00", 0.7), ("11-1011.00", "13-1011.00", 0.3),
+                                   ("13-1011.00", "11-1011.00", 1.0)], "src string, dst string, weight double")
+    titles = spark.createDataFrame([("11-1011.00", "CEO"), ("11-2011.00", "Ad manager")], "onet_code string, title string")
+    tech = spark.createDataFrame([("11-2011.00", 20.0, 0.5)], "onet_code string, tech_intensity_score double, hot_tech_ratio double")
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "look_for.txt")
+    with open(p, "w") as f:
+        f.write("11-1011.00\n99-9999.00\n")
+    req = readers.read_code_list(spark, p)
+    rows = G.recommendations(edges, vec, titles, tech, ["a", "b"], n=5, transition_type="general", sources=req).collect()
+    assert sorted((r.source_job, r.target_job, r.rank) for r in rows) == [
+        ("11-1011.00", "11-2011.00", 1), ("11-1011.00", "13-1011.00", 2)]
+    by_dst = {r.target_job: r for r in rows}
+    assert by_dst["13-1011.00"].target_title == "Unknown Job (13-1011.00)"
+    assert by_dst["11-2011.00"].transition_type == "different_minor"
+    with pytest.raises(ValueError):
+        G.recommendations(edges, vec, titles, tech, ["a", "b"], transition_type="lateral")
