@@ -128,7 +128,7 @@ def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
     loops = ids.select(F.col("id").alias("s"), F.col("id").alias("d"), F.lit(0.0).alias("weight"))
     # Partition count from the edge count (each iteration runs one task per
     # partition): at least the cluster's parallelism, ~2 M edges per task.
-    m = keyed.count() + n
+    m = e0.count() + n  # every edge keeps both endpoints in ``ids``
     parts = max(min_partitions or 2 * spark.sparkContext.defaultParallelism, math.ceil(m / edges_per_partition))
     e = materialize(keyed.unionByName(loops).repartition(parts, "d")).persist()
     base = (1.0 - alpha) / n
