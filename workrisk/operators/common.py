@@ -26,12 +26,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, tiebreak:
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row global aggregate (a scalar subquery) to every row.
+    """Attach the columns of a one-row global aggregate to every row.
 
-    ``scalars`` must be a global ``agg`` (exactly one row), so broadcasting it
-    has a proven size bound; the join never multiplies rows.
+    The aggregate becomes one uncorrelated scalar subquery (``DataFrame.scalar``)
+    returning a struct: it runs once and its value is inlined into the
+    projection - no join is planned. Spark fails if ``scalars`` has more than
+    one row.
     """
-    return df.crossJoin(F.broadcast(scalars))
+    cols = scalars.columns
+    s = scalars.select(F.struct(*[F.col(c) for c in cols]).alias("_scalars")).scalar()
+    return (df.withColumn("_scalars", s)
+              .select(*[F.col(c) for c in df.columns], *[F.col("_scalars")[c].alias(c) for c in cols]))
 
 
 def keyed_positions(df: DataFrame, keys: list[str], order: list[Column], pos_col: str = "pos",
