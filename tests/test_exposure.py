@@ -86,3 +86,21 @@ def test_fact_scan_is_pruned(spark):
         domain.employment(spark, SF_SMALL).explain(mode="formatted")
     plan = buf.getvalue()
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_extendedprice:double>" in plan
+
+
+def test_zero_value_area_and_null_group(spark):  # P11 / M2 / M5
+    occ = spark.createDataFrame(
+        [("Z", "111011", 10.0, 0.0, 60.0, 70.0), ("Z", "111021", 30.0, 0.0, 40.0, 20.0),
+         ("Y", "222011", None, 100.0, 55.0, 10.0), ("Y", "333011", 5.0, 100.0, 10.0, 10.0)],
+        "AREA_TITLE string, SOC_Code_Cleaned string, TOT_EMP double, A_MEAN double, "
+        "automation_susceptibility double, enhanced_automation_risk double")
+    occ = occ.withColumn("estimated_zapier_apps", F.lit(0.0)).withColumn("zapier_apps_per_worker", F.lit(0.0))
+    m = X.measure(occ)
+    z = {r.SOC_Code_Cleaned: r for r in m.filter("AREA_TITLE = 'Z'").collect()}
+    # area Z has zero total value -> employment is the value and the area total
+    assert z["111011"].economic_value == 10.0 and z["111011"].area_economic_value == 40.0
+    assert z["111011"].is_potentially_at_risk and z["111011"].is_currently_at_risk
+    g = {(r.AREA_TITLE, r.minor_group): r for r in X.group_index(m).collect()}
+    assert g[("Y", "222")].TOT_EMP == 0.0 and g[("Y", "222")].economic_value == 0.0  # all-NULL group sums to 0
+    assert g[("Y", "222")].minor_iceberg_index is None                               # 0 / 0 -> NULL
+    assert abs(g[("Z", "111")].minor_potential_index - 25.0) < 1e-12                 # 10 of 40 at risk
