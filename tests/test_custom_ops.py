@@ -187,3 +187,18 @@ def test_keyed_positions_stable_under_checkpoint(spark):
     w = kp.withColumn("p2", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
     assert w.count() == 3000
     assert w.filter(F.col("pos") != F.col("p2")).count() == 0
+
+
+def test_ties_nulls_and_duplicates(spark):  # M10 / M11
+    from pyspark.sql import functions as F
+    from workrisk.operators.common import top_k
+    from workrisk.operators.exposure import dedup_first
+    rows = [("A", "c3", 5.0), ("A", "c1", 5.0), ("A", "c2", None), ("A", "c4", 7.0), ("A", "c5", 5.0)]
+    df = spark.createDataFrame(rows, "k string, code string, v double")
+    got = [(r.rank, r.code) for r in top_k(df, ["k"], [F.col("v").desc_nulls_last()], 4, ["code"], salt_buckets=3)
+           .orderBy("rank").collect()]
+    assert got == [(1, "c4"), (2, "c1"), (3, "c3"), (4, "c5")]          # ties by code, NULL last
+    dup = spark.createDataFrame([("A", "c1", "x", 2), ("A", "c1", "y", 1), ("B", "c1", "z", 3)],
+                                "k string, code string, payload string, o int")
+    kept = {(r.k, r.code): r.payload for r in dedup_first(dup, ["k", "code"], [F.col("o").asc()]).collect()}
+    assert kept == {("A", "c1"): "y", ("B", "c1"): "z"}
