@@ -202,3 +202,11 @@ def test_ties_nulls_and_duplicates(spark):  # M10 / M11
                                 "k string, code string, payload string, o int")
     kept = {(r.k, r.code): r.payload for r in dedup_first(dup, ["k", "code"], [F.col("o").asc()]).collect()}
     assert kept == {("A", "c1"): "y", ("B", "c1"): "z"}
+
+
+def test_histogram_last_bin_closed(spark):  # T3
+    vals = [0.0, 1.0, 2.5, 10.0, 10.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = {r.bin: r["count"] for r in P.histogram(df, "x", bins=4).collect()}
+    exp_counts, _ = np.histogram(vals, bins=4)
+    assert [got[i + 1] for i in range(4)] == list(exp_counts)
