@@ -210,3 +210,15 @@ def test_histogram_last_bin_closed(spark):  # T3
     got = {r.bin: r["count"] for r in P.histogram(df, "x", bins=4).collect()}
     exp_counts, _ = np.histogram(vals, bins=4)
     assert [got[i + 1] for i in range(4)] == list(exp_counts)
+
+
+def test_kde_matches_numpy(spark):  # T5
+    rnd = np.random.default_rng(2)
+    vals = rnd.normal(10, 3, size=200)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = sorted((r.point, r.density) for r in P.kde(df, "x").collect())
+    h = vals.std(ddof=1) * len(vals) ** (-0.2)
+    grid = np.linspace(vals.min(), vals.max(), 100)
+    exp = (np.exp(-0.5 * ((grid[:, None] - vals[None, :]) / h) ** 2) / (h * np.sqrt(2 * np.pi))).mean(axis=1)
+    assert len(got) == 100
+    assert np.allclose([d for _, d in got], exp, rtol=1e-9, atol=1e-12)
