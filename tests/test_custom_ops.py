@@ -222,3 +222,13 @@ def test_kde_matches_numpy(spark):  # T5
     exp = (np.exp(-0.5 * ((grid[:, None] - vals[None, :]) / h) ** 2) / (h * np.sqrt(2 * np.pi))).mean(axis=1)
     assert len(got) == 100
     assert np.allclose([d for _, d in got], exp, rtol=1e-9, atol=1e-12)
+
+
+def test_box_stats_match_numpy(spark):  # T4
+    vals = [1.0, 2.0, 3.0, 3.0, 4.0, 5.0, 6.0, 40.0, -30.0]
+    r = P.box_stats(spark.createDataFrame([(v,) for v in vals], "x double"), "x").collect()[0]
+    q1, med, q3 = np.percentile(vals, [25, 50, 75])
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    inside = [v for v in vals if lo <= v <= hi]
+    assert (r.q1, r.median, r.q3) == (q1, med, q3)
+    assert (r.whisker_low, r.whisker_high, r.outliers) == (min(inside), max(inside), len(vals) - len(inside))
