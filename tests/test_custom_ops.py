@@ -232,3 +232,11 @@ def test_box_stats_match_numpy(spark):  # T4
     inside = [v for v in vals if lo <= v <= hi]
     assert (r.q1, r.median, r.q3) == (q1, med, q3)
     assert (r.whisker_low, r.whisker_high, r.outliers) == (min(inside), max(inside), len(vals) - len(inside))
+
+
+def test_ecdf_positions(spark):  # T6 (ties are not merged)
+    vals = [3.0, 1.0, 2.0, 2.0, None, 5.0]
+    df = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(vals)], "k string, x double")
+    got = sorted((r.pos, r.k, r.ecdf) for r in P.ecdf(df, "x", "k").collect())
+    order = sorted((v, f"k{i}") for i, v in enumerate(vals) if v is not None)
+    assert got == [(i + 1, k, (i + 1) / 5) for i, (_, k) in enumerate(order)]
