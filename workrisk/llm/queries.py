@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality
+from . import bpe, covertree, decontaminate, jaccard, langid, quality, warc
 from .common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                    "refers_to")
+
+
 def quality_network(spark: SparkSession, sf_dir: str) -> quality.Network:
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", QUALITY_FOLDS) != QUALITY_HELD)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +60,11 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", LANG_FOLDS) == LANG_HELD).alias("held_out"), "lang_pred", "score")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -63,7 +74,13 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_quality": op4_quality, "op7_decontaminate": op7_decontaminate,
-           "op8_jaccard": op8_jaccard,
-           "op9_langid": op9_langid}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
+    "op6_topk": op6_topk,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_jaccard": op8_jaccard,
+    "op9_langid": op9_langid,
+}
 SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
