@@ -81,6 +81,16 @@ def fold_of(column: str, folds: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``rows`` rows chosen by a hash of the key (all, if there are fewer).
+
+    A first cut by the hash leaves about twice as many, so that not every partition sends
+    its own share to the driver."""
+    share = min(1.0, 2 * (rows + 50) / max(df.count(), 1))
+    hashed = df.withColumn("_hash", F.xxhash64(key)).where(F.pmod("_hash", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return hashed.orderBy("_hash", key).limit(rows).drop("_hash")
+
+
 def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join of ``df`` with a written table of ids.
 
@@ -95,3 +105,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+_WORD_BYTE = np.zeros(256, dtype=np.uint8)  # ASCII letters in lower case, all digits as 0, non-ASCII bytes; else 0
+_WORD_BYTE[128:] = np.arange(128, 256)
+_WORD_BYTE[97:123] = np.arange(97, 123)
+_WORD_BYTE[65:91] = np.arange(97, 123)
+_WORD_BYTE[48:58] = 48
+_POWER = 0x9E3779B97F4A7C15 | 1
+
+
+def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of letters, digits and non-ASCII bytes) of each row, and the row of each."""
+    low = _WORD_BYTE[flat]
+    inside = low > 0
+    starts, ends = inside.copy(), inside.copy()
+    cut = np.zeros(len(low) + 1, dtype=bool)
+    cut[offsets] = True
+    starts[1:] &= ~inside[:-1] | cut[1:-1]
+    ends[:-1] &= ~inside[1:] | cut[1:-1]
+    first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    # a polynomial modulo 2**64 summed up to each byte; the difference is shifted back by the inverse power
+    power = np.ones(len(low) + 1, dtype=np.uint64)
+    power[1:] = np.uint64(_POWER)
+    np.multiply.accumulate(power, out=power)
+    back = np.ones(len(low) + 1, dtype=np.uint64)
+    back[1:] = np.uint64(pow(_POWER, -1, 1 << 64))
+    np.multiply.accumulate(back, out=back)
+    total = np.zeros(len(low) + 1, dtype=np.uint64)
+    np.cumsum(mix64(low.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+    return mix64((total[last] - total[first]) * back[first]), np.searchsorted(offsets, first, side="right") - 1

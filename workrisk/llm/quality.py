@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, pieces, text_bytes
+from .common import append_columns, hash_sample, pieces, text_bytes
 
 WINDOW = 6        # bytes seen by a filter
 FILTERS = 16
@@ -198,11 +198,10 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         sample_docs: int = SAMPLE_DOCS, train_bytes: int = TRAIN_BYTES) -> Network:
     """Fit on a bounded sample: ``sample_docs`` labelled rows of at most ``train_bytes`` bytes."""
-    rows = (labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
-                                                          <= train_bytes))
-            .select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).alias("y"),
-                    F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"))
-            .orderBy("h", "i").limit(sample_docs).collect())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    short = labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(text) <= train_bytes))
+    rows = hash_sample(short.select(F.col(id_col).alias("id"), text.alias("t"), F.col(label_col).alias("y")), "id",
+                       sample_docs).collect()
     return train([r["t"].encode() for r in rows], np.array([float(r["y"]) for r in rows]))
 
 

@@ -7,10 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, jaccard, langid, quality, warc
+from . import bpe, covertree, decontaminate, htmltext, jaccard, langid, license, packing, quality, warc
 from .common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 QUALITY_THRESHOLD = 0.3
 QUALITY_FOLDS, QUALITY_HELD = 5, 0
 LANG_FOLDS, LANG_HELD = 4, 2
@@ -22,6 +23,12 @@ def tokenizer_path() -> str:
     return os.environ.get("WORKRISK_TOKENIZER", public_tokenizers.path(TOKENIZER))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, tokenizer_path(), decoded_col="decoded").drop("text")
@@ -60,6 +67,11 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", LANG_FOLDS) == LANG_HELD).alias("held_out"), "lang_pred", "score")
 
 
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license.scan(docs, license.fit(docs)).drop("text")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -74,13 +86,22 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return (htmltext.extract(pages, htmltext.fit(pages))
+            .select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
+    "op5_license": op5_license,
     "op6_topk": op6_topk,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
+    "op10_htmltext": op10_htmltext,
 }
 SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
