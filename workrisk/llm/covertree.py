@@ -193,30 +193,33 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32), pa.int32())],
                                              ["id", "v", "cell"])
 
-    def in_blocks(part: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows with their block, and the blocks: a cell of n rows makes ceil(n / size) of them."""
+    def in_blocks(part: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        """Rows with the number of their block of about ``size`` rows, and the number of blocks.
+
+        Small cells share a block, a cell of several blocks is split by a hash of the id."""
         celled = written(part.distinct().mapInArrow(nearest, "id long, v array<double>, cell int"), name)
-        cells = celled.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("pieces")).collect()  # PIVOTS rows
-        pieces = F.element_at(F.create_map([F.lit(x) for c in cells for x in (c["cell"], c["pieces"])]), F.col("cell"))
-        blocks = [(c["cell"], p) for c in cells for p in range(c["pieces"])]
-        number = F.pmod(F.xxhash64("id"), pieces).cast("int")
-        return (celled.withColumn(name, F.struct("cell", number.alias("piece"))).drop("cell"),
-                spark.createDataFrame(blocks, "cell int, piece int").select(F.struct("cell", "piece").alias(name)))
+        first, pieces, filled, block = {}, {}, 0, -1
+        for c in celled.groupBy("cell").count().orderBy("cell").collect():  # PIVOTS rows
+            need = math.ceil(c["count"] / size)
+            if block < 0 or filled + c["count"] > size:
+                block, filled = block + 1, 0
+            first[c["cell"]], pieces[c["cell"]] = block, need
+            filled += c["count"]
+            block += need - 1
+
+        def lookup(values: dict):
+            return F.element_at(F.create_map([F.lit(int(x)) for kv in values.items() for x in kv] or
+                                             [F.lit(0), F.lit(0)]), F.col("cell"))
+
+        number = lookup(first) + F.pmod(F.xxhash64("id"), lookup(pieces)).cast("int")
+        return celled.withColumn(name, number).drop("cell"), block + 1
 
     data, blocks = in_blocks(rows, BLOCK, "block")
     asked = usable(queries, id_col, vec_col, scale).where(F.size("v") == dims)
     asked, groups = in_blocks(asked, GROUP, "part")
-    if asked.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # the query set meets all rows block by block: a copy of each group for every block, of each block for every group
-    block_list = [tuple(r["block"]) for r in blocks.collect()]
-    group_list = [tuple(r["part"]) for r in groups.collect()]
-
-    def literal(items: list[tuple], name: str):
-        return F.explode(F.array(*(F.struct(F.lit(a).alias("cell"), F.lit(b).alias("piece")) for a, b in items))).alias(name)
-
-    left = asked.select("id", "v", "part", literal(block_list, "block"))
-    right = data.select("id", "v", "block", literal(group_list, "part"))
+    left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    right = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(groups, 1) - 1))))
 
     def search(q: pa.Table, r: pa.Table) -> pa.Table:
         q_ids, r_ids = (t.column("id").to_numpy() for t in (q, r))
