@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import hash_sample, shared_path, written
 
 SKIPPABLE = 0x184D2A5D        # fixed value: the frame that holds a WARC file's dictionary
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -133,8 +133,7 @@ def referred(rows: DataFrame, min_bytes: int) -> DataFrame:
 
 def train_dictionary(rows: DataFrame) -> bytes:
     """The dictionary of a bounded sample of the rows, chosen by a hash of their ids."""
-    sample = (rows.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"),
-                          F.xxhash64("page_id", "url").alias("h")).orderBy("h", "page_id").limit(SAMPLE_RECORDS))
+    sample = hash_sample(rows, "page_id", SAMPLE_RECORDS).withColumn("payload", F.substring("payload", 1, SAMPLE_BYTES))
     return build_dictionary([record(r["page_id"], r["url"], bytes(r["payload"]), len(r["payload"]),
                                     sha1_base32(bytes(r["payload"])), None) for r in sample.collect()])
 
