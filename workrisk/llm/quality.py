@@ -86,6 +86,12 @@ def responses(tables: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     return total
 
 
+def within_rows(z: np.ndarray, first: np.ndarray) -> None:
+    """Takes out the windows that reach over the end of a row; z: strides x STRIDE x FILTERS."""
+    last = first[1:] - 1
+    z[last[(last >= 0) & (last < len(z))], STRIDE - WINDOW + 1:] = -np.inf
+
+
 def chunk_max(per_stride: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Maximum over SPAN strides from each stride on, within its row."""
     best = per_stride.copy()
@@ -109,8 +115,9 @@ def features(tables: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.nd
     step = 2048  # strides at a time: the responses stay in the processor's cache
     for a in range(0, n, step):
         b = min(a + step, n)
-        z = responses(tables, data[a * STRIDE:b * STRIDE + WINDOW], (b - a) * STRIDE)
-        z.reshape(b - a, STRIDE, FILTERS).max(axis=1, out=per_stride[a:b])
+        z = responses(tables, data[a * STRIDE:b * STRIDE + WINDOW], (b - a) * STRIDE).reshape(b - a, STRIDE, FILTERS)
+        within_rows(z, first - a)
+        z.max(axis=1, out=per_stride[a:b])
     return pooled(np.tanh(chunk_max(per_stride, first)), first)
 
 
@@ -136,6 +143,7 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray, weight: np.n
     data, first = padded(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
     n = first[-1]
     z = responses(net.tables(), data, n * STRIDE).reshape(n, STRIDE, FILTERS)
+    within_rows(z, first)
     place = z.argmax(axis=1)
     per_stride = np.take_along_axis(z, place[:, None, :], axis=1)[:, 0]
     # which stride gives the maximum of a chunk
