@@ -113,8 +113,8 @@ def test_wage_quartiles_qcut_semantics(spark):  # M16
 
 def test_band_join(spark):  # J14
     vals = [0.0, 0.0, 1.0, 1.2, 1.3, 0.76, 5.0, 6.0, -1.0]
-    df = spark.createDataFrame([(f"s{i}", v) for i, v in enumerate(vals)], "state string, iceberg_ratio double")
-    got = {(r.a, r.b) for r in DB.band_join(df, "state", "iceberg_ratio", 0.75, 1.25).collect()}
+    df = spark.createDataFrame([(f"s{i}", v) for i, v in enumerate(vals)], "state string, current_ratio double")
+    got = {(r.a, r.b) for r in DB.band_join(df, "state", "current_ratio", 0.75, 1.25).collect()}
     exp = {(f"s{i}", f"s{j}") for i, a in enumerate(vals) for j, b in enumerate(vals)
            if i != j and b >= a * 0.75 and b <= a * 1.25}
     assert got == exp

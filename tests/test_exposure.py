@@ -62,11 +62,15 @@ def test_golden_minor_groups(spark, area):  # GD1
     occ = (occ.withColumn("AREA_TITLE", F.lit(area))
               .withColumn("area_economic_value", F.lit(float(occ_pd["economic_value"].sum()))))
     got = X.group_index(occ).toPandas().set_index("minor_group").sort_index()
+    # one index of the committed tables is addressed by its place: after the potential index
+    place = list(gold.columns).index("minor_potential_index") + 1
+    weighted = list(gold.columns).index("automation_gap") + 1
+    gold = gold.rename(columns={gold.columns[place]: "minor_current_index", gold.columns[weighted]: "weighted_current_index"})
     gold = gold.set_index("minor_group").sort_index()
     assert list(got.index) == list(gold.index)
     for c in ["TOT_EMP", "economic_value", "automation_susceptibility", "enhanced_automation_risk",
               "potential_econ_value_at_risk", "current_econ_value_at_risk", "minor_potential_index",
-              "minor_iceberg_index", "automation_gap", "weighted_iceberg_index"]:
+              "minor_current_index", "automation_gap", "weighted_current_index"]:
         a, b = got[c].astype(float).fillna(-1), gold[c].astype(float).fillna(-1)
         assert ((a - b).abs() <= 1e-9 * (1 + b.abs())).all(), c
     for c in ["is_potentially_at_risk", "is_currently_at_risk"]:
@@ -102,5 +106,5 @@ def test_zero_value_area_and_null_group(spark):  # P11 / M2 / M5
     assert z["111011"].is_potentially_at_risk and z["111011"].is_currently_at_risk
     g = {(r.AREA_TITLE, r.minor_group): r for r in X.group_index(m).collect()}
     assert g[("Y", "222")].TOT_EMP == 0.0 and g[("Y", "222")].economic_value == 0.0  # all-NULL group sums to 0
-    assert g[("Y", "222")].minor_iceberg_index is None                               # 0 / 0 -> NULL
+    assert g[("Y", "222")].minor_current_index is None                               # 0 / 0 -> NULL
     assert abs(g[("Z", "111")].minor_potential_index - 25.0) < 1e-12                 # 10 of 40 at risk

@@ -37,8 +37,8 @@ def test_nearest_code_has_no_cross_join(spark):
 
 
 def test_band_join_is_an_equi_join(spark):
-    df = spark.createDataFrame([("a", 1.0), ("b", 1.2), ("c", 3.0)], "state string, iceberg_ratio double")
-    plan = _plan(DB.band_join(df, "state", "iceberg_ratio", 0.75, 1.25))
+    df = spark.createDataFrame([("a", 1.0), ("b", 1.2), ("c", 3.0)], "state string, current_ratio double")
+    plan = _plan(DB.band_join(df, "state", "current_ratio", 0.75, 1.25))
     assert not any(op in plan for op in NO_PAIRS)
 
 

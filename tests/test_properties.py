@@ -16,10 +16,10 @@ def _exposure(spark, employment):
 
 def test_weighted_index_sums_to_area_ratio(spark):
     r = _exposure(spark, domain.employment(spark, SF_SMALL))
-    w = r.groups.groupBy("AREA_TITLE").agg(F.sum("weighted_iceberg_index").alias("w"))
+    w = r.groups.groupBy("AREA_TITLE").agg(F.sum("weighted_current_index").alias("w"))
     j = w.join(r.summary.withColumnRenamed("state", "AREA_TITLE"), "AREA_TITLE")
-    for row in j.select("w", "iceberg_ratio").collect():
-        assert abs(row.w - row.iceberg_ratio) <= 1e-9 * (1 + abs(row.iceberg_ratio))
+    for row in j.select("w", "current_ratio").collect():
+        assert abs(row.w - row.current_ratio) <= 1e-9 * (1 + abs(row.current_ratio))
 
 
 def test_distribution_shares_sum_to_100(spark):
@@ -38,7 +38,7 @@ def test_transition_rows_sum_to_one(spark):
 def test_permutation_invariance(spark):
     emp = domain.employment(spark, SF_SMALL)
     shuffled = emp.withColumn("_r", F.rand(17)).repartition(7, "_r").drop("_r")
-    cols = ["AREA_TITLE", "minor_group", "TOT_EMP", "economic_value", "minor_iceberg_index", "at_risk_soc_codes"]
+    cols = ["AREA_TITLE", "minor_group", "TOT_EMP", "economic_value", "minor_current_index", "at_risk_soc_codes"]
 
     def rows(e):
         g = _exposure(spark, e).groups.select(*cols)

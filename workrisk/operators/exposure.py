@@ -77,7 +77,7 @@ def select_levels(emp: DataFrame, area: str = AREA, level: str = "O_GROUP", code
     rolled up from that small table, so the fact is scanned once for stats.
     """
     lv = F.col(level)
-    with_prefix = emp.withColumn("_p2", F.substring(F.col(code).cast("string"), 1, 2))
+    with_prefix = emp.withColumn("_p2", F.coalesce(F.substring(F.col(code).cast("string"), 1, 2), F.lit("")))  # rows without code stay
     prefix_stats = with_prefix.groupBy(area, "_p2").agg(
         F.count(F.lit(1)).alias("_c_all"), F.count_if(lv == "detailed").alias("_c_det"),
         F.count_if(lv == "broad").alias("_c_broad"), F.count_if(lv == "total").alias("_c_total"),
@@ -258,14 +258,14 @@ def group_index(occ: DataFrame, area: str = AREA) -> DataFrame:
         sum0(F.when(cur, ev)).alias("current_econ_value_at_risk"),
         F.first("area_economic_value").alias("_area_ev"))
     return (g.withColumn("minor_potential_index", safe_div("potential_econ_value_at_risk", "economic_value") * 100.0)
-             .withColumn("minor_iceberg_index", safe_div("current_econ_value_at_risk", "economic_value") * 100.0)
-             .withColumn("automation_gap", F.col("minor_potential_index") - F.col("minor_iceberg_index"))
-             .withColumn("weighted_iceberg_index",
-                         F.col("minor_iceberg_index") * safe_div("economic_value", "_area_ev"))
+             .withColumn("minor_current_index", safe_div("current_econ_value_at_risk", "economic_value") * 100.0)
+             .withColumn("automation_gap", F.col("minor_potential_index") - F.col("minor_current_index"))
+             .withColumn("weighted_current_index",
+                         F.col("minor_current_index") * safe_div("economic_value", "_area_ev"))
              .drop("_area_ev"))
 
 
-def ranked_names(groups: DataFrame, area: str = AREA, score: str = "minor_iceberg_index",
+def ranked_names(groups: DataFrame, area: str = AREA, score: str = "minor_current_index",
                  name: str = "minor_group_name", k: int = 3) -> DataFrame:
     """Per area the first and last ``k`` names by ``score`` descending (nulls last)."""
     w = Window.partitionBy(area).orderBy(F.col(score).desc_nulls_last(), F.col("minor_group").asc())
@@ -297,15 +297,15 @@ def area_summary(occ: DataFrame, groups: DataFrame, area: str = AREA,
     ratio = lambda c: F.when(tot > 0, F.col(c) / tot * 100.0).otherwise(0.0)
     s = (o.join(g, area, "left").join(ranked_names(groups, area), area, "left")
           .withColumn("potential_ratio", ratio("potential_economic_value_at_risk"))
-          .withColumn("iceberg_ratio", ratio("current_economic_value_at_risk"))
-          .withColumn("automation_gap", F.col("potential_ratio") - F.col("iceberg_ratio"))
+          .withColumn("current_ratio", ratio("current_economic_value_at_risk"))
+          .withColumn("automation_gap", F.col("potential_ratio") - F.col("current_ratio"))
           .withColumn("risk_threshold_used", F.lit(int(threshold)).cast("bigint"))
           .withColumn("pct_potential_employment_at_risk",
                       safe_div("potential_employment_at_risk", "total_employment") * 100.0)
           .withColumn("pct_current_employment_at_risk",
                       safe_div("current_employment_at_risk", "total_employment") * 100.0)
           .withColumn("pct_potential_economic_value_at_risk", F.col("potential_ratio"))
-          .withColumn("pct_current_economic_value_at_risk", F.col("iceberg_ratio")))
+          .withColumn("pct_current_economic_value_at_risk", F.col("current_ratio")))
     return s.withColumnRenamed(area, "state")
 
 

@@ -34,7 +34,9 @@ def profile(df: DataFrame, col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed), count and density."""
     c = F.col(col)
-    rng = (df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n")))
+    # a constant column gets a range of 1 around its value
+    wide = F.when(F.min(c) == F.max(c), 0.5).otherwise(0.0)
+    rng = (df.agg((F.min(c) - wide).alias("_lo"), (F.max(c) + wide).alias("_hi"), F.count(c).alias("_n")))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.lit(bins), F.floor((c - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins) + 1)
     counts = with_scalars(df.filter(c.isNotNull()), rng).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -67,6 +69,7 @@ def kde(df: DataFrame, col: str, points: int = KDE_POINTS) -> DataFrame:
     c = F.col(col)
     s = (df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n"),
                            F.stddev_samp(c).alias("_sd")))
+    s = s.where(F.col("_sd") > 0)  # a constant column has no density
     h = F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))
     g = F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / (points - 1)
     k = F.exp(-0.5 * F.pow((g - c) / h, 2)) / (h * math.sqrt(2 * math.pi))

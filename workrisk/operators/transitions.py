@@ -39,6 +39,7 @@ ZERO_ROW_SUM = 1e-10
 ALPHA = 0.85
 MAX_ITER = 100
 TRANSITION_TYPES = ("general", "different_minor", "different_major")
+# Kind of gap, training and its length.
 TRAINING = [("new_skill", "comprehensive_training", "3-6 months"),
             ("upgrade_gt_0.5", "advanced_training", "1-3 months"),
             ("upgrade", "refresher_course", "2-4 weeks")]
@@ -98,51 +99,40 @@ def graph_edges(matrix: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- G6 rank
 
 def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
-             checkpoint_every: int = 10, broadcast_limit: int = 2_000_000,
-             edges_per_partition: int = 2_000_000, min_partitions: int | None = None) -> DataFrame:
+             checkpoint_every: int = 10, edges_per_partition: int = 2_000_000,
+             min_partitions: int | None = None) -> DataFrame:
     """Weighted PageRank, fixed iterations, no dangling redistribution.
 
-    n = nodes touching at least one edge; start 1/n; new = (1-a)/n + a * sum(rank * w).
-    Edges (plus a zero-weight self-loop per node, so that every node is a
-    destination) are checkpointed once, hash-partitioned by ``dst`` and
-    cached: the per-iteration aggregation by ``dst`` needs no shuffle. Node
-    codes are replaced by 64-bit hashes (checked for collisions, else the
-    codes themselves are the keys). The rank vector (one row per node) is
-    broadcast when the node count is within ``broadcast_limit``, else joined
-    by shuffle. Ranks are checkpointed every ``checkpoint_every`` iterations
-    (bounded lineage; survives executor loss).
+    n = nodes touching at least one edge; start 1/n; new = (1-a)/n + a * sum(rank * w);
+    a graph without edges has no ranks. Edges (plus a zero-weight self-loop per node, so
+    that every node is a destination) are checkpointed once, hash-partitioned by ``dst``
+    and cached. Nodes are keyed by their codes at every size; the join of the ranks is
+    left to the runtime's size check. Ranks are checkpointed every ``checkpoint_every``
+    iterations (bounded lineage; survives executor loss).
     """
     spark = edges.sparkSession
     e0 = edges.select("src", "dst", "weight")
-    nodes = (e0.select(F.col("src").alias("node")).union(e0.select(F.col("dst").alias("node"))).distinct()
-               .withColumn("id", F.xxhash64("node")))
-    nodes = materialize(nodes)
-    stats = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
-    n = stats["n"]
-    if stats["ids"] != n:  # hash collision: key on the codes themselves
-        nodes = nodes.withColumn("id", F.col("node"))
-    ids = nodes.select("node", "id")
-    keyed = (e0.join(ids.withColumnRenamed("node", "src").withColumnRenamed("id", "s"), "src")
-               .join(ids.withColumnRenamed("node", "dst").withColumnRenamed("id", "d"), "dst")
-               .select("s", "d", "weight"))
-    loops = ids.select(F.col("id").alias("s"), F.col("id").alias("d"), F.lit(0.0).alias("weight"))
+    ids = materialize(e0.select(F.col("src").alias("node")).union(e0.select(F.col("dst").alias("node"))).distinct())
+    n = ids.count()
+    if n == 0:
+        return spark.createDataFrame([], "node string, rank double")
+    keyed = e0.select(F.col("src").alias("s"), F.col("dst").alias("d"), "weight")
+    loops = ids.select(F.col("node").alias("s"), F.col("node").alias("d"), F.lit(0.0).alias("weight"))
     # Partition count from the edge count (each iteration runs one task per
     # partition): at least the cluster's parallelism, ~2 M edges per task.
     m = e0.count() + n  # every edge keeps both endpoints in ``ids``
     parts = max(min_partitions or 2 * spark.sparkContext.defaultParallelism, math.ceil(m / edges_per_partition))
     e = materialize(keyed.unionByName(loops).repartition(parts, "d")).persist()
     base = (1.0 - alpha) / n
-    ranks = ids.select(F.col("id").alias("s"), F.lit(1.0 / n).alias("rank"))
-    small = n <= broadcast_limit
+    ranks = ids.select(F.col("node").alias("s"), F.lit(1.0 / n).alias("rank"))
     for it in range(1, max_iter + 1):
-        side = F.broadcast(ranks) if small else ranks
-        ranks = (e.join(side, "s").groupBy("d")
+        ranks = (e.join(ranks, "s").groupBy("d")
                   .agg((F.lit(base) + F.lit(alpha) * F.sum(F.col("rank") * F.col("weight"))).alias("rank"))
                   .withColumnRenamed("d", "s"))
         if it % checkpoint_every == 0 or it == max_iter:
             ranks = materialize(ranks)
     e.unpersist()
-    return ranks.join(ids.withColumnRenamed("id", "s"), "s").select("node", "rank")
+    return ranks.select(F.col("s").alias("node"), "rank")
 
 
 # ---------------------------------------------------------------- G7-G9 recommendations

@@ -122,11 +122,11 @@ register("occupations", ("occ_measure1",), """
 
 register("groups", ("occupations",), """
   SELECT * EXCLUDE (area_ev), potential_econ_value_at_risk / NULLIF(economic_value, 0) * 100.0 AS minor_potential_index,
-         current_econ_value_at_risk / NULLIF(economic_value, 0) * 100.0 AS minor_iceberg_index,
+         current_econ_value_at_risk / NULLIF(economic_value, 0) * 100.0 AS minor_current_index,
          potential_econ_value_at_risk / NULLIF(economic_value, 0) * 100.0
            - current_econ_value_at_risk / NULLIF(economic_value, 0) * 100.0 AS automation_gap,
          current_econ_value_at_risk / NULLIF(economic_value, 0) * 100.0
-           * (economic_value / NULLIF(area_ev, 0)) AS weighted_iceberg_index
+           * (economic_value / NULLIF(area_ev, 0)) AS weighted_current_index
   FROM (SELECT AREA_TITLE, minor_group, minor_group_name,
                coalesce(sum(TOT_EMP), 0.0) AS TOT_EMP, coalesce(sum(economic_value), 0.0) AS economic_value,
                avg(automation_susceptibility) AS automation_susceptibility,
@@ -150,13 +150,13 @@ register("summary", ("occupations", "groups"), """
          CASE WHEN economic_value_total > 0 THEN g.potential_economic_value_at_risk / economic_value_total * 100.0
               ELSE 0.0 END AS potential_ratio,
          CASE WHEN economic_value_total > 0 THEN g.current_economic_value_at_risk / economic_value_total * 100.0
-              ELSE 0.0 END AS iceberg_ratio,
-         potential_ratio - iceberg_ratio AS automation_gap,
+              ELSE 0.0 END AS current_ratio,
+         potential_ratio - current_ratio AS automation_gap,
          CAST(50 AS BIGINT) AS risk_threshold_used,
          potential_employment_at_risk / NULLIF(total_employment, 0) * 100.0 AS pct_potential_employment_at_risk,
          current_employment_at_risk / NULLIF(total_employment, 0) * 100.0 AS pct_current_employment_at_risk,
          potential_ratio AS pct_potential_economic_value_at_risk,
-         iceberg_ratio AS pct_current_economic_value_at_risk
+         current_ratio AS pct_current_economic_value_at_risk
   FROM (SELECT AREA_TITLE, count(*) AS total_occupations,
                CAST(count_if(is_potentially_at_risk) AS BIGINT) AS occupations_at_potential_risk,
                CAST(count_if(is_currently_at_risk) AS BIGINT) AS occupations_at_current_risk,
@@ -172,6 +172,6 @@ register("summary", ("occupations", "groups"), """
                     list(minor_group_name ORDER BY rn) FILTER (WHERE rn <= 3) AS highest_risk_industries,
                     list(minor_group_name ORDER BY rn) FILTER (WHERE rn > n - 3) AS lowest_risk_industries
              FROM (SELECT *, row_number() OVER (PARTITION BY AREA_TITLE
-                                                ORDER BY minor_iceberg_index DESC NULLS LAST, minor_group) AS rn,
+                                                ORDER BY minor_current_index DESC NULLS LAST, minor_group) AS rn,
                           count(*) OVER (PARTITION BY AREA_TITLE) AS n FROM groups)
              GROUP BY AREA_TITLE) r ON o.AREA_TITLE = r.AREA_TITLE""")

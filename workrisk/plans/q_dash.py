@@ -16,11 +16,11 @@ _top = """
 
 
 @query("area_rank", sql="""
-  SELECT state, iceberg_ratio, rank, n_areas, printf('%d of %d', rank, n_areas) AS ranking,
+  SELECT state, current_ratio, rank, n_areas, printf('%d of %d', rank, n_areas) AS ranking,
          100.0 - rank / n_areas * 100.0 AS percentile
-  FROM (SELECT state, iceberg_ratio, row_number() OVER (ORDER BY iceberg_ratio DESC NULLS LAST, state) AS rank,
+  FROM (SELECT state, current_ratio, row_number() OVER (ORDER BY current_ratio DESC NULLS LAST, state) AS rank,
                count(*) OVER () AS n_areas FROM summary)""", views=("summary",),
-       rounded=("iceberg_ratio", "percentile"), group="dashboards", ops=("W4", "D2"))
+       rounded=("current_ratio", "percentile"), group="dashboards", ops=("W4", "D2"))
 def area_rank(spark, d):
     return DB.area_rank(_result(spark, d).summary).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -85,33 +85,33 @@ def risk_distribution(spark, d):
 
 
 @query("similar_areas", sql="""
-  SELECT state, rank, similar_state, iceberg_index, difference FROM (
-    SELECT a.state, b.state AS similar_state, b.iceberg_ratio AS iceberg_index,
-           b.iceberg_ratio - a.iceberg_ratio AS difference,
-           row_number() OVER (PARTITION BY a.state ORDER BY abs(b.iceberg_ratio - a.iceberg_ratio), b.state) AS rank
-    FROM summary a JOIN summary b ON a.state <> b.state AND b.iceberg_ratio >= a.iceberg_ratio * 0.75
-                                  AND b.iceberg_ratio <= a.iceberg_ratio * 1.25) WHERE rank <= 5""",
-       views=("summary",), rounded=("iceberg_index", "difference"), group="dashboards", ops=("J14", "W14", "D7"))
+  SELECT state, rank, similar_state, current_index, difference FROM (
+    SELECT a.state, b.state AS similar_state, b.current_ratio AS current_index,
+           b.current_ratio - a.current_ratio AS difference,
+           row_number() OVER (PARTITION BY a.state ORDER BY abs(b.current_ratio - a.current_ratio), b.state) AS rank
+    FROM summary a JOIN summary b ON a.state <> b.state AND b.current_ratio >= a.current_ratio * 0.75
+                                  AND b.current_ratio <= a.current_ratio * 1.25) WHERE rank <= 5""",
+       views=("summary",), rounded=("current_index", "difference"), group="dashboards", ops=("J14", "W14", "D7"))
 def similar_areas(spark, d):
     return DB.similar_areas(_result(spark, d).summary).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("projection", sql="""
-  SELECT state, h.horizon, h.timeframe, iceberg_ratio + automation_gap * h.closure AS iceberg_index,
-         (iceberg_ratio + automation_gap * h.closure) / 100.0 * economic_value_total AS economic_value_at_risk,
-         CASE WHEN iceberg_ratio > 0
-              THEN (iceberg_ratio + automation_gap * h.closure) / iceberg_ratio * current_employment_at_risk
-              ELSE (iceberg_ratio + automation_gap * h.closure) / 100.0 * total_employment END AS employment_at_risk
+  SELECT state, h.horizon, h.timeframe, current_ratio + automation_gap * h.closure AS current_index,
+         (current_ratio + automation_gap * h.closure) / 100.0 * economic_value_total AS economic_value_at_risk,
+         CASE WHEN current_ratio > 0
+              THEN (current_ratio + automation_gap * h.closure) / current_ratio * current_employment_at_risk
+              ELSE (current_ratio + automation_gap * h.closure) / 100.0 * total_employment END AS employment_at_risk
   FROM summary, (VALUES ('short_term', '12 months', 0.5), ('medium_term', '3 years', 0.75),
                         ('long_term', '5 years', 0.9)) h(horizon, timeframe, closure)""", views=("summary",),
-       rounded=("iceberg_index",), money=("economic_value_at_risk", "employment_at_risk"),
+       rounded=("current_index",), money=("economic_value_at_risk", "employment_at_risk"),
        group="dashboards", ops=("P29", "D6", "P27"))
 def projection(spark, d):
     return DB.projections(_result(spark, d).summary)
 
 
 @query("national_overview", sql="""
-  SELECT avg(iceberg_ratio) AS iceberg_index, avg(potential_ratio) AS potential_index,
+  SELECT avg(current_ratio) AS current_index, avg(potential_ratio) AS potential_index,
          avg(automation_gap) AS automation_gap, sum(current_economic_value_at_risk) AS total_economic_value_at_risk,
          sum(current_employment_at_risk) AS total_employment_at_risk, sum(economic_value_total) AS total_economic_value,
          sum(total_employment) AS total_employment,
@@ -122,7 +122,7 @@ def projection(spark, d):
               THEN sum(current_employment_at_risk) / sum(total_employment) * 100 ELSE 0.0 END
            AS percentage_of_workforce_at_risk,
          count(*) AS n_areas FROM summary""", views=("summary",),
-       rounded=("iceberg_index", "potential_index", "automation_gap", "percentage_of_economy_at_risk",
+       rounded=("current_index", "potential_index", "automation_gap", "percentage_of_economy_at_risk",
                 "percentage_of_workforce_at_risk"),
        money=("total_economic_value_at_risk", "total_employment_at_risk", "total_economic_value", "total_employment"),
        group="dashboards", ops=("A16", "D8", "A12"))
@@ -132,9 +132,9 @@ def national_overview(spark, d):
 
 @query("area_extremes", sql="""
   SELECT state, value, rank, list FROM (
-    SELECT state, iceberg_ratio AS value, row_number() OVER (ORDER BY iceberg_ratio DESC NULLS LAST, state) AS rank,
+    SELECT state, current_ratio AS value, row_number() OVER (ORDER BY current_ratio DESC NULLS LAST, state) AS rank,
            'highest_risk' AS list FROM summary
-    UNION ALL SELECT state, iceberg_ratio, row_number() OVER (ORDER BY iceberg_ratio ASC NULLS LAST, state),
+    UNION ALL SELECT state, current_ratio, row_number() OVER (ORDER BY current_ratio ASC NULLS LAST, state),
            'lowest_risk' FROM summary
     UNION ALL SELECT state, automation_gap, row_number() OVER (ORDER BY automation_gap DESC NULLS LAST, state),
            'largest_gaps' FROM summary) WHERE rank <= 5""", views=("summary",), rounded=("value",),
@@ -145,10 +145,10 @@ def area_extremes(spark, d):
 
 @query("group_average", sql="""
   SELECT minor_group, minor_group_name, count(*) AS n_areas, coalesce(sum(TOT_EMP), 0.0) AS TOT_EMP,
-         coalesce(sum(economic_value), 0.0) AS economic_value, avg(minor_iceberg_index) AS minor_iceberg_index,
+         coalesce(sum(economic_value), 0.0) AS economic_value, avg(minor_current_index) AS minor_current_index,
          avg(minor_potential_index) AS minor_potential_index, avg(automation_gap) AS automation_gap
   FROM groups GROUP BY minor_group, minor_group_name""", views=("groups",),
-       rounded=("minor_iceberg_index", "minor_potential_index", "automation_gap"), money=("TOT_EMP", "economic_value"),
+       rounded=("minor_current_index", "minor_potential_index", "automation_gap"), money=("TOT_EMP", "economic_value"),
        group="dashboards", ops=("A10", "W10"))
 def group_average(spark, d):
     return DB.group_averages(_result(spark, d).groups)
@@ -169,33 +169,33 @@ def occupation_gaps(spark, d):
 
 @query("unpivot_indices", sql="""
   SELECT AREA_TITLE, minor_group_name, rank,
-         CASE WHEN metric = 'minor_iceberg_index' THEN 'Current Index' ELSE 'Potential Index' END AS metric, score
-  FROM (SELECT AREA_TITLE, minor_group_name, rank, minor_iceberg_index, minor_potential_index FROM (
-          SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY minor_iceberg_index DESC NULLS LAST,
+         CASE WHEN metric = 'minor_current_index' THEN 'Current Index' ELSE 'Potential Index' END AS metric, score
+  FROM (SELECT AREA_TITLE, minor_group_name, rank, minor_current_index, minor_potential_index FROM (
+          SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY minor_current_index DESC NULLS LAST,
                                        minor_group) AS rank FROM groups) WHERE rank <= 10)
-  UNPIVOT INCLUDE NULLS (score FOR metric IN (minor_iceberg_index, minor_potential_index))""", views=("groups",),
+  UNPIVOT INCLUDE NULLS (score FOR metric IN (minor_current_index, minor_potential_index))""", views=("groups",),
        rounded=("score",), group="dashboards", ops=("A20",))
 def unpivot_indices(spark, d):
     return DB.unpivot_indices(_result(spark, d).groups)
 
 
 @query("area_comparison", sql="""
-  SELECT state, iceberg_ratio, ni AS national_iceberg_index, iceberg_ratio - ni AS iceberg_differential,
+  SELECT state, current_ratio, ni AS national_current_index, current_ratio - ni AS current_differential,
          potential_ratio - np AS potential_differential,
-         CASE WHEN iceberg_ratio > ni THEN 'above' ELSE 'below' END AS relative_to_national
-  FROM summary, (SELECT avg(iceberg_ratio) AS ni, avg(potential_ratio) AS np FROM summary) n""",
-       views=("summary",), rounded=("iceberg_ratio", "national_iceberg_index", "iceberg_differential",
+         CASE WHEN current_ratio > ni THEN 'above' ELSE 'below' END AS relative_to_national
+  FROM summary, (SELECT avg(current_ratio) AS ni, avg(potential_ratio) AS np FROM summary) n""",
+       views=("summary",), rounded=("current_ratio", "national_current_index", "current_differential",
                                     "potential_differential"), group="dashboards", ops=("J15", "P27"))
 def area_comparison(spark, d):
     return DB.comparison(_result(spark, d).summary)
 
 
 @query("top_groups", sql="""
-  SELECT AREA_TITLE, rank, minor_group, minor_group_name, minor_potential_index, minor_iceberg_index, automation_gap,
+  SELECT AREA_TITLE, rank, minor_group, minor_group_name, minor_potential_index, minor_current_index, automation_gap,
          TOT_EMP, economic_value FROM (
     SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY minor_potential_index DESC NULLS LAST,
                                  minor_group) AS rank FROM groups) WHERE rank <= 10""", views=("groups",),
-       rounded=("minor_potential_index", "minor_iceberg_index", "automation_gap"), money=("TOT_EMP", "economic_value"),
+       rounded=("minor_potential_index", "minor_current_index", "automation_gap"), money=("TOT_EMP", "economic_value"),
        group="dashboards", ops=("W5", "D3"))
 def top_groups(spark, d):
     return DB.top_groups(_result(spark, d).groups)
@@ -263,19 +263,19 @@ def _fx(x: str) -> str:
 
 
 @query("area_dashboard", sql=f"""
-  SELECT state, iceberg_ratio AS iceberg_index, potential_ratio AS potential_index,
-         potential_ratio - iceberg_ratio AS automation_gap, total_employment,
+  SELECT state, current_ratio AS current_index, potential_ratio AS potential_index,
+         potential_ratio - current_ratio AS automation_gap, total_employment,
          economic_value_total / 1e9 AS economic_value_billions,
          CASE WHEN apps IS NOT NULL THEN CAST(trunc(round(apps, 6)) AS BIGINT)
               ELSE CAST(trunc(total_employment * 1000 / 25000) AS BIGINT) END AS mcp_servers,
-         iceberg_ratio * 2 AS projected_index,
-         'In ' || state || ', ' || {_fx('iceberg_ratio')} || '% of economic value ($'
+         current_ratio * 2 AS projected_index,
+         'In ' || state || ', ' || {_fx('current_ratio')} || '% of economic value ($'
            || {_fx('economic_value_total / 1e9')} || 'B) is exposed today; potential exposure is '
-           || {_fx('potential_ratio')} || '%, a gap of ' || {_fx('potential_ratio - iceberg_ratio')}
+           || {_fx('potential_ratio')} || '%, a gap of ' || {_fx('potential_ratio - current_ratio')}
            || ' points.' AS headline
   FROM summary s LEFT JOIN (SELECT AREA_TITLE, sum(estimated_zapier_apps) AS apps FROM groups GROUP BY 1) g
     ON s.state = g.AREA_TITLE""", views=("summary", "groups"),
-       rounded=("iceberg_index", "potential_index", "automation_gap", "economic_value_billions", "projected_index"),
+       rounded=("current_index", "potential_index", "automation_gap", "economic_value_billions", "projected_index"),
        money=("total_employment",), group="dashboards", ops=("D10", "P30", "P31", "P32", "P14"))
 def area_dashboard(spark, d):
     r = _result(spark, d)
@@ -284,11 +284,11 @@ def area_dashboard(spark, d):
 
 @query("top_risk_areas", sql="""
   SELECT * FROM (
-    SELECT state, iceberg_ratio AS iceberg_index, current_economic_value_at_risk AS economic_value_at_risk,
+    SELECT state, current_ratio AS current_index, current_economic_value_at_risk AS economic_value_at_risk,
            current_employment_at_risk AS workers_at_risk, potential_ratio AS potential_index,
-           row_number() OVER (ORDER BY iceberg_ratio DESC NULLS LAST, state) AS rank,
-           potential_ratio - iceberg_ratio AS automation_gap FROM summary) WHERE rank <= 10""", views=("summary",),
-       rounded=("iceberg_index", "potential_index", "automation_gap"),
+           row_number() OVER (ORDER BY current_ratio DESC NULLS LAST, state) AS rank,
+           potential_ratio - current_ratio AS automation_gap FROM summary) WHERE rank <= 10""", views=("summary",),
+       rounded=("current_index", "potential_index", "automation_gap"),
        money=("economic_value_at_risk", "workers_at_risk"), group="dashboards", ops=("W9", "P14"))
 def top_risk_areas(spark, d):
     return DB.top_risk_areas(_result(spark, d).summary)
@@ -316,10 +316,10 @@ def _fx1(x: str) -> str:
 
 
 @query("key_insights", sql=f"""
-  WITH t AS (SELECT state, iceberg_ratio AS v, row_number() OVER (ORDER BY iceberg_ratio DESC NULLS LAST, state) AS rk
+  WITH t AS (SELECT state, current_ratio AS v, row_number() OVER (ORDER BY current_ratio DESC NULLS LAST, state) AS rk
              FROM summary),
   c AS ({_CHART}),
-  o AS (SELECT avg(iceberg_ratio) AS cur, avg(automation_gap) AS gap FROM summary),
+  o AS (SELECT avg(current_ratio) AS cur, avg(automation_gap) AS gap FROM summary),
   t3 AS (SELECT count(*) AS n, string_agg(state, ', ' ORDER BY rk) AS names,
                 max(CASE WHEN rk = 1 THEN v END) AS v1, max(CASE WHEN rk = 2 THEN v END) AS v2,
                 max(CASE WHEN rk = 3 THEN v END) AS v3 FROM t WHERE rk <= 3),

@@ -19,8 +19,8 @@ def _result(spark, d) -> X.ExposureResult:
 
 GROUP_MONEY = ("TOT_EMP", "economic_value", "potential_econ_value_at_risk", "current_econ_value_at_risk")
 GROUP_DOUBLES = ("automation_susceptibility", "enhanced_automation_risk",
-                 "estimated_zapier_apps", "zapier_apps_per_worker", "minor_potential_index", "minor_iceberg_index",
-                 "automation_gap", "weighted_iceberg_index")
+                 "estimated_zapier_apps", "zapier_apps_per_worker", "minor_potential_index", "minor_current_index",
+                 "automation_gap", "weighted_current_index")
 
 
 @query("exposure_index_by_group", sql="SELECT * FROM groups", views=("groups",), rounded=GROUP_DOUBLES, money=GROUP_MONEY,
@@ -32,7 +32,7 @@ def exposure_index_by_group(spark, d):
 
 SUMMARY_MONEY = ("total_employment", "potential_employment_at_risk", "current_employment_at_risk",
                  "economic_value_total", "potential_economic_value_at_risk", "current_economic_value_at_risk")
-SUMMARY_DOUBLES = ("potential_ratio", "iceberg_ratio", "automation_gap", "pct_potential_employment_at_risk",
+SUMMARY_DOUBLES = ("potential_ratio", "current_ratio", "automation_gap", "pct_potential_employment_at_risk",
                    "pct_current_employment_at_risk", "pct_potential_economic_value_at_risk",
                    "pct_current_economic_value_at_risk")
 

@@ -11,11 +11,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-_MEMO: dict[tuple[str, str, str], Any] = {}
+_MEMO: dict[tuple, Any] = {}
+
+
+def _files(spark, folder: str) -> tuple:
+    """Path, length and time of every file below a folder: changed input is not served from the memo."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def clear() -> None:
+    """Forget all stage outputs."""
+    _MEMO.clear()
 
 
 def stage(spark, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name, _files(spark, sf_dir))
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
