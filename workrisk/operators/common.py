@@ -7,22 +7,17 @@ from pyspark.sql import functions as F
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, tiebreak: list[str],
-          salt_buckets: int = 32, rank_col: str = "rank") -> DataFrame:
-    """Top-k rows per group, skew-safe.
+          rank_col: str = "rank") -> DataFrame:
+    """Top-k rows per group.
 
-    Stage 1 ranks inside (group, salt) where the salt is a hash of the
-    tie-break columns, so a hot group is spread over ``salt_buckets`` tasks
-    and each keeps at most k rows; stage 2 ranks the <= k * salt_buckets
-    survivors of each group. ``order`` plus ``tiebreak`` must be a total
-    order, so the result equals a single-stage ``row_number() <= k``.
+    The plain ``row_number() <= k`` filter lets the optimizer put a partial
+    group limit before the shuffle, so each input task sends at most k rows of
+    a group and a hot group stays small; one exchange. ``order`` plus
+    ``tiebreak`` must be a total order.
     """
-    full = list(order) + [F.col(c).asc() for c in tiebreak]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in tiebreak]), F.lit(salt_buckets))
-    s1 = (df.withColumn("_salt", salt)
-            .withColumn("_r1", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*full)))
-            .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
-    return (s1.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*full)).cast("bigint"))
-              .filter(F.col(rank_col) <= k))
+    w = Window.partitionBy(*keys).orderBy(*order, *[F.col(c).asc() for c in tiebreak])
+    return (df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+              .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:

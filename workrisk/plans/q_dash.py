@@ -71,8 +71,13 @@ def wage_quartiles(spark, d):
          economic_value / NULLIF(tv, 0) * 100.0 AS value_share,
          CAST(coalesce(list_position(['Very High', 'High', 'Moderate', 'Low', 'Very Low'], category) - 1, 99)
               AS BIGINT) AS category_order
-  FROM (SELECT AREA_TITLE, kind, category, coalesce(sum(TOT_EMP), 0.0) AS employment,
-               coalesce(sum(economic_value), 0.0) AS economic_value FROM d GROUP BY ALL) g
+  FROM (SELECT AREA_TITLE, kind, category, sum(employment) AS employment, sum(economic_value) AS economic_value FROM (
+          SELECT AREA_TITLE, kind, category, coalesce(sum(TOT_EMP), 0.0) AS employment,
+                 coalesce(sum(economic_value), 0.0) AS economic_value FROM d GROUP BY ALL
+          UNION ALL
+          SELECT AREA_TITLE, kind, c, 0.0, 0.0
+          FROM (SELECT DISTINCT AREA_TITLE, kind, unnest(['Very High', 'High', 'Moderate', 'Low', 'Very Low']) AS c
+                FROM d) z) GROUP BY ALL) g
   JOIN (SELECT AREA_TITLE, kind, coalesce(sum(TOT_EMP), 0.0) AS te, coalesce(sum(economic_value), 0.0) AS tv
         FROM d GROUP BY ALL) t USING (AREA_TITLE, kind)""".replace(
     "FROM d", "FROM (SELECT AREA_TITLE, 'potential' AS kind, automation_risk_category AS category, TOT_EMP, "
@@ -125,11 +130,43 @@ def projection(spark, d):
        rounded=("current_index", "potential_index", "automation_gap", "percentage_of_economy_at_risk",
                 "percentage_of_workforce_at_risk"),
        money=("total_economic_value_at_risk", "total_employment_at_risk", "total_economic_value", "total_employment"),
-       group="dashboards", ops=("A16", "D8", "A12"))
+       group="dashboards", ops=("A16",))
 def national_overview(spark, d):
     return DB.national_overview(_result(spark, d).summary)
 
 
+_METRICS = """
+  SELECT * EXCLUDE (n), potential_index - current_index AS automation_gap, current_index * 2 AS projected_index FROM (
+    SELECT CASE WHEN sum(economic_value_total) > 0
+                THEN sum(current_ratio * economic_value_total) / sum(economic_value_total)
+                ELSE avg(current_ratio) END AS current_index,
+           CASE WHEN sum(economic_value_total) > 0
+                THEN sum(potential_ratio * economic_value_total) / sum(economic_value_total)
+                ELSE avg(potential_ratio) END AS potential_index,
+           sum(current_economic_value_at_risk) / 1e9 AS economic_value_at_risk,
+           sum(current_employment_at_risk) / 1e6 AS workers_at_risk, count(*) AS n FROM summary) WHERE n > 0"""
+
+
+@query("national_metrics", sql=_METRICS, views=("summary",),
+       rounded=("current_index", "potential_index", "automation_gap", "projected_index", "economic_value_at_risk",
+                "workers_at_risk"), group="dashboards", ops=("A12",))
+def national_metrics(spark, d):
+    return DB.national_metrics(_result(spark, d).summary)
+
+
+@query("national_distribution", sql="""
+  SELECT CAST(coalesce(list_position(['Very High', 'High', 'Moderate', 'Low', 'Very Low'], label) - 1, 99)
+              AS BIGINT) AS position, label, employment,
+         CASE WHEN t > 0 THEN employment / t * 100 ELSE 0.0 END AS percentage
+  FROM (SELECT *, sum(employment) OVER () AS t FROM (
+          SELECT label, sum(e) AS employment FROM (
+            SELECT automation_risk_category AS label, coalesce(TOT_EMP, 0.0) AS e FROM occupations
+            UNION ALL SELECT unnest(['Very High', 'High', 'Moderate', 'Low', 'Very Low']), 0.0) GROUP BY label))""",
+       views=("occupations",), rounded=("percentage",), money=("employment",), group="dashboards", ops=("A13", "P34"))
+def national_distribution(spark, d):
+    return DB.national_distribution(_result(spark, d).occupations)
+
+
 @query("area_extremes", sql="""
   SELECT state, value, rank, list FROM (
     SELECT state, current_ratio AS value, row_number() OVER (ORDER BY current_ratio DESC NULLS LAST, state) AS rank,
@@ -145,11 +182,13 @@ def area_extremes(spark, d):
 
 @query("group_average", sql="""
   SELECT minor_group, minor_group_name, count(*) AS n_areas, coalesce(sum(TOT_EMP), 0.0) AS TOT_EMP,
-         coalesce(sum(economic_value), 0.0) AS economic_value, avg(minor_current_index) AS minor_current_index,
-         avg(minor_potential_index) AS minor_potential_index, avg(automation_gap) AS automation_gap
+         coalesce(sum(economic_value), 0.0) AS economic_value,
+         coalesce(sum(potential_econ_value_at_risk), 0.0) AS potential_econ_value_at_risk,
+         avg(minor_current_index) AS minor_current_index, avg(minor_potential_index) AS minor_potential_index,
+         avg(zapier_apps_per_worker) AS zapier_apps_per_worker, avg(automation_gap) AS automation_gap
   FROM groups GROUP BY minor_group, minor_group_name""", views=("groups",),
-       rounded=("minor_current_index", "minor_potential_index", "automation_gap"), money=("TOT_EMP", "economic_value"),
-       group="dashboards", ops=("A10", "W10"))
+       rounded=("minor_current_index", "minor_potential_index", "zapier_apps_per_worker", "automation_gap"),
+       money=("TOT_EMP", "economic_value", "potential_econ_value_at_risk"), group="dashboards", ops=("A10",))
 def group_average(spark, d):
     return DB.group_averages(_result(spark, d).groups)
 
@@ -169,23 +208,66 @@ def occupation_gaps(spark, d):
 
 @query("unpivot_indices", sql="""
   SELECT AREA_TITLE, minor_group_name, rank,
-         CASE WHEN metric = 'minor_current_index' THEN 'Current Index' ELSE 'Potential Index' END AS metric, score
+         CASE WHEN metric = 'minor_current_index' THEN 'Current Risk' ELSE 'Potential Risk' END AS metric, score
   FROM (SELECT AREA_TITLE, minor_group_name, rank, minor_current_index, minor_potential_index FROM (
-          SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY minor_current_index DESC NULLS LAST,
-                                       minor_group) AS rank FROM groups) WHERE rank <= 10)
+          SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY potential_econ_value_at_risk DESC NULLS LAST,
+                                       minor_group) AS rank FROM groups) WHERE rank <= 15)
   UNPIVOT INCLUDE NULLS (score FOR metric IN (minor_current_index, minor_potential_index))""", views=("groups",),
        rounded=("score",), group="dashboards", ops=("A20",))
 def unpivot_indices(spark, d):
     return DB.unpivot_indices(_result(spark, d).groups)
 
 
+@query("unpivot_national", sql="""
+  SELECT minor_group_name, rank,
+         CASE WHEN metric = 'minor_current_index' THEN 'Current Risk' ELSE 'Potential Risk' END AS metric, score
+  FROM (SELECT * EXCLUDE (minor_group, v) FROM (
+          SELECT *, row_number() OVER (ORDER BY v DESC NULLS LAST, minor_group) AS rank FROM (
+            SELECT minor_group, minor_group_name, sum(potential_econ_value_at_risk) AS v,
+                   avg(minor_current_index) AS minor_current_index,
+                   avg(minor_potential_index) AS minor_potential_index
+            FROM groups GROUP BY minor_group, minor_group_name)) WHERE rank <= 15)
+  UNPIVOT INCLUDE NULLS (score FOR metric IN (minor_current_index, minor_potential_index))""", views=("groups",),
+       rounded=("score",), group="dashboards", ops=("A20", "A10"))
+def unpivot_national(spark, d):
+    return DB.unpivot_national(_result(spark, d).groups)
+
+
+@query("gap_groups", sql="""
+  SELECT AREA_TITLE, rank, minor_group, minor_group_name, minor_current_index, minor_potential_index, automation_gap,
+         TOT_EMP FROM (
+    SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY automation_gap DESC NULLS LAST,
+                                 minor_group) AS rank FROM groups) WHERE rank <= 10""", views=("groups",),
+       rounded=("minor_current_index", "minor_potential_index", "automation_gap"), money=("TOT_EMP",),
+       group="dashboards", ops=("W7", "D5"))
+def gap_groups(spark, d):
+    return DB.gap_groups(_result(spark, d).groups)
+
+
+@query("gap_occupations", sql="""
+  SELECT AREA_TITLE, rank, SOC_Code_Cleaned, OCC_TITLE, enhanced_automation_risk, automation_susceptibility,
+         econ_potential_index, TOT_EMP, A_MEAN, economic_value FROM (
+    SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY econ_potential_index DESC NULLS LAST,
+                                 economic_value DESC NULLS LAST, SOC_Code_Cleaned) AS rank FROM occupations)
+  WHERE rank <= 10""", views=("occupations",),
+       rounded=("enhanced_automation_risk", "automation_susceptibility", "econ_potential_index"),
+       money=("TOT_EMP", "A_MEAN", "economic_value"), group="dashboards", ops=("W7", "D5"))
+def gap_occupations(spark, d):
+    return DB.gap_occupations(_result(spark, d).occupations)
+
+
 @query("area_comparison", sql="""
-  SELECT state, current_ratio, ni AS national_current_index, current_ratio - ni AS current_differential,
-         potential_ratio - np AS potential_differential,
-         CASE WHEN current_ratio > ni THEN 'above' ELSE 'below' END AS relative_to_national
-  FROM summary, (SELECT avg(current_ratio) AS ni, avg(potential_ratio) AS np FROM summary) n""",
-       views=("summary",), rounded=("current_ratio", "national_current_index", "current_differential",
-                                    "potential_differential"), group="dashboards", ops=("J15", "P27"))
+  SELECT state, current_ratio, ni AS national_current, current_ratio - ni AS current_differential,
+         CASE WHEN current_ratio > ni THEN 'above' ELSE 'below' END AS current_comparison,
+         potential_ratio, np AS national_potential, potential_ratio - np AS potential_differential,
+         CASE WHEN potential_ratio > np THEN 'above' ELSE 'below' END AS potential_comparison,
+         automation_gap, ng AS national_gap, automation_gap - ng AS gap_differential,
+         CASE WHEN automation_gap > ng THEN 'above' ELSE 'below' END AS gap_comparison
+  FROM summary, (SELECT avg(current_ratio) AS ni, avg(potential_ratio) AS np, avg(automation_gap) AS ng
+                 FROM summary) n""",
+       views=("summary",), rounded=("current_ratio", "national_current", "current_differential", "potential_ratio",
+                                    "national_potential", "potential_differential", "automation_gap", "national_gap",
+                                    "gap_differential"), group="dashboards", ops=("J15", "P27", "D7"))
 def area_comparison(spark, d):
     return DB.comparison(_result(spark, d).summary)
 
@@ -243,7 +325,7 @@ def retraining(spark, d):
 @query("synthetic_distribution", sql="""
   SELECT CAST(position AS BIGINT) AS position, label, employment, employment / t * 100 AS percentage FROM (
     SELECT p.position, p.label, t,
-           CASE p.position WHEN 0 THEN a * 0.4 * 0.3 WHEN 1 THEN a * 0.4 * 0.7 WHEN 2 THEN a * 0.6 * 1.0
+           CASE p.position WHEN 0 THEN a * 0.12 WHEN 1 THEN a * 0.28 WHEN 2 THEN a * 0.6
                            WHEN 3 THEN (t - a) * 0.65 ELSE (t - a) * 0.35 END AS employment
     FROM (SELECT sum(total_employment) AS t, sum(current_employment_at_risk) AS a FROM summary) s,
          (VALUES (0, 'Very High Risk'), (1, 'High Risk'), (2, 'Moderate Risk'), (3, 'Low Risk'),
@@ -316,38 +398,25 @@ def _fx1(x: str) -> str:
 
 
 @query("key_insights", sql=f"""
+  SELECT * FROM (
   WITH t AS (SELECT state, current_ratio AS v, row_number() OVER (ORDER BY current_ratio DESC NULLS LAST, state) AS rk
              FROM summary),
   c AS ({_CHART}),
-  o AS (SELECT avg(current_ratio) AS cur, avg(automation_gap) AS gap FROM summary),
-  t3 AS (SELECT count(*) AS n, string_agg(state, ', ' ORDER BY rk) AS names,
-                max(CASE WHEN rk = 1 THEN v END) AS v1, max(CASE WHEN rk = 2 THEN v END) AS v2,
-                max(CASE WHEN rk = 3 THEN v END) AS v3 FROM t WHERE rk <= 3),
-  i3 AS (SELECT count(*) AS n, string_agg(label, ', ' ORDER BY rank) AS names,
-                max(CASE WHEN rank = 1 THEN potential END) AS p1, max(CASE WHEN rank = 2 THEN potential END) AS p2,
-                max(CASE WHEN rank = 3 THEN potential END) AS p3 FROM c WHERE rank <= 3)
-  SELECT 'regional' AS key, 'Regional Variations' AS title,
-         CASE WHEN t3.n >= 3 THEN 'The highest automation risk is concentrated in ' || t3.names
-              || '. These states show exposure indices of ' || {_fx1('t3.v1')} || '%, ' || {_fx1('t3.v2')}
-              || '%, and ' || {_fx1('t3.v3')} || '% respectively.'
-              ELSE '{DB.REGIONAL_DEFAULT}' END AS content FROM t3
+  o AS ({_METRICS})
+  SELECT 'regional' AS key, 'Areas' AS title, 'Highest current index: '
+         || string_agg(state || ' (' || {_fx1('v')} || '%)', '; ' ORDER BY rk) || '.' AS content FROM t WHERE rk <= 3
   UNION ALL
-  SELECT 'industry', 'Industry Trends',
-         CASE WHEN i3.n >= 3 THEN i3.names || ' occupations consistently show the highest automation risk across all '
-              || 'states, with potential indices exceeding ' || {_fx1('i3.p1')} || '%, ' || {_fx1('i3.p2')}
-              || '%, and ' || {_fx1('i3.p3')} || '% respectively.'
-              ELSE '{DB.INDUSTRY_DEFAULT}' END FROM i3
+  SELECT 'industry', 'Occupation groups', 'Most exposed groups by mean score, potential in brackets: '
+         || string_agg(label || ' (' || {_fx1('potential')} || '%)', '; ' ORDER BY rank) || '.' FROM c WHERE rank <= 3
   UNION ALL
-  SELECT 'projection', 'Automation Projection',
-         'The current exposure index of ' || {_fx('coalesce(o.cur, 1.75)')} || '% is projected to double to '
-         || {_fx('coalesce(o.cur, 1.75) * 2')} || '% within the next 18-24 months as MCP server adoption accelerates. '
-         || 'The significant gap between potential and current automation risk (' || {_fx1('coalesce(o.gap, 10.85)')}
-         || '% nationally) indicates substantial room for growth.' FROM o""".replace("WITH t AS", "SELECT * FROM (WITH t AS", 1) + ")",
-       views=("summary", "groups"), group="dashboards", ops=("P32", "P31", "D2"))
+  SELECT 'projection', 'Outlook', 'Current index ' || {_fx('current_index')} || '%, twice that '
+         || {_fx('projected_index')} || '%; potential lies ' || {_fx1('automation_gap')}
+         || ' points above the current index.' FROM o) WHERE content IS NOT NULL""",
+       views=("summary", "groups"), group="dashboards", ops=("P32",))
 def key_insights(spark, d):
     r = _result(spark, d)
     return DB.key_insights(DB.top_risk_areas(r.summary), DB.industry_risk_chart(r.groups),
-                           DB.national_overview(r.summary))
+                           DB.national_metrics(r.summary))
 
 
 @query("national_dashboard", sql=None, group="dashboards", ops=("D9", "S7"))

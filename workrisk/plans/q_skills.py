@@ -38,10 +38,10 @@ def skills_risk_table(spark, d):
     return stage(spark, d, "skills_risk", build)
 
 
-@query("skill_pivot", sql="""
-  SELECT onet_code, coalesce(COLUMNS(* EXCLUDE (onet_code)), 0.0) FROM (
-    PIVOT (SELECT onet_code, element, value FROM skills_imp) ON element USING max(value) GROUP BY onet_code)""",
-       views=("skills_imp",), group="skills", ops=("F5", "A19"))
+@query("skill_pivot", sql="SELECT onet_code, " + ", ".join(
+    f"coalesce(max(CASE WHEN element = '{e}' THEN value END), 0.0) AS {e}" for e in ELEMENTS)
+    + " FROM skills_imp GROUP BY onet_code",
+       views=("skills_imp",), rounded=tuple(ELEMENTS), group="skills", ops=("F5", "A19"))
 def skill_pivot(spark, d):
     return K.skill_matrix(domain.skills_long(spark, d), ELEMENTS)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 PART_CODE = "printf('%02d-%02d%06d', CAST(substring(p_brand, 7, 10) AS INTEGER), p_size, p_partkey)"
 BRAND = "CAST(substring(p_brand, 7, 10) AS INTEGER)"
+VEC_CODE = f"CASE WHEN p_partkey IS NULL THEN printf('00-00%06d.00', vec_id) ELSE {PART_CODE} || '.00' END"
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -40,13 +41,15 @@ _view("employment", (), f"""
     GROUP BY GROUPING SETS ((n_name, l_partkey), (l_partkey), (n_name), ())
   ) a LEFT JOIN part ON a.l_partkey = part.p_partkey""")
 
-_view("tech", (), f"""
+_TECH = f"""
   SELECT {PART_CODE} AS SOC_Code, {PART_CODE} || '.00' AS onet_code,
          CAST(p_size AS DOUBLE) AS tech_intensity_score,
          CAST(p_partkey % 11 AS DOUBLE) / 10.0 AS hot_tech_ratio,
          CAST(p_size * 3 AS BIGINT) AS total_technologies,
          CAST((p_size * 3 * (p_partkey % 11)) // 10 AS BIGINT) AS hot_technologies
-  FROM part WHERE p_partkey % 13 <> 0""")
+  FROM part"""
+_view("all_tech", (), _TECH)
+_view("tech", (), _TECH + " WHERE p_partkey % 13 <> 0")
 
 _view("apps", (), f"""
   SELECT printf('%02d-0000', b) AS soc_code, printf('%02d', b) AS major_group,
@@ -61,9 +64,9 @@ _view("sector", (), f"""
 _view("skills_long", (), f"""
   SELECT onet_code, title, printf('skill_%02d', pos) AS element, s.scale,
          CASE WHEN s.scale = 'Importance' THEN v ELSE v * 0.9 END AS value
-  FROM (SELECT {PART_CODE} || '.00' AS onet_code, p_name AS title, u.pos - 1 AS pos,
+  FROM (SELECT {VEC_CODE} AS onet_code, coalesce(p_name, 'vector ' || vec_id) AS title, u.pos - 1 AS pos,
                least(5.0, greatest(1.0, CAST(u.x AS DOUBLE) * 12.0 + 3.0)) AS v
-        FROM embeddings JOIN part ON vec_id = p_partkey,
+        FROM (SELECT * FROM embeddings LEFT JOIN part ON vec_id = p_partkey) p,
              LATERAL (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos) u) e,
        (VALUES ('Importance'), ('Level')) s(scale)""")
 
@@ -74,9 +77,9 @@ _view("skill_categories", (), """
   FROM range(64) t(i)""")
 
 _view("part_jobs", (), f"""
-  SELECT {PART_CODE} || '.00' AS onet_code, CAST(p_partkey % 11 AS DOUBLE) / 10.0 AS hot_tech_ratio,
-         CAST(p_size AS DOUBLE) AS tech_intensity_score
-  FROM embeddings JOIN part ON vec_id = p_partkey""")
+  SELECT {VEC_CODE} AS onet_code, CAST(vec_id % 11 AS DOUBLE) / 10.0 AS hot_tech_ratio,
+         CAST(coalesce(p_size, 0) AS DOUBLE) AS tech_intensity_score
+  FROM embeddings LEFT JOIN part ON vec_id = p_partkey""")
 
 _view("soc_titles", (), f"SELECT {PART_CODE} || '.00' AS onet_code, p_name AS title FROM part")
 

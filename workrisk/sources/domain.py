@@ -86,7 +86,16 @@ def employment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 13 != 0)
+    """``all_tech`` with planted lookup misses, for the joins."""
+    return _tech(table(spark, sf_dir, "part").filter(F.col("p_partkey") % 13 != 0))
+
+
+def all_tech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technology figures of every part, for the profiles."""
+    return _tech(table(spark, sf_dir, "part"))
+
+
+def _tech(p: DataFrame) -> DataFrame:
     n = F.col("p_size") * 3
     return p.select(
         part_code().alias("SOC_Code"),
@@ -114,12 +123,19 @@ def sector(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("p_partkey") % 17 != 0, F.col("p_type")).alias("sector"))
 
 
+def _vector_code() -> Column:
+    """Code of a vector's part; vectors without a part get a code from their own id."""
+    return (F.when(F.col("p_partkey").isNull(), F.format_string("00-00%06d.00", F.col("vec_id")))
+             .otherwise(F.concat(part_code(), F.lit(".00"))))
+
+
 def skills_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long skill ratings: (onet_code, title, element, scale, value)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    j = e.join(p, e.vec_id == p.p_partkey)
-    x = j.select(F.concat(part_code(), F.lit(".00")).alias("onet_code"), F.col("p_name").alias("title"),
+    j = e.join(p, e.vec_id == p.p_partkey, "left")
+    x = j.select(_vector_code().alias("onet_code"),
+                 F.coalesce("p_name", F.concat(F.lit("vector "), F.col("vec_id").cast("string"))).alias("title"),
                  F.posexplode("embedding").alias("pos", "x"))
     value = F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("x").cast("double") * 12.0 + 3.0))
     elem = F.format_string("skill_%02d", F.col("pos"))
@@ -142,10 +158,10 @@ def part_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hot-tech ratio of every job that has a skill vector (graph inputs)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    return (e.join(p, e.vec_id == p.p_partkey)
-             .select(F.concat(part_code(), F.lit(".00")).alias("onet_code"),
-                     ((F.col("p_partkey") % 11) / 10.0).alias("hot_tech_ratio"),
-                     F.col("p_size").cast("double").alias("tech_intensity_score")))
+    return (e.join(p, e.vec_id == p.p_partkey, "left")
+             .select(_vector_code().alias("onet_code"),
+                     ((F.col("vec_id") % 11) / 10.0).alias("hot_tech_ratio"),
+                     F.coalesce("p_size", F.lit(0)).cast("double").alias("tech_intensity_score")))
 
 
 def soc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
