@@ -71,7 +71,7 @@ def byte_characters() -> list[str]:
 class ByteBPE:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -264,7 +264,7 @@ def tokenizer(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def _texts(column: pa.Array, limit: int = 2 << 20):
+def _texts(column: pa.Array, limit: int = 1 << 20):
     """Lists of texts of about ``limit`` characters (null: empty)."""
     part, size = [], 0
     for text in column.to_pylist():

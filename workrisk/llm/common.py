@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from workrisk.session import ensure_checkpoint_dir
 
 # Ids of at most this many rows (8 bytes each) may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+BATCH_BYTES = 4 << 20  # input that a function of ``append_columns`` gets at a time, about
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,9 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     """Add columns that ``fn`` computes from the ``inputs`` of an Arrow batch.
 
     Every other column passes through unchanged. A column of ``df`` that has the
-    name of an added one is replaced, as ``withColumn`` does."""
+    name of an added one is replaced, as ``withColumn`` does. ``fn`` gets runs of whole
+    rows of about ``BATCH_BYTES`` of input, so its memory follows that and the longest row,
+    not the number of rows in a batch."""
     added = {f.name for f in fields}
     rest = [c for c in df.columns if c not in added]
     base = df.select([F.col(f"`{c}`") for c in rest])
@@ -50,9 +54,17 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     schema = T.StructType([*base.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of a reused worker left
         for batch in batches:
-            new = fn([batch.column(i) for i in where])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+            size = np.ones(batch.num_rows, dtype=np.int64)
+            for i in where:
+                if pa.types.is_boolean(batch.column(i).type):
+                    continue
+                size += pc.binary_length(batch.column(i)).fill_null(0).to_numpy(zero_copy_only=False)
+            for start, end in pieces(np.concatenate([[0], np.cumsum(size)]), BATCH_BYTES):
+                part = batch.slice(start, end - start)
+                new = fn([part.column(i) for i in where])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
