@@ -88,7 +88,7 @@ def displacement(spark, d):
 @query("opportunity_join", sql="""
   SELECT d.AREA_TITLE, d.OCC_CODE, d.TOT_EMP, d.economic_value, d.sector
   FROM detailed d JOIN opp_hp h ON d.OCC_CODE = h.OCC_CODE""", views=("detailed", "opp_hp"),
-       money=("TOT_EMP", "economic_value"), group="rollup", ops=("J6", "J7"))
+       money=("TOT_EMP", "economic_value"), group="rollup", ops=("J6"))
 def opportunity_join(spark, d):
     det, opp = _detailed(spark, d)
     return R.opportunity_occupations(det, opp).select("AREA_TITLE", "OCC_CODE", "TOT_EMP", "economic_value", "sector")
@@ -126,7 +126,7 @@ def sector_top5(spark, d):
     return R.sector_top5(det, opp)
 
 
-@query("risk_opportunity_doc", sql=None, group="rollup", ops=("D11", "D12", "S7"))
+@query("risk_opportunity_doc", sql=None, group="rollup", ops=("D11", "S7"))
 def risk_opportunity_doc(spark, d):
     det, opp = _detailed(spark, d)
     return R.risk_opportunity_document(R.area_rollup(det, opp), R.sector_rollup(det, opp), R.sector_top5(det, opp))
