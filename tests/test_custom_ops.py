@@ -195,7 +195,7 @@ def test_ties_nulls_and_duplicates(spark):  # M10 / M11
     from workrisk.operators.exposure import dedup_first
     rows = [("A", "c3", 5.0), ("A", "c1", 5.0), ("A", "c2", None), ("A", "c4", 7.0), ("A", "c5", 5.0)]
     df = spark.createDataFrame(rows, "k string, code string, v double")
-    got = [(r.rank, r.code) for r in top_k(df, ["k"], [F.col("v").desc_nulls_last()], 4, ["code"], salt_buckets=3)
+    got = [(r.rank, r.code) for r in top_k(df, ["k"], [F.col("v").desc_nulls_last()], 4, ["code"])
            .orderBy("rank").collect()]
     assert got == [(1, "c4"), (2, "c1"), (3, "c3"), (4, "c5")]          # ties by code, NULL last
     dup = spark.createDataFrame([("A", "c1", "x", 2), ("A", "c1", "y", 1), ("B", "c1", "z", 3)],
