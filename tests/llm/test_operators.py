@@ -109,6 +109,18 @@ def test_decontaminate_finds_substituted_passages(spark):
     assert decontaminate.overlaps(docs_of(spark, []), items).count() == 0
 
 
+def test_decontaminate_shuffled_equals_broadcast(spark):
+    from conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text")
+    items = items.union(spark.createDataFrame([(-1, None), (-2, "one two three four five six seven")], items.schema))
+    docs = docs.union(spark.createDataFrame([(-1, "zero one two three four five six seven eight"), (-2, None)], docs.schema))
+    shuffled = decontaminate.overlaps(docs, items, broadcast_bytes=-1)
+    assert "BroadcastHashJoin" in decontaminate.overlaps(docs, items)._jdf.queryExecution().toString()
+    rows = sorted(map(tuple, decontaminate.overlaps(docs, items).collect()))
+    assert (-1, -2, 7, 7) in rows and rows == sorted(map(tuple, shuffled.collect()))
+
+
 def test_langid(spark):
     r = np.random.default_rng(2)
     parts = {"aa": ["the", "ing", "wh", "tion"], "bb": ["ñol", "qué", "ción", "rr"]}

@@ -10,8 +10,10 @@ seed has at least ``percent`` per cent equal tokens.
 With the default masks every window of 16 tokens with up to three substitutions has a hit,
 so the seeds lose nothing that the verification would accept.
 
-Document tokens are hashed and probed within the scan: nothing but hits leaves it, as long
-as the benchmark has at most ``BROADCAST_SEEDS`` seeds; beyond it both sides are shuffled.
+A seed carries only the tokens that the comparison around it can reach, so its size does not
+follow the length of the item. Document tokens are hashed and probed within the scan: nothing
+but hits leaves it, as long as all seeds of the benchmark take at most ``BROADCAST_BYTES``;
+beyond it both sides are shuffled, the documents with the tokens around each place too.
 
 Defined results: null and empty texts have no tokens and no hits; items shorter than
 ``overlap`` are compared over their whole length; items or texts shorter than a mask have
@@ -28,7 +30,7 @@ MASKS = ("111011", "110111")  # 1: the token is hashed, 0: it is ignored
 OVERLAP = 16
 PERCENT = 80
 SEPARATOR = "[^\\p{L}\\p{N}]+"
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -48,27 +50,40 @@ def places(df: DataFrame, words: str, masks: tuple[str, ...]) -> DataFrame:
     return at.withColumn("seed", F.explode(seeds)).where("seed is not null")
 
 
+def around(words: str, place: str, overlap: int, span: int) -> tuple[Column, Column]:
+    """How many tokens before the place a comparison can reach, and all tokens that it can reach."""
+    before = F.least(F.lit(overlap - 1), F.col(place))
+    return before, F.slice(words, F.col(place) - before + 1, before + overlap + span)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
              item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
-             overlap: int = OVERLAP, percent: int = PERCENT) -> DataFrame:
+             overlap: int = OVERLAP, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, matched, compared): benchmark items that a document contains.
 
     ``matched`` of ``compared`` aligned tokens are equal in the best window."""
     span = max(map(len, masks))
     item = items.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item"))
-    seeds = (places(item, "item", masks)
-             .select("seed", "item_id", F.col("place").alias("item_place"), "item").distinct())
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
+    item_before, item_part = around("item", "place", overlap, span)
+    seeds = places(item, "item", masks).select(
+        "seed", "item_id", F.least(F.lit(overlap), F.size("item")).alias("compared"), item_before.alias("item_before"),
+        item_part.alias("item_part")).distinct()
+    seed_bytes = 64 + 16 * F.size("item_part") + F.octet_length(F.concat_ws("", "item_part"))
+    fits = (seeds.agg(F.sum(seed_bytes)).first()[0] or 0) <= broadcast_bytes
     doc = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(doc_text)).alias("doc"))
-    hits = places(doc, "doc", masks).join(seeds, "seed")
+    doc_before, doc_part = around("doc", "place", overlap, span)
+    near = ["doc_id", "seed", doc_before.alias("doc_before"), doc_part.alias("doc_part")]
+    if fits:  # the tokens around a place are cut out for hits only
+        hits = places(doc, "doc", masks).join(F.broadcast(seeds), "seed").select(*near, *seeds.columns[1:])
+    else:
+        hits = places(doc, "doc", masks).select(*near).join(seeds, "seed")
     # the part around the seed where both texts have tokens, and how many of them are equal up to each
-    reach = F.least(F.lit(overlap), F.size("item"))
-    before = F.least(reach - 1, F.col("place"), F.col("item_place"))
-    length = before + F.least(reach + span, F.size("doc") - F.col("place"), F.size("item") - F.col("item_place"))
-    part = hits.select("doc_id", "item_id", reach.alias("compared"),
-                       F.slice("doc", F.col("place") - before + 1, length).alias("x"),
-                       F.slice("item", F.col("item_place") - before + 1, length).alias("y"))
+    before = F.least(F.col("compared") - 1, F.col("doc_before"), F.col("item_before"))
+    length = before + F.least(F.col("compared") + span, F.size("doc_part") - F.col("doc_before"),
+                              F.size("item_part") - F.col("item_before"))
+    part = hits.select("doc_id", "item_id", "compared",
+                       F.slice("doc_part", F.col("doc_before") - before + 1, length).alias("x"),
+                       F.slice("item_part", F.col("item_before") - before + 1, length).alias("y"))
     equal = F.zip_with("x", "y", lambda a, b: F.when(a == b, 1).otherwise(0))
     # the one-element explode keeps the optimizer from repeating the comparison in every filter
     part = (part.where(F.size("x") >= F.col("compared"))
