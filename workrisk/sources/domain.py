@@ -8,7 +8,7 @@ with Spark (their size grows with the driver tables):
 
 * ``employment``: one row per (nation, part) with dirty text numbers, plus
   the national aggregate (``U.S.``) and per-area ``total`` rows - a single
-  GROUPING SETS aggregation over ``lineitem``.
+  GROUPING SETS aggregation over the area x part sums of ``lineitem``.
 * ``tech``, ``sector``: one row per part; ``apps``: one row per brand.
 * ``skills``: ``embeddings`` exploded to (code, element, scale, value).
 
@@ -59,9 +59,10 @@ def employment(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select("n_name", "l_partkey",
                        F.col("l_quantity").cast("bigint").alias("qty"),
                        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents")))
-    # One aggregation produces area x part, national x part, area totals and
-    # the national total (partial aggregation happens before the shuffle).
-    agg = (facts.groupingSets([["n_name", "l_partkey"], ["l_partkey"], ["n_name"], []], "n_name", "l_partkey")
+    # The facts are summed to area x part first; national x part, area totals and the national
+    # total come from those sums, so no fact row is copied for the grouping sets.
+    sums = facts.groupBy("n_name", "l_partkey").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
+    agg = (sums.groupingSets([["n_name", "l_partkey"], ["l_partkey"], ["n_name"], []], "n_name", "l_partkey")
                 .agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"),
                      F.grouping("n_name").alias("g_area"), F.grouping("l_partkey").alias("g_part")))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
