@@ -62,6 +62,25 @@ def opportunity_codes(v2: DataFrame) -> DataFrame:
     return high_potential(first_per_occ(v2)).select("OCC_CODE")
 
 
+def opportunity_codes_v1(v1: DataFrame) -> DataFrame:
+    """J7 input: the composition band's first row per OCC_CODE in its order (highest composition first)."""
+    from workrisk.operators.exposure import dedup_first
+    d = v1.withColumn("OCC_CODE", occ_from_onet("onet_code"))
+    order = [F.col("technical_composition").desc_nulls_last(), F.col("onet_code").asc()]
+    return dedup_first(d, ["OCC_CODE"], order).select("OCC_CODE", "title", "technical_composition")
+
+
+def opportunity_rows(codes: DataFrame, detailed: DataFrame) -> DataFrame:
+    """Every opportunity code with its occupation rows; codes without any keep one row of NULLs."""
+    return codes.join(detailed.select("OCC_CODE", "AREA_TITLE", "TOT_EMP", "economic_value", SECTOR), "OCC_CODE", "left")
+
+
+def opportunity_sector_value(rows: DataFrame) -> DataFrame:
+    """Economic value of the opportunity rows by sector (rows without a sector are in no group)."""
+    return (rows.filter(F.col(SECTOR).isNotNull()).groupBy(SECTOR)
+                .agg(sum0("economic_value").alias("economic_value")))
+
+
 def opportunity_occupations(detailed: DataFrame, opp_codes: DataFrame) -> DataFrame:
     """The high-potential occupation codes joined to every area's rows."""
     return detailed.join(opp_codes, "OCC_CODE")

@@ -94,6 +94,37 @@ def opportunity_join(spark, d):
     return R.opportunity_occupations(det, opp).select("AREA_TITLE", "OCC_CODE", "TOT_EMP", "economic_value", "sector")
 
 
+@query("opportunity_rows_v1", sql="""
+  SELECT h.OCC_CODE, h.technical_composition, d.AREA_TITLE, d.TOT_EMP, d.economic_value, d.sector FROM (
+    SELECT split_part(onet_code, '.', 1) AS OCC_CODE, technical_composition,
+           row_number() OVER (PARTITION BY split_part(onet_code, '.', 1)
+                              ORDER BY technical_composition DESC NULLS LAST, onet_code) AS rn
+    FROM opp_base WHERE technical_composition BETWEEN 0.1165 AND 0.1558) h
+  LEFT JOIN detailed d ON d.OCC_CODE = h.OCC_CODE WHERE h.rn = 1""", views=("opp_base", "detailed"),
+       rounded=("technical_composition",), money=("TOT_EMP", "economic_value"), group="rollup", ops=("J7",))
+def opportunity_rows_v1(spark, d):
+    codes = R.opportunity_codes_v1(OP.opportunity_v1(_risk(spark, d))).drop("title")
+    return R.opportunity_rows(codes, _detailed(spark, d)[0])
+
+
+@query("opportunity_rows_v2", sql="""
+  SELECT h.OCC_CODE, d.AREA_TITLE, d.TOT_EMP, d.economic_value, d.sector
+  FROM opp_hp h LEFT JOIN detailed d ON d.OCC_CODE = h.OCC_CODE""", views=("opp_hp", "detailed"),
+       money=("TOT_EMP", "economic_value"), group="rollup", ops=("J7",))
+def opportunity_rows_v2(spark, d):
+    det, opp = _detailed(spark, d)
+    return R.opportunity_rows(opp, det)
+
+
+@query("opportunity_sector_value", sql="""
+  SELECT d.sector, sum(coalesce(d.economic_value, 0.0)) AS economic_value
+  FROM opp_hp h JOIN detailed d ON d.OCC_CODE = h.OCC_CODE WHERE d.sector IS NOT NULL GROUP BY d.sector""",
+       views=("opp_hp", "detailed"), money=("economic_value",), group="rollup", ops=("J7",))
+def opportunity_sector_value(spark, d):
+    det, opp = _detailed(spark, d)
+    return R.opportunity_sector_value(R.opportunity_rows(opp, det))
+
+
 SECTOR_MONEY = ("employment", "economic_value", "opportunity_employment", "opportunity_economic_value")
 SECTOR_DOUBLES = ("risk_impact_pct", "opportunity_impact_pct")
 
