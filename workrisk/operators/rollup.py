@@ -174,18 +174,86 @@ def sector_top5(detailed: DataFrame, opportunity: DataFrame, k: int = 5) -> Data
                       "employment", "economic_value")
 
 
+# Fields of the document: part, name, column of the area totals; part, name, column by sector, count that must be positive.
+AREA_FIELDS = [
+    ("all", "total_jobs", "total_jobs"),
+    ("all", "total_economic_value", "total_economic_value"),
+    ("risk", "total_jobs_at_risk", "total_jobs_at_risk"),
+    ("risk", "total_jobs_at_risk_percentage", "total_jobs_at_risk_percentage"),
+    ("risk", "total_economic_value_at_risk", "total_economic_value_at_risk"),
+    ("risk", "total_economic_value_at_risk_percentage", "total_economic_value_at_risk_percentage"),
+    ("opportunity", "total_jobs_opportunity", "total_jobs_opportunity"),
+    ("opportunity", "total_jobs_opportunity_percentage", "total_jobs_opportunity_percentage"),
+    ("opportunity", "total_economic_value_opportunity", "total_economic_value_opportunity"),
+    ("opportunity", "total_economic_value_opportunity_percentage", "total_economic_value_opportunity_percentage"),
+]
+SECTOR_FIELDS = [
+    ("all", "employment_by_industry", "employment", None),
+    ("all", "economic_value_by_industry", "economic_value", None),
+    ("risk", "industry_impact_percentage", "risk_impact_pct", None),
+    ("risk", "employment_at_risk_by_industry", "risk_employment", "risk_occupations"),
+    ("risk", "economic_value_at_risk_by_industry", "risk_economic_value", "risk_occupations"),
+    ("opportunity", "industry_impact_percentage", "opportunity_impact_pct", None),
+    ("opportunity", "employment_opportunity_by_industry", "opportunity_employment", "opportunity_occupations"),
+    ("opportunity", "economic_value_opportunity_by_industry", "opportunity_economic_value", "opportunity_occupations"),
+]
+TOP_JOBS = "industry_wise_top_5_jobs"
+
+
 def risk_opportunity_document(area_totals: DataFrame, sectors: DataFrame, top5: DataFrame) -> DataFrame:
-    """One nested document per area (and ``National``) - maps by sector, top-5 lists."""
-    by_sector = sectors.groupBy("area").agg(
-        F.map_from_entries(F.collect_list(F.struct(SECTOR, "employment"))).alias("employment_by_industry"),
-        F.map_from_entries(F.collect_list(F.struct(SECTOR, "economic_value"))).alias("economic_value_by_industry"),
-        F.map_from_entries(F.collect_list(F.struct(SECTOR, "risk_impact_pct"))).alias("risk_industry_impact"),
-        F.map_from_entries(F.collect_list(F.struct(SECTOR, "risk_employment"))).alias("risk_employment_by_industry"),
-        F.map_from_entries(F.collect_list(F.struct(SECTOR, "opportunity_impact_pct")))
-         .alias("opportunity_industry_impact"))
-    tops = (top5.groupBy("area", "kind")
-                .agg(F.array_sort(F.collect_list(F.struct("ranked_by", SECTOR, "rank", "OCC_CODE", "OCC_TITLE",
-                                                          "employment", "economic_value"))).alias("top"))
-                .groupBy("area").agg(F.map_from_entries(F.collect_list(F.struct("kind", "top"))).alias("top_5_jobs")))
-    return (area_totals.withColumnRenamed("state", "area")
-                       .join(by_sector, "area", "left").join(tops, "area", "left"))
+    """One nested document per area (and ``National``): totals and maps by sector, and a
+    ``risk`` and an ``opportunity`` part with their totals, maps by sector and top-5 lists.
+
+    A sector without a flagged (high-potential) occupation is not in the maps of that part.
+    Lists and maps are bounded by the sectors of an area."""
+    def entry(column: str, needs: str | None):
+        pair = F.struct(SECTOR, F.col(column).cast("double"))
+        return F.collect_list(pair if needs is None else F.when(F.col(needs) > 0, pair))
+
+    by_sector = sectors.groupBy("area").agg(*[
+        F.map_from_entries(entry(column, needs)).alias(f"_{part}_{name}") for part, name, column, needs in SECTOR_FIELDS])
+    job = F.struct("ranked_by", SECTOR, F.col("rank").cast("bigint").alias("rank"), "OCC_CODE", "OCC_TITLE", "employment",
+                   "economic_value")
+    tops = top5.groupBy("area").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == kind, job)))
+                                      .alias(f"_{kind}_{TOP_JOBS}") for kind in ("risk", "opportunity")])
+    joined = (area_totals.withColumnRenamed("state", "area").join(by_sector, "area", "left")
+              .join(tops, "area", "left"))
+
+    def fields(part: str):
+        empty = F.create_map().cast("map<string,double>")
+        out = [F.col(column).alias(name) for of, name, column in AREA_FIELDS if of == part]
+        out += [F.coalesce(f"_{part}_{name}", empty).alias(name) for of, name, _, _ in SECTOR_FIELDS if of == part]
+        if part != "all":
+            jobs = F.col(f"_{part}_{TOP_JOBS}")
+            out.append(F.coalesce(jobs, F.array().cast(tops.schema[f"_{part}_{TOP_JOBS}"].dataType)).alias(TOP_JOBS))
+        return out
+
+    return joined.select("area", *fields("all"), F.struct(*fields("risk")).alias("risk"),
+                         F.struct(*fields("opportunity")).alias("opportunity"))
+
+
+def document_fields(doc: DataFrame) -> DataFrame:
+    """The document as rows: area, part, field, sector, position, code, value."""
+    def row(part, field, value, sector=None, position=None, code=None):
+        return F.struct(F.lit(part).alias("part"), field.alias("field"),
+                        F.lit(None).cast("string").alias("sector") if sector is None else sector.alias("sector"),
+                        (F.lit(None) if position is None else position).cast("bigint").alias("position"),
+                        (F.lit(None) if code is None else code).cast("string").alias("code"),
+                        value.cast("double").alias("value"))
+
+    def at(part: str, name: str):
+        return F.col(name) if part == "all" else F.col(f"{part}.{name}")
+
+    lists = [F.array(*[row(part, F.lit(name), at(part, name)) for part, name, _ in AREA_FIELDS])]
+    def by_sector(part: str, name: str):
+        return F.transform(F.map_entries(at(part, name)), lambda e: row(part, F.lit(name), e["value"], e["key"]))
+
+    def jobs(part: str):
+        return F.transform(at(part, TOP_JOBS), lambda e: row(
+            part, F.concat(F.lit("top_5_by_"), e["ranked_by"]),
+            F.when(e["ranked_by"] == "employment", e["employment"]).otherwise(e["economic_value"]),
+            e[SECTOR], e["rank"], e["OCC_CODE"]))
+
+    lists += [by_sector(part, name) for part, name, _, _ in SECTOR_FIELDS]
+    lists += [jobs(part) for part in ("risk", "opportunity")]
+    return doc.select("area", F.explode(F.concat(*lists)).alias("x")).select("area", "x.*")

@@ -51,14 +51,15 @@ register("occ_dedup", ("occ_levels",), f"""
                                  ORDER BY {LEVEL_RANK}, OCC_CODE, OCC_TITLE) AS rn
     FROM occ_levels) WHERE rn = 1""")
 
-register("tech_s", ("tech",), f"""
+for _tech, _scored in (("tech", "tech_s"), ("all_tech", "all_tech_s")):
+    register(_scored, (_tech,), f"""
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY SOC_Code_Cleaned
                                  ORDER BY SOC_Code ASC NULLS LAST, tech_intensity_score DESC NULLS LAST) AS rn
     FROM (SELECT t.*, coalesce(replace(SOC_Code, '-', ''), '') AS SOC_Code_Cleaned,
                  {clip100("(tech_intensity_score / NULLIF(m, 0) * 0.8 + hot_tech_ratio * 0.2) * 100.0")}
                    AS automation_susceptibility
-          FROM tech t, (SELECT max(tech_intensity_score) AS m FROM tech) mx)) WHERE rn = 1""")
+          FROM {_tech} t, (SELECT max(tech_intensity_score) AS m FROM {_tech}) mx)) WHERE rn = 1""")
 
 register("occ_tech", ("occ_dedup", "tech_s"), f"""
   SELECT o.*, t.tech_intensity_score,

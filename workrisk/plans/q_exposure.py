@@ -71,11 +71,11 @@ def clean_numeric(spark, d):
 
 @query("risk_category", sql="""
   SELECT SOC_Code_Cleaned, tech_intensity_score, hot_tech_ratio, automation_susceptibility,
-         {cat} AS automation_risk_category FROM tech_s""".replace(
+         {cat} AS automation_risk_category FROM all_tech_s""".replace(
     "{cat}", oracle_exposure.risk_cat("automation_susceptibility")),
-       views=("tech_s",), rounded=("automation_susceptibility",), group="exposure", ops=("P7", "P8", "P9", "W1"))
+       views=("all_tech_s",), rounded=("automation_susceptibility",), group="exposure", ops=("P7", "P8", "P9", "W1"))
 def risk_category(spark, d):
-    t = X.tech_susceptibility(domain.tech(spark, d))
+    t = X.tech_susceptibility(domain.all_tech(spark, d))
     return t.select(X.CODE, "tech_intensity_score", "hot_tech_ratio", "automation_susceptibility",
                     "automation_risk_category")
 

@@ -157,7 +157,27 @@ def sector_top5(spark, d):
     return R.sector_top5(det, opp)
 
 
-@query("risk_opportunity_doc", sql=None, group="rollup", ops=("D11", "S7"))
-def risk_opportunity_doc(spark, d):
+def _document(spark, d):
     det, opp = _detailed(spark, d)
     return R.risk_opportunity_document(R.area_rollup(det, opp), R.sector_rollup(det, opp), R.sector_top5(det, opp))
+
+
+@query("risk_opportunity_doc", sql=None, group="rollup", ops=("D11", "S7"))
+def risk_opportunity_doc(spark, d):
+    return _document(spark, d)
+
+
+_NONE = "CAST(NULL AS VARCHAR) AS sector, CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS code"
+_FIELDS = " UNION ALL ".join(
+    [f"SELECT state AS area, '{part}' AS part, '{name}' AS field, {_NONE}, CAST({column} AS DOUBLE) AS value FROM area_roll"
+     for part, name, column in R.AREA_FIELDS]
+    + [f"SELECT area, '{part}', '{name}', sector, NULL, NULL, CAST({column} AS DOUBLE) FROM sector_roll"
+       + (f" WHERE {needs} > 0" if needs else "") for part, name, column, needs in R.SECTOR_FIELDS]
+    + ["""SELECT area, kind, 'top_5_by_' || ranked_by, sector, CAST(rank AS BIGINT), OCC_CODE,
+          CAST(CASE WHEN ranked_by = 'employment' THEN employment ELSE economic_value END AS DOUBLE) FROM top5"""])
+
+
+@query("risk_opportunity_fields", sql=_FIELDS, views=("area_roll", "sector_roll", "top5"), money=("value",),
+       group="rollup", ops=("D11",))
+def risk_opportunity_fields(spark, d):
+    return R.document_fields(_document(spark, d))
