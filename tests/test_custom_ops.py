@@ -240,3 +240,30 @@ def test_ecdf_positions(spark):  # T6 (ties are not merged)
     got = sorted((r.pos, r.k, r.ecdf) for r in P.ecdf(df, "x", "k").collect())
     order = sorted((v, f"k{i}") for i, v in enumerate(vals) if v is not None)
     assert got == [(i + 1, k, (i + 1) / 5) for i, (_, k) in enumerate(order)]
+
+
+def test_opportunity_rows_keep_codes_without_an_area(spark):
+    from workrisk.operators import rollup as R
+    v1 = spark.createDataFrame([("11-1.00", "a", 0.12), ("11-1.01", "b", 0.14), ("12-2.00", "c", None)],
+                               "onet_code string, title string, technical_composition double")
+    codes = R.opportunity_codes_v1(v1)
+    assert sorted(tuple(r) for r in codes.collect()) == [("11-1", "b", 0.14), ("12-2", "c", None)]
+    area = spark.createDataFrame([("11-1", "X", 5.0, 2.0, "s"), ("11-1", "Y", 1.0, 3.0, None), ("99-9", "X", 1.0, 1.0, "s")],
+                                 "OCC_CODE string, AREA_TITLE string, TOT_EMP double, economic_value double, sector string")
+    rows = R.opportunity_rows(codes, area)
+    assert sorted((r["OCC_CODE"], r["AREA_TITLE"] or "") for r in rows.collect()) == [("11-1", "X"), ("11-1", "Y"), ("12-2", "")]
+    assert [tuple(r) for r in R.opportunity_sector_value(rows).collect()] == [("s", 2.0)]
+
+
+def test_document_without_sectors_has_empty_maps(spark):
+    from workrisk.operators import rollup as R
+    schema = ("AREA_TITLE string, OCC_CODE string, OCC_TITLE string, TOT_EMP double, economic_value double, sector string, "
+              "RISK_EMP long, AT_RISK_ECONOMIC_VALUE long, perc_ile_thresholded_risk boolean")
+    det = spark.createDataFrame([("X", "1", "a", 4.0, 8.0, None, 1, 2, True), ("Y", "2", "b", 6.0, 2.0, "s", 3, 1, False)], schema)
+    opp = spark.createDataFrame([("2",)], "OCC_CODE string")
+    doc = R.risk_opportunity_document(R.area_rollup(det, opp), R.sector_rollup(det, opp), R.sector_top5(det, opp))
+    by = {r["area"]: r for r in doc.collect()}
+    assert by["X"]["risk"]["total_jobs_at_risk"] == 4.0 and by["X"]["employment_by_industry"] == {}
+    assert by["Y"]["risk"]["employment_at_risk_by_industry"] == {} and by["Y"]["risk"]["industry_wise_top_5_jobs"] == []
+    assert by["Y"]["opportunity"]["economic_value_opportunity_by_industry"] == {"s": 2.0}
+    assert R.document_fields(doc).where("area = 'X'").count() == len(R.AREA_FIELDS)

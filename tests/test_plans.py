@@ -47,3 +47,9 @@ def test_level_stats_are_broadcast(spark):
     plan = _plan(X.select_levels(emp).select("AREA_TITLE", "OCC_CODE", F.col("O_GROUP")))
     # the per-(area, prefix) statistics are joined back as a broadcast: the fact is not shuffled for it
     assert "BroadcastHashJoin" in plan
+
+
+def test_facts_are_summed_before_grouping_sets(spark):
+    tree = _plan(domain.employment(spark, SF_SMALL)).split("\n\n")[0]
+    below = tree[tree.index("Expand"):]
+    assert below.index("HashAggregate") < below.index("Scan")
