@@ -87,6 +87,27 @@ def test_jaccard_blocks_outnumber_differences():
         assert (jaccard.shared_blocks(value, np.array([0, len(value)]), sizes) > 1).any() or n < 50
 
 
+def linked_sets(r, sizes, n, m):
+    """Hashes of two sets of sizes n and m that share as few as linked sets may."""
+    c = sizes.overlap(n, m)
+    x = r.permutation(np.unique(r.integers(0, 1 << 63, 2 * (n + m)).astype(np.uint64) * np.uint64(2)))[:n + m - c]
+    return np.sort(x[:n]), np.sort(x[n - c:])
+
+
+@pytest.mark.parametrize("limit", [4, 12, 13])
+def test_jaccard_linked_sets_of_every_size_share_a_key(limit):
+    sizes, r = jaccard.Sizes(), np.random.default_rng(limit)
+    for n, m in ((n, m) for n in [*range(1, 40), 52, 64, 65, 80] for m in sizes.partners(n) if n <= m):
+        if sizes.overlap(n, m) > n:
+            continue
+        for _ in range(150 if n < 20 else 20):
+            a, b = linked_sets(r, sizes, n, m)
+            key, row, _ = jaccard.batch_keys(np.concatenate([a, b]), np.array([0, n, n + m]), limit, sizes)
+            assert set(key[row == 0].tolist()) & set(key[row == 1].tolist()), (n, m)
+            if 0.8 * m >= limit:  # no filled block in common: the prefix keys alone
+                assert set(jaccard.prefix_keys(a, limit, sizes)) & set(jaccard.prefix_keys(b, limit, sizes)), (n, m)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8), (8, 8)], "a long, b long")
     assert dict(connected_components(edges, "a", "b").collect()) == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
