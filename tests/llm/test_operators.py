@@ -108,6 +108,12 @@ def test_jaccard_linked_sets_of_every_size_share_a_key(limit):
                 assert set(jaccard.prefix_keys(a, limit, sizes)) & set(jaccard.prefix_keys(b, limit, sizes)), (n, m)
 
 
+def test_jaccard_boundary_does_not_follow_the_table_below_its_floor():
+    sizes = jaccard.Sizes()
+    for histogram in ({n: 100 for n in range(1, 25)}, {n: 1000 // n for n in range(1, 25)}, {n: 100 for n in range(5, 25)}, {}):
+        assert sizes.boundary(histogram) >= 12
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8), (8, 8)], "a long, b long")
     assert dict(connected_components(edges, "a", "b").collect()) == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
