@@ -5,8 +5,10 @@ kept; its result is written as Parquet and reread as the next stage's documents.
 the last return the columns of ``docs``; columns beyond those of ``documents`` pass through.
 
 Defined results: a null or empty text has no letter and goes in the first stage; rows with
-a null id are never removed as duplicates or as contaminated; rows that repeat an id are one
-document, of which one row stays after the third stage; an empty table passes through.
+a null id are never removed as duplicates or as contaminated; rows that repeat an id with the
+same text are one document, of which the row that is first by its other columns (as JSON)
+stays after the third stage; rows that repeat an id with different texts are documents of
+their own there; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -39,15 +41,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays."""
-    groups = jaccard.join_components(docs.select("doc_id", "text"))
-    removed = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "removed")
-    kept = with_ids(docs, removed, "doc_id", "left_anti").select(docs.columns)
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
                        .select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return kept
-    once = with_ids(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return with_ids(kept, repeated, "doc_id", "left_anti").select(docs.columns).union(once)
+        groups = jaccard.join_components(docs.select("doc_id", "text"))
+        removed = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "removed")
+        return with_ids(docs, removed, "doc_id", "left_anti").select(docs.columns)
+    # one row for each text of a repeated id, under a key of its own
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = with_ids(docs, repeated, "doc_id", "left_semi")
+    if rest:
+        row = F.struct(*(F.col(f"`{c}`") for c in rest))
+        again = (again.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+                 .select("doc_id", "text", "_row.*"))
+    else:
+        again = again.distinct()
+    again = again.select(*docs.columns, F.xxhash64("doc_id", "text", F.lit("document")).alias("_key"))
+    once = with_ids(docs, repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias("_key"))
+    keyed = written(once.union(again), "keyed")
+    groups = written(jaccard.join_components(keyed.select("_key", "text"), id_col="_key"), "keys")
+    groups = groups.where("_key is not null").join(keyed.select("_key", "doc_id"), "_key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    removed = groups.join(first, "component_id").where("_key <> first._key").select("_key").distinct()
+    return with_ids(keyed, written(removed, "removed"), "_key", "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

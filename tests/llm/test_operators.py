@@ -108,6 +108,21 @@ def test_jaccard_linked_sets_of_every_size_share_a_key(limit):
                 assert set(jaccard.prefix_keys(a, limit, sizes)) & set(jaccard.prefix_keys(b, limit, sizes)), (n, m)
 
 
+def test_repeated_ids_with_different_texts(spark):
+    import corpus_pipeline as P
+    r = np.random.default_rng(7)
+    one, two, three = (" ".join(r.choice(WORDS, 60)) for _ in range(3))
+    near = two + " " + str(r.choice(WORDS))
+    rows = [(1, one, "b"), (5, one, "a"), (5, two, "a"), (6, two, "a"), (7, near, "a"), (8, three, "b"), (8, three, "a"),
+            (9, "", "a"), (9, None, "a"), (None, one, "a"), (10, three + " end", "a"), (10, "a short one", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((x["doc_id"], x["component_id"]) for x in jaccard.join_components(docs).collect() if x["doc_id"])
+    assert got == [(1, 1), (5, 1), (5, 1), (6, 1), (7, 1), (8, 8), (8, 8), (9, 9), (9, 9), (10, 8), (10, 8)]
+    kept = [tuple(x) for x in P.duplicate_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, one, "b"), (5, two, "a"), (8, three, "a"), (9, "", "a"), (9, None, "a"),
+                                            (None, one, "a"), (10, "a short one", "a")], key=str)
+
+
 def test_jaccard_boundary_does_not_follow_the_table_below_its_floor():
     sizes = jaccard.Sizes()
     for histogram in ({n: 100 for n in range(1, 25)}, {n: 1000 // n for n in range(1, 25)}, {n: 100 for n in range(5, 25)}, {}):
