@@ -163,6 +163,28 @@ def test_decontaminate_shuffled_equals_broadcast(spark):
     assert (-1, -2, 7, 7) in rows and rows == sorted(map(tuple, shuffled.collect()))
 
 
+def accepted(doc, item):
+    """The acceptance rule, tried at every alignment: the most equal tokens of a window, or None."""
+    n, best = min(16, len(item)), -1
+    for p, q in itertools.product(range(len(doc) - n + 1), range(len(item) - n + 1)):
+        best = max(best, sum(a == b for a, b in zip(doc[p:p + n], item[q:q + n], strict=True)))
+    return (best, n) if n and best * 100 >= n * 80 else None
+
+
+def test_decontaminate_short_items_equal_the_acceptance_rule(spark):
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in range(1, 21)} | {50: ["same"] * 7, 51: ["你好世界"]}
+    docs = {}
+    for n, item in [x for x in items.items() if x[0] <= 20]:
+        for miss in range(n - -(-n * 80 // 100) + 2):
+            for gone in itertools.islice(itertools.combinations(range(n), miss), 0, None, 1 if n < 12 else 17):
+                docs[len(docs)] = ["a", "b", *("x" if k in gone else t for k, t in enumerate(item[:n])), "c"]
+    docs |= {len(docs) + k: d for k, d in enumerate((["same"] * 5, ["same"] * 9, ["q", "你好世界"], ["i3t0", "i3t1"], []))}
+    item_rows = spark.createDataFrame([*((i, " ".join(w)) for i, w in items.items()), (90, " .,"), (91, None)], "item_id long, text string")
+    found = decontaminate.overlaps(docs_of(spark, [" ".join(d) for d in docs.values()]), item_rows)
+    want = {(d, i, *a) for d, w in docs.items() for i, v in items.items() if set(v) & set(w) and (a := accepted(w, v))}
+    assert set(map(tuple, found.collect())) == want and {i for _, i, *_ in want} == set(items)
+
+
 def test_langid(spark):
     r = np.random.default_rng(2)
     parts = {"aa": ["the", "ing", "wh", "tion"], "bb": ["ñol", "qué", "ción", "rr"]}

@@ -7,8 +7,11 @@ of the training documents are joined, and around each hit the two texts are comp
 by token: the pair is reported if some window of ``overlap`` aligned tokens around the
 seed has at least ``percent`` per cent equal tokens.
 
-With the default masks every window of 16 tokens with up to three substitutions has a hit,
-so the seeds lose nothing that the verification would accept.
+With the default masks every window of 16 tokens with up to three substitutions has a hit.
+Items shorter than ``overlap`` have seeds of their own: the longest run of neighbouring tokens
+that must be equal somewhere if ``percent`` per cent of the item are (all tokens of an item of
+up to four). Only run lengths that the benchmark asks for are laid over the documents. So the
+seeds lose nothing that the verification would accept, at any length of the item.
 
 A seed carries only the tokens that the comparison around it can reach, so its size does not
 follow the length of the item. Document tokens are hashed and probed within the scan: nothing
@@ -16,8 +19,8 @@ but hits leaves it, as long as all seeds of the benchmark take at most ``BROADCA
 beyond it both sides are shuffled, the documents with the tokens around each place too.
 
 Defined results: null and empty texts have no tokens and no hits; items shorter than
-``overlap`` are compared over their whole length; items or texts shorter than a mask have
-no seeds and are never reported; equal documents or items are all reported; repeated rows
+``overlap`` are compared over their whole length, down to a single token; a text shorter
+than that has no hits; equal documents or items are all reported; repeated rows
 are reported once.
 """
 
@@ -37,16 +40,23 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
-def places(df: DataFrame, words: str, masks: tuple[str, ...]) -> DataFrame:
-    """One row for each mask at each place of ``words``: place, seed."""
-    n, span = F.size(words), min(map(len, masks))
+def short_run(n: int, percent: int) -> int:
+    """Tokens of the longest run that is equal in every accepted comparison with an item of n tokens."""
+    equal = -(-n * percent // 100)
+    return -(-equal // (n - equal + 1))
+
+
+def places(df: DataFrame, words: str, masks: dict[int, str], use: dict[int, Column] | None = None) -> DataFrame:
+    """One row for each mask (by its number) at each place of ``words``: place, seed. ``use``: the rows that a mask is for."""
+    n, span = F.size(words), min(map(len, masks.values()))
     at = df.withColumn("place", F.explode(F.when(n >= span, F.sequence(F.lit(0), n - span))))
 
     def seed(number: int, mask: str) -> Column:
         kept = [F.get(words, F.col("place") + i) for i, bit in enumerate(mask) if bit == "1"]
-        return F.when(F.col("place") + len(mask) <= n, F.xxhash64(F.lit(number), *kept))
+        fits = F.col("place") + len(mask) <= n
+        return F.when(fits & use[number] if use else fits, F.xxhash64(F.lit(number), *kept))
 
-    seeds = F.array(*(seed(i, m) for i, m in enumerate(masks)))
+    seeds = F.array(*(seed(i, m) for i, m in masks.items()))
     return at.withColumn("seed", F.explode(seeds)).where("seed is not null")
 
 
@@ -62,10 +72,18 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     """(doc_id, item_id, matched, compared): benchmark items that a document contains.
 
     ``matched`` of ``compared`` aligned tokens are equal in the best window."""
-    span = max(map(len, masks))
     item = items.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item"))
+    # items shorter than a window take runs, numbered by their length below zero, the others the masks
+    n = F.size("item")
+    short = {r["n"]: short_run(r["n"], percent)
+             for r in item.select(n.alias("n")).where((F.col("n") > 0) & (F.col("n") < overlap)).distinct().collect()}
+    runs = {-g: "1" * g for g in sorted(set(short.values())) if g}
+    all_masks = dict(enumerate(masks)) | runs
+    wanted = F.array(*(F.lit(-short.get(size, 0)) for size in range(overlap)))  # run of an item, by its size
+    use = {i: n >= overlap for i in range(len(masks))} | {i: F.get(wanted, n) == i for i in runs}
+    span = max(map(len, all_masks.values()))
     item_before, item_part = around("item", "place", overlap, span)
-    seeds = places(item, "item", masks).select(
+    seeds = places(item, "item", all_masks, use).select(
         "seed", "item_id", F.least(F.lit(overlap), F.size("item")).alias("compared"), item_before.alias("item_before"),
         item_part.alias("item_part")).distinct()
     seed_bytes = 64 + 16 * F.size("item_part") + F.octet_length(F.concat_ws("", "item_part"))
@@ -74,9 +92,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     doc_before, doc_part = around("doc", "place", overlap, span)
     near = ["doc_id", "seed", doc_before.alias("doc_before"), doc_part.alias("doc_part")]
     if fits:  # the tokens around a place are cut out for hits only
-        hits = places(doc, "doc", masks).join(F.broadcast(seeds), "seed").select(*near, *seeds.columns[1:])
+        hits = places(doc, "doc", all_masks).join(F.broadcast(seeds), "seed").select(*near, *seeds.columns[1:])
     else:
-        hits = places(doc, "doc", masks).select(*near).join(seeds, "seed")
+        hits = places(doc, "doc", all_masks).select(*near).join(seeds, "seed")
     # the part around the seed where both texts have tokens, and how many of them are equal up to each
     before = F.least(F.col("compared") - 1, F.col("doc_before"), F.col("item_before"))
     length = before + F.least(F.col("compared") + span, F.size("doc_part") - F.col("doc_before"),
