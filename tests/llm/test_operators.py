@@ -318,6 +318,22 @@ def test_license_families(spark):
     assert rows[0]["paragraphs"] == [1] and rows[0]["n_paragraphs"] == 3 and rows[2]["n_paragraphs"] == 0
 
 
+def test_license_wrapped_and_dual_notices(spark):
+    import textwrap
+    r = np.random.default_rng(9)
+    plain = [" ".join(r.choice(WORDS, 12)) for _ in range(300)]
+    scanner = license.train(plain, epochs=4)
+    notices = [("BSD", license.TEMPLATES["BSD"][0] + ":"), ("GPL", license.TEMPLATES["GPL"][1] + ", either version 3 of the License."),
+               ("LGPL", license.TEMPLATES["LGPL"][0]), ("MIT", license.TEMPLATES["MIT"][1] + " (the Software)")]
+    texts = ["\n".join([plain[0], *textwrap.wrap(t, width), plain[1]]) for _, t in notices for width in (40, 70)]
+    texts += ["Licensed under the Apache License, Version 2.0 or the MIT license.", "SPDX-License-Identifier: MIT OR Apache-2.0",
+              "\n".join(plain), "Redistribution and use in source\n\nand binary forms, with or\n\nwithout modification, are"]
+    rows = license.scan(docs_of(spark, texts), scanner).collect()
+    want = [[f] for f, _ in notices for _ in (40, 70)] + [["Apache", "MIT"]] * 2 + [[], []]
+    assert [x["families"] for x in rows] == want
+    assert all(1 <= n < x["n_paragraphs"] - 1 for x in rows[:8] for n in x["paragraphs"])  # a notice may have two runs
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
     from conftest import SF_SMALL

@@ -1,13 +1,16 @@
 """Licence scan with a trained paragraph classifier (operator 5).
 
-Paragraphs are the lines of a text. Word n-grams (one to three words, hashed) feed a sparse
+Paragraphs are the lines of a text; runs of lines between blank lines, of up to ``RUN_WORDS``
+words, are examined too, so that a wrapped notice is seen as a whole (reported by the run's
+first line; separate runs of one notice count each). Word n-grams (one to three words, hashed) feed a sparse
 multinomial logistic regression over licence families and an ``unknown`` class. It is
 trained on variants of short templates (words lost, swapped and put around them) against
 paragraphs of the documents, a bounded sample of ``SAMPLE_DOCS`` documents. The logits are
 calibrated by a temperature fitted on held-out paragraphs, so the probability of
-``unknown`` can be relied on; a family is predicted where its probability is at least
-``CONFIDENCE``. A prediction counts if template comparison confirms it: a template of that
-family has at least ``SIMILARITY`` of its word pairs, by weight of rarity, in the paragraph.
+``unknown`` can be relied on; a licence is predicted where the probability of all families is
+at least ``CONFIDENCE``. Template comparison confirms the families, the most probable first: a
+template of the family has at least ``SIMILARITY`` of its word pairs, by weight of rarity, in
+the paragraph, not counting the pairs of families confirmed before.
 
 Defined results: null and empty texts have no paragraphs and no licence; a document's
 families are listed once, in alphabetical order; repeated rows give repeated results.
@@ -34,6 +37,7 @@ SAMPLE_DOCS = 400
 VARIANTS = 60
 CONFIDENCE = 0.5
 SIMILARITY = 0.6
+RUN_WORDS = 90  # the longest template has some 40 words
 
 # Short notices by licence family, as licences and package files print them.
 TEMPLATES = {
@@ -111,11 +115,68 @@ class Scanner:
 
     def similarity(self, family: str, text: str) -> float:
         """Largest share of a template's word pairs, by weight, that the paragraph has."""
-        own = set(word_pairs(text))
+        return self.share(family, set(word_pairs(text)))
+
+    def share(self, family: str, own: set) -> float:
         return max((sum(self.pair_weight[p] for p in t if p in own) / max(sum(self.pair_weight[p] for p in t), 1e-9)
                     for t in map(word_pairs, TEMPLATES[family])), default=0.0)
 
 
+    def confirmed(self, text: str, p: np.ndarray) -> list[tuple[str, float]]:
+        """Families whose templates the text has, with their probabilities ``p``."""
+        own, out = set(word_pairs(text)) | choices(text), []
+        for c in np.argsort(-p[:-1], kind="stable").tolist():
+            family = self.classes[c]
+            if self.share(family, own) >= SIMILARITY:
+                out.append((family, float(p[c])))
+                own -= {x for t in TEMPLATES[family] for x in word_pairs(t)}
+        return out
+
+    def wrapped(self, lines: list[str], known: list[set]) -> list[tuple[str, int, float]]:
+        """(family, first line, probability) of notices that only runs of a block's lines hold.
+
+        ``known``: families found in each line; it takes those found here."""
+        words = [[w for w in WORD.findall(x.lower()) if not w.isdigit()] for x in lines]
+        flat = [(w, i) for i, x in enumerate(words) for w in x]
+        hit = {i for (w, i), (v, _) in zip(flat, flat[1:], strict=False) if (w, v) in self.pair_weight}
+        out = []
+        for start in sorted(hit):
+            total = len(words[start])
+            for end in range(start + 1, len(lines)):
+                total += len(words[end])
+                if total > RUN_WORDS and end > start + 1:
+                    break
+                if end not in hit and end - 1 not in hit:
+                    continue
+                text = "\n".join(lines[start:end + 1])
+                pairs = set(word_pairs(text)) | choices(text)
+                seen = set().union(*known[start:end + 1])
+                if all(self.share(f, pairs) < SIMILARITY for f in self.classes[:-1] if f not in seen):
+                    continue
+                p = self.probabilities(*batch_of([text]))[0]
+                new = [x for x in self.confirmed(text, p) if x[0] not in seen] if 1 - p[-1] >= CONFIDENCE else []
+                # a tighter run says so as well: it starts at a later line
+                inner = "\n".join(lines[start + 1:end + 1])
+                new = [x for x in new if self.share(x[0], set(word_pairs(inner)) | choices(inner)) < SIMILARITY]
+                for family, value in new:
+                    out.append((family, start, value))
+                    for k in known[start:end + 1]:
+                        k.add(family)
+        return out
+
+
+def choices(text: str) -> set[tuple[str, str]]:
+    """Word pairs that a choice ('the MIT or Apache license') leaves unsaid."""
+    words = ["", "", *(w for w in WORD.findall(text.lower()) if not w.isdigit()), "", ""]
+    out = set()
+    for i in range(2, len(words) - 2):
+        if words[i] in ("or", "and"):
+            out |= {(words[i - 2], words[i + 1]), (words[i - 1], words[i + 2])}
+            if "identifier" in words[:i]:  # an SPDX expression
+                out.add(("identifier", words[i + 1]))
+    return out
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -229,15 +290,23 @@ def scan(df: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFrame:
             first[1:] = np.cumsum(per)[:-1]
             total[a:b] = per
             p = s.probabilities(part, lines)
-            best = p[:, :-1].argmax(axis=1)
-            for i in np.flatnonzero((p[np.arange(len(p)), best] >= CONFIDENCE) & filled).tolist():
-                text = part[lines[i]:lines[i + 1]].tobytes().decode("utf-8", "replace")
-                family = s.classes[best[i]]
-                if s.similarity(family, text) >= SIMILARITY:
-                    found[a + owner[i]].append((family, int(number[i] - first[owner[i]]), float(p[i, best[i]])))
-        return [pa.array(total, pa.int64()), pa.array([len(f) for f in found], pa.int64()),
+            known = [set() for _ in range(len(p))]
+            line = lambda i: part[lines[i]:lines[i + 1]].tobytes().decode("utf-8", "replace")
+            for i in np.flatnonzero((1 - p[:, -1] >= CONFIDENCE) & filled).tolist():
+                for family, value in s.confirmed(line(i), p[i]):
+                    known[i].add(family)
+                    found[a + owner[i]].append((family, int(number[i] - first[owner[i]]), value))
+            # blocks of lines between blank lines
+            edge = np.ones(len(p), dtype=bool)
+            edge[1:] = (owner[1:] != owner[:-1]) | ~filled[1:] | ~filled[:-1]
+            begin = np.flatnonzero(edge)
+            for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(p)], strict=True):
+                if y - x > 1:
+                    for family, i, value in s.wrapped([line(i) for i in range(x, y)], known[x:y]):
+                        found[a + owner[x]].append((family, int(number[x + i] - first[owner[x]]), value))
+        return [pa.array(total, pa.int64()), pa.array([len({x[1] for x in f}) for f in found], pa.int64()),
                 pa.array([sorted({x[0] for x in f}) for f in found], pa.list_(pa.string())),
-                pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int64())),
+                pa.array([sorted({x[1] for x in f}) for f in found], pa.list_(pa.int64())),
                 pa.array([max((x[2] for x in f), default=0.0) for f in found], pa.float64())]
 
     return append_columns(df, [text_col], [
