@@ -40,8 +40,8 @@ def written(df: DataFrame, kind: str) -> DataFrame:
 
 
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
-                   fn: Callable[[list[pa.Array]], list[pa.Array]]) -> DataFrame:
-    """Add columns that ``fn`` computes from the ``inputs`` of an Arrow batch.
+                   fn: Callable[[list[pa.Array]], list[pa.Array]], done: Callable[[], None] | None = None) -> DataFrame:
+    """Add columns that ``fn`` computes from the ``inputs`` of an Arrow batch; ``done`` runs when a task ends.
 
     Every other column passes through unchanged. A column of ``df`` that has the
     name of an added one is replaced, as ``withColumn`` does. ``fn`` gets runs of whole
@@ -65,6 +65,8 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
                 part = batch.slice(start, end - start)
                 new = fn([part.column(i) for i in where])
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+        if done is not None:
+            done()
 
     return base.mapInArrow(run, schema)
 

@@ -7,11 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, htmltext, jaccard, langid, license, packing, quality, warc
+from . import bpe, covertree, decontaminate, htmltext, jaccard, langid, license, packing, piecebpe, quality, warc
 from .common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 QUALITY_THRESHOLD = 0.3
 QUALITY_FOLDS, QUALITY_HELD = 5, 0
 LANG_FOLDS, LANG_HELD = 4, 2
@@ -23,6 +24,12 @@ def tokenizer_path() -> str:
     return os.environ.get("WORKRISK_TOKENIZER", public_tokenizers.path(TOKENIZER))
 
 
+def pieces_path() -> str:
+    """The public model file of pieces (a parameter of the operators)."""
+    import public_tokenizers
+    return os.environ.get("WORKRISK_PIECES", public_tokenizers.path(PIECES))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +99,14 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piecebpe.encode(docs, pieces_path(), decoded_col="decoded").drop("text")
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -103,5 +118,6 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
     "op10_htmltext": op10_htmltext,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
