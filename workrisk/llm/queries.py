@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, htmltext, jaccard, langid, license, packing, piecebpe, quality, warc
+from . import bpe, covertree, decontaminate, htmltext, jaccard, langid, license, merkle, packing, piecebpe, quality, warc
 from .common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +16,7 @@ PIECES = "piece_bpe_32k.model"
 QUALITY_THRESHOLD = 0.3
 QUALITY_FOLDS, QUALITY_HELD = 5, 0
 LANG_FOLDS, LANG_HELD = 4, 2
+TAMPER_FOLDS, TAMPERED = 5, 0
 
 
 def tokenizer_path() -> str:
@@ -107,6 +108,11 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": merkle.lower_ascii(F.col("text"))},
+                           where=fold_of("doc_id", TAMPER_FOLDS) == TAMPERED)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -119,5 +125,6 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_htmltext": op10_htmltext,
     "op11_sentencepiece": op11_sentencepiece,
+    "op13_merkle": op13_merkle,
 }
 SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
