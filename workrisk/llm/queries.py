@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, htmltext, jaccard, langid, license, merkle, packing, piecebpe, quality, warc
+from . import align, bpe, covertree, decontaminate, htmltext, jaccard, langid, license, merkle, packing, piecebpe, quality, warc
 from .common import fold_of, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -108,6 +108,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": merkle.lower_ascii(F.col("text"))},
                            where=fold_of("doc_id", TAMPER_FOLDS) == TAMPERED)
@@ -125,6 +129,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_htmltext": op10_htmltext,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
 SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
