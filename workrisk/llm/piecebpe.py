@@ -13,7 +13,7 @@ searches for that sequence:
 
 Texts are cut where no piece of the model can cross: before a space that follows another character and
 around characters that occur in no longer piece. Encoded cuts are kept in a cache bounded by bytes,
-which is emptied when a task ends.
+which is emptied when a task ends; which pieces may stand behind which is remembered within the same bound.
 
 Defined results: a null text is encoded like an empty one (only the begin and end ids); characters
 without a piece become the ids of their UTF-8 bytes, or the unknown id where the model has no byte
@@ -45,9 +45,13 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_TYPE = 2
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 
-CACHE_BYTES = 80 << 20  # of cached cuts and ids, and again of remembered pairs, about
-ENTRY = 160  # bytes that a cache entry takes besides its strings, about
+CACHE_BYTES = 80 << 20  # of cached cuts with ids, and again of remembered pairs, about
+ENTRY = 160  # bytes that a cached cut takes besides its strings, about
+PAIR = 120  # bytes that a remembered pair takes, about
 LONGEST_CACHED = 64
+WIDTHS = (6, 10, 16, 30, 62)  # lengths of cuts that are searched together; a bitfield of 64 bits holds the last
+STEP_WORDS = 16_384
+NONE = 1 << 62
 
 
 def wire_fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -122,22 +126,28 @@ class PieceBPE:
         self.control = {i for i, p in enumerate(pieces) if p[2] == CONTROL}
         self.leading = {i for p, i in self.piece_id.items() if p.startswith(SPACE)}
 
-        self.widest = max(map(len, self.piece_id))
-        self.automaton = ahocorasick.Automaton()
         inside = {c for p in self.rank for c in p}
-        for p in {*self.piece_id, *inside}:
+        self.names = sorted({*self.piece_id, *inside})
+        self.number = {p: k for k, p in enumerate(self.names)}
+        self.matches = LongestMatches(self.names)
+        self.size = np.array([len(p) for p in self.names])
+        self.coded = [self.bytes_of(p) for p in self.names]
+        self.widest = max(map(len, self.names))
+        self.automaton = ahocorasick.Automaton()
+        for p in self.names:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.piece_id or k == 1), None)
-                        for p in self.piece_id}
+        self.next_shorter = np.array([next((self.number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.number), -1)
+                                      for p in self.names])
         if any(a != SPACE and b == SPACE for p in self.rank for a, b in zip(p, p[1:], strict=False)):
-            self.cut = re.compile(r".+", re.DOTALL)
+            self.cut, self.alphabet = re.compile(r".+", re.DOTALL), None
         else:
             own = re.escape("".join(sorted(inside - {SPACE})))
+            self.alphabet = inside
             self.cut = re.compile(f"{SPACE}*[{own}]+|{SPACE}+|[^{own}]")
-        self.follows: dict[str, dict[str, bool]] = {}
+        self.forget_pairs()
         self.cache: dict[str, bytes] = {}
-        self.cache_bytes, self.cached, self.pairs = cache_bytes, 0, 0
+        self.cache_bytes, self.cached = cache_bytes, 0
 
     def merge(self, text: str, border: int = 0) -> list[str]:
         """Pieces of a short string by merging; stops at once if a merge crosses ``border`` (if given)."""
@@ -156,13 +166,76 @@ class PieceBPE:
                 ranks[i - 1] = rank.get(parts[i - 1] + parts[i], most)
         return parts
 
-    def may_follow(self, last: str, piece: str) -> bool:
-        """Whether merging gives ``piece`` itself and, after ``last`` (empty: none), just these two again."""
-        known = self.merge(last + piece, len(last)) == ([last, piece] if last else [piece])
-        self.follows.setdefault(last, {})[piece] = known
-        self.pairs += 1
+    def forget_pairs(self) -> None:
+        self.follows: dict[int, bool] = {}  # by last * number of pieces + piece (last is one more; 0: at the start)
+        self.keys, self.allowed = np.array([NONE]), np.zeros(1, bool)
+
+    def may_follow(self, last: int, piece: int) -> bool:
+        """Whether merging the joined string of two pieces (``last`` is one more; 0: none) gives just these again."""
+        key = last * len(self.names) + piece
+        known = self.follows.get(key)
+        if known is None:
+            own = self.names[piece]
+            before = self.names[last - 1] if last else ""
+            known = self.follows[key] = self.merge(before + own, len(before)) == ([before, own] if last else [own])
         return known
 
+    def may_follow_all(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        key = last * len(self.names) + piece
+        place = np.searchsorted(self.keys, key)
+        new = np.unique(key[self.keys[place] != key])
+        if len(new):
+            known = [self.may_follow(*divmod(k, len(self.names))) for k in new.tolist()]
+            where = np.searchsorted(self.keys, new)
+            self.keys, self.allowed = np.insert(self.keys, where, new), np.insert(self.allowed, where, known)
+            place = np.searchsorted(self.keys, key)
+        return self.allowed[place]
+
+    def search_words(self, words: list[str]) -> list[list[int]]:
+        """``search`` of many cuts of 2 to ``WIDTHS[-1]`` characters: numbers of their pieces, all cuts step by step."""
+        out: list = [None] * len(words)
+        length = np.array([len(w) for w in words])
+        low = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((length > low) & (length <= width))
+            low = width
+            for start in range(0, len(rows), STEP_WORDS):
+                part = rows[start:start + STEP_WORDS]
+                for r, found in zip(part.tolist(), self._search_block([words[i] for i in part], length[part], width), strict=True):
+                    out[r] = found
+        return out
+
+    def _search_block(self, words: list[str], length: np.ndarray, width: int) -> list[list[int]]:
+        n = len(words)
+        chars = np.frombuffer("".join([w.ljust(width) for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+        longest = self.matches.at_each_place(chars.reshape(n, width).T.astype(np.int64), length)
+        at, depth, last = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        failed, piece = np.zeros(n, np.int64), longest[0].copy()  # one bit for each position
+        pieces = np.zeros((width + 1, n), np.int64)
+        col = np.arange(n)
+        while len(col):
+            own = piece[col]
+            end = at[col] + self.size[own]
+            free = failed[col] >> end & 1 == 0
+            free[free] = self.may_follow_all(last[col[free]], own[free])
+            on, own, end, rest = col[free], own[free], end[free], col[~free]
+            pieces[depth[on], on] = own
+            at[on], last[on] = end, own + 1
+            depth[on] += 1
+            piece[on] = longest[np.minimum(end, width - 1), on]
+            piece[rest] = self.next_shorter[piece[rest]]
+            back = rest[piece[rest] < 0]  # nothing leads on from here: back to the piece before
+            if len(back):
+                failed[back] |= 1 << at[back]
+                depth[back] -= 1
+                piece[back] = pieces[depth[back], back]
+                at[back] -= self.size[piece[back]]
+                last[back] = np.where(depth[back] > 0, pieces[depth[back] - 1, back] + 1, 0)
+            col = col[at[col] < length[col]]
+        flat = pieces.T[np.arange(width + 1) < depth[:, None]].tolist()
+        ends = np.cumsum(depth).tolist()
+        return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
     def longest(self, word: str, at: int) -> str:
         """The longest piece that matches at a position, or the character there."""
         ahead = word[at:at + self.widest]
@@ -171,68 +244,76 @@ class PieceBPE:
 
     def search(self, word: str) -> list[str]:
         """The pieces of a cut, by backtracking over the longest matches."""
-        longest, shorter, n = self.longest, self.shorter, len(word)
+        number, names, n = self.number, self.names, len(word)
         failed = bytearray(n // 8 + 1)  # one bit for each position
         pieces: list[str] = []
-        at, last, piece = 0, "", longest(word, 0)
-        known = self.follows.get(last, {})
+        at, piece = 0, self.longest(word, 0)
         while True:
             end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1:
-                ok = known.get(piece)
-                if ok or ok is None and self.may_follow(last, piece):
-                    pieces.append(piece)
-                    if end == n:
-                        return pieces
-                    at, last, piece = end, piece, longest(word, end)
-                    known = self.follows.get(last, {})
-                    continue
-            piece = shorter.get(piece)
-            if piece is None:
+            if not failed[end >> 3] >> (end & 7) & 1 and self.fits(pieces[-1] if pieces else "", piece):
+                pieces.append(piece)
+                if end == n:
+                    return pieces
+                at, piece = end, self.longest(word, end)
+                continue
+            shorter = self.next_shorter[number[piece]] if piece in number else -1
+            if shorter >= 0:
+                piece = names[shorter]
+            else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = pieces.pop()
                 at -= len(piece)
-                last = pieces[-1] if pieces else ""
-                known = self.follows.get(last, {})
-
-    def ids_of(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.search(word):
-            i = self.piece_id.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.byte_id:
-                ids.extend(self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass"))
-            else:
-                ids.append(self.unknown)
+
+    def fits(self, last: str, piece: str) -> bool:
+        """``may_follow`` of strings; a character that is in no piece fits everywhere."""
+        if piece not in self.number or last and last not in self.number:
+            return piece not in self.number or self.may_follow(0, self.number[piece])
+        return self.may_follow(self.number[last] + 1 if last else 0, self.number[piece])
+
+    def bytes_of(self, piece: str) -> bytes:
+        """The ids of a piece or of a character without one."""
+        if piece in self.piece_id:
+            ids = [self.piece_id[piece]]
+        elif self.byte_id:
+            ids = [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
+        else:
+            ids = [self.unknown]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of cuts."""
+        many = [w for w in words if 1 < len(w) <= WIDTHS[-1] and (self.alphabet or not self.beyond(w))]
+        found = dict(zip(many, self.search_words(many), strict=True)) if many else {}
+        coded = self.coded
+        return [b"".join([coded[k] for k in found[w]]) if w in found else
+                b"".join(map(self.bytes_of, self.search(w) if len(w) > 1 else [w])) for w in words]
+
+    def beyond(self, word: str) -> bool:
+        return any(c not in self.number for c in word)
+
     def forget(self) -> None:
-        """Empty the caches (at the end of a task)."""
+        """Empty the cache of cuts (at the end of a task) and, if it has grown large, that of pairs."""
         self.cache.clear()
-        self.follows.clear()
-        self.cached = self.pairs = 0
+        self.cached = 0
+        if PAIR * len(self.follows) > self.cache_bytes:
+            self.forget_pairs()
 
     def encode_batch(self, texts: list[str], ends: bool = True) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers, with begin and end ids where ``ends``."""
         cache = self.cache
         first, last = (struct.pack("<I", i) if ends else b"" for i in (self.begin, self.end))
-        out = []
-        for text in texts:
-            if text and self.dummy_prefix:
-                text = " " + text
-            words = self.cut.findall(text.replace(" ", SPACE))
-            if self.cached > self.cache_bytes or ENTRY * self.pairs > self.cache_bytes:
-                self.forget()
-            long = []
-            for word in set(words).difference(cache):
-                cache[word] = ids = self.ids_of(word)
+        if self.cached > self.cache_bytes:
+            self.forget()
+        cut = [self.cut.findall((" " + t if t and self.dummy_prefix else t).replace(" ", SPACE)) for t in texts]
+        fresh = list(set().union(*cut).difference(cache))
+        coded = self.encode_words(fresh)
+        cache.update(zip(fresh, coded, strict=True))
+        out = [b"".join([first, *map(cache.__getitem__, words), last]) for words in cut]
+        for word, ids in zip(fresh, coded, strict=True):
+            if len(word) > LONGEST_CACHED:
+                del cache[word]
+            else:
                 self.cached += ENTRY + len(word) + len(ids)
-                if len(word) > LONGEST_CACHED:
-                    long.append(word)
-            out.append(b"".join([first, *map(cache.__getitem__, words), last]))
-            for word in long:
-                self.cached -= ENTRY + len(word) + len(cache.pop(word))
         return out
 
     def encode(self, text: str) -> bytes:
@@ -253,6 +334,60 @@ class PieceBPE:
                            for _, run in runs)[strip:]
 
 
+class LongestMatches:
+    """Aho-Corasick automaton of the reversed pieces, for many strings at a time.
+
+    Read from its end, a string is at each place in the state of the longest beginning of a reversed piece;
+    the longest piece that ends a state is the longest one that starts at this place of the string."""
+
+    def __init__(self, names: list[str]):
+        children: list[dict[int, int]] = [{}]
+        out = [-1]
+        for number, piece in enumerate(names):
+            state = 0
+            for c in map(ord, reversed(piece)):
+                if c not in children[state]:
+                    children[state][c] = len(out)
+                    children.append({})
+                    out.append(-1)
+                state = children[state][c]
+            out[state] = number
+        fail = [0] * len(out)
+        level = list(children[0].values())
+        while level:
+            deeper = []
+            for state in level:
+                if out[state] < 0:
+                    out[state] = out[fail[state]]
+                for c, child in children[state].items():
+                    back = fail[state]
+                    while back and c not in children[back]:
+                        back = fail[back]
+                    fail[child] = children[back].get(c, 0)
+                    deeper.append(child)
+            level = deeper
+        edges = sorted((state << 21 | c, child) for state, next_states in enumerate(children) for c, child in next_states.items())
+        self.edge = np.array([*(e for e, _ in edges), NONE])
+        self.child = np.array([*(c for _, c in edges), 0])
+        self.fail, self.out = np.array(fail), np.array(out)
+
+    def at_each_place(self, chars: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Number of the longest piece at each place; ``chars`` has a column for each string."""
+        state, found = np.zeros(len(length), np.int64), np.zeros(chars.shape, np.int64)
+        for place in range(len(chars) - 1, -1, -1):
+            rows = np.flatnonzero(length > place)
+            while len(rows):
+                edge = state[rows] << 21 | chars[place, rows]
+                at = np.searchsorted(self.edge, edge)
+                known = self.edge[at] == edge
+                state[rows[known]] = self.child[at[known]]
+                rows = rows[~known]
+                rows = rows[state[rows] > 0]
+                state[rows] = self.fail[state[rows]]
+            found[place] = self.out[state]
+        return found
+
+
 def decode_by_character(raw: bytes) -> str:
     """UTF-8 with one replacement character for every byte that starts no valid character."""
     out, at = [], 0
