@@ -165,12 +165,16 @@ def fill_wages(occ: DataFrame, nat_wages: DataFrame, area: str = AREA,
 
 
 def app_counts_by_major(apps: DataFrame | None) -> DataFrame | None:
-    """App coverage config -> (major_group, apps); duplicates of a major keep the largest count."""
+    """App coverage config -> (major_group, apps).
+
+    Of several entries of a major group the last one counts if the entries have a ``position``
+    (as the readers give it), else - without an order - the largest."""
     if apps is None:
         return None
     code_col = "major_group_code" if "major_group_code" in apps.columns else "soc_code"
     a = apps.withColumn("_major", major_code(clean_soc_code(code_col)))
-    return a.groupBy("_major").agg(F.max("estimated_apps").cast("double").alias("estimated_zapier_apps_major"))
+    chosen = F.max_by("estimated_apps", "position") if "position" in apps.columns else F.max("estimated_apps")
+    return a.groupBy("_major").agg(chosen.cast("double").alias("estimated_zapier_apps_major"))
 
 
 def app_coverage(occ: DataFrame, apps_by_major: DataFrame | None, area: str = AREA) -> DataFrame:

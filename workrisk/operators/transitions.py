@@ -13,6 +13,7 @@ normalisation, the rank iterations and the recommendations.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from workrisk.operators import _kernels
 from workrisk.operators.common import top_k, with_scalars
 from workrisk.operators._kernels import WEIGHTS  # noqa: F401
 from workrisk.session import materialize
+from workrisk.sources.model import bucket_count, fresh_folder, numbered_nodes, read_edges, write_edges
 
 def major_code(c: Column) -> Column:
     """Major group of an O*NET code: first 2 characters of the cleaned code."""
@@ -98,41 +100,63 @@ def graph_edges(matrix: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- G6 rank
 
-def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER,
-             checkpoint_every: int = 10, edges_per_partition: int = 2_000_000,
-             min_partitions: int | None = None) -> DataFrame:
-    """Weighted PageRank, fixed iterations, no dangling redistribution.
+# The plan of the iterations is settled by the buckets: no join to choose, no partition to merge or split, and
+# buckets are kept though the cached scan alone would not need them.
+LOOP_CONF = {"spark.sql.adaptive.enabled": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
+@contextmanager
+def settings(spark, conf: dict[str, str]):
+    """Session settings for a block; the earlier ones come back."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def job_rank(edges: DataFrame, alpha: float = ALPHA, max_iter: int = MAX_ITER, checkpoint_every: int = 10) -> DataFrame:
+    """Weighted PageRank of (src, dst, weight), fixed iterations, no dangling redistribution.
 
     n = nodes touching at least one edge; start 1/n; new = (1-a)/n + a * sum(rank * w);
-    a graph without edges has no ranks. Edges (plus a zero-weight self-loop per node, so
-    that every node is a destination) are checkpointed once, hash-partitioned by ``dst``
-    and cached. Nodes are keyed by their codes at every size; the join of the ranks is
-    left to the runtime's size check. Ranks are checkpointed every ``checkpoint_every``
-    iterations (bounded lineage; survives executor loss).
-    """
-    spark = edges.sparkSession
-    e0 = edges.select("src", "dst", "weight")
-    ids = materialize(e0.select(F.col("src").alias("node")).union(e0.select(F.col("dst").alias("node"))).distinct())
-    n = ids.count()
+    a graph without edges has no ranks. The edges are written as the bucketed table of a
+    saved model, see ``model_rank``."""
+    spark, nodes = edges.sparkSession, numbered_nodes(edges)
+    buckets, path = bucket_count(spark, edges.count()), fresh_folder(spark, "edges")
+    write_edges(edges, nodes, path, buckets)
+    return model_rank(nodes, read_edges(spark, path, buckets), buckets, alpha, max_iter, checkpoint_every)
+
+
+def model_rank(nodes: DataFrame, edges: DataFrame, buckets: int, alpha: float = ALPHA, max_iter: int = MAX_ITER,
+               checkpoint_every: int = 10) -> DataFrame:
+    """``job_rank`` of the tables of a saved model.
+
+    An iteration joins the edges, in place, with the ranks of their sources and sums
+    partially by destination: only these sums are shuffled, into the same buckets, which
+    is where the next iteration needs them. Ranks are checkpointed every
+    ``checkpoint_every`` iterations (bounded lineage; survives executor loss)."""
+    spark, n = nodes.sparkSession, nodes.count()
     if n == 0:
         return spark.createDataFrame([], "node string, rank double")
-    keyed = e0.select(F.col("src").alias("s"), F.col("dst").alias("d"), "weight")
-    loops = ids.select(F.col("node").alias("s"), F.col("node").alias("d"), F.lit(0.0).alias("weight"))
-    # Partition count from the edge count (each iteration runs one task per
-    # partition): at least the cluster's parallelism, ~2 M edges per task.
-    m = e0.count() + n  # every edge keeps both endpoints in ``ids``
-    parts = max(min_partitions or 2 * spark.sparkContext.defaultParallelism, math.ceil(m / edges_per_partition))
-    e = materialize(keyed.unionByName(loops).repartition(parts, "d")).persist()
-    base = (1.0 - alpha) / n
-    ranks = ids.select(F.col("node").alias("s"), F.lit(1.0 / n).alias("rank"))
-    for it in range(1, max_iter + 1):
-        ranks = (e.join(ranks, "s").groupBy("d")
-                  .agg((F.lit(base) + F.lit(alpha) * F.sum(F.col("rank") * F.col("weight"))).alias("rank"))
-                  .withColumnRenamed("d", "s"))
-        if it % checkpoint_every == 0 or it == max_iter:
-            ranks = materialize(ranks)
-    e.unpersist()
-    return ranks.select(F.col("s").alias("node"), "rank")
+    with settings(spark, LOOP_CONF | {"spark.sql.shuffle.partitions": str(buckets)}):
+        kept = edges.select("s", "d", "weight").persist()
+        ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
+        for it in range(1, max_iter + 1):
+            ranks = rank_step(kept, ranks, (1.0 - alpha) / n, alpha)
+            if it % checkpoint_every == 0 or it == max_iter:
+                ranks = materialize(ranks)
+        kept.unpersist()
+    return ranks.join(nodes, "id").select("node", "rank")
+
+
+def rank_step(edges: DataFrame, ranks: DataFrame, base: float, alpha: float) -> DataFrame:
+    """One iteration: (id, rank) from the bucketed edges (s, d, weight) and the ranks before."""
+    sources = ranks.withColumnRenamed("id", "s").hint("shuffle_hash")
+    return (edges.join(sources, "s").groupBy(F.col("d").alias("id"))
+            .agg((F.lit(base) + F.lit(alpha) * F.sum(F.col("rank") * F.col("weight"))).alias("rank")))
 
 
 # ---------------------------------------------------------------- G7-G9 recommendations
@@ -189,17 +213,26 @@ def training_plan(gaps: Column) -> Column:
          .alias("estimated_duration")))
 
 
+def title_keys(code: Column) -> Column:
+    """Lookup keys of a code, best first: the code itself, then its integer without suffix and hyphen."""
+    number = F.replace(F.substring_index(code, ".", 1), F.lit("-"), F.lit("")).try_cast("bigint")
+    return F.array(F.concat(F.lit("="), code), F.concat(F.lit("#"), number.cast("string")))
+
+
 def job_titles(codes: DataFrame, titles: DataFrame, code: str = "code") -> DataFrame:
-    """Exact code, else the cleaned integer code, else ``Unknown Job (code)``."""
-    exact = titles.groupBy("onet_code").agg(F.min("title").alias("_t1"))
-    cleaned = (titles.withColumn("_n", F.replace(F.substring_index("onet_code", ".", 1), F.lit("-"), F.lit(""))
-                                 .try_cast("bigint"))
-                     .groupBy("_n").agg(F.min_by("title", "onet_code").alias("_t2")))
-    c = codes.withColumn("_n", F.replace(F.substring_index(code, ".", 1), F.lit("-"), F.lit("")).try_cast("bigint"))
-    return (c.join(exact, c[code] == exact.onet_code, "left").drop("onet_code")
-             .join(cleaned, "_n", "left")
-             .withColumn("title", F.coalesce("_t1", "_t2", F.concat(F.lit("Unknown Job ("), F.col(code), F.lit(")"))))
-             .drop("_n", "_t1", "_t2"))
+    """Exact code, else the cleaned integer code, else ``Unknown Job (code)``.
+
+    Both sides are exploded into (priority, key), so all levels of the lookup are one equi-join. Of
+    several titles the smallest of an exact code counts, and the one of the smallest code of an integer."""
+    found = (titles.select("title", F.col("onet_code").alias("_c"), F.posexplode(title_keys(F.col("onet_code"))).alias("_p", "_k"))
+             .groupBy("_k").agg(F.min(F.when(F.col("_p") == 0, F.col("title"))).alias("_exact"),
+                                F.min_by("title", "_c").alias("_first"))
+             .select("_k", F.coalesce("_exact", "_first").alias("_title")))
+    wanted = codes.select("*", F.posexplode(title_keys(F.col(code))).alias("_p", "_k"))
+    # a code has two keys: the best one with a title, found by one aggregation
+    best = (wanted.join(found, "_k", "left").groupBy(*codes.columns)
+            .agg(F.min_by("_title", F.when(F.col("_title").isNotNull(), F.col("_p"))).alias("title")))
+    return best.withColumn("title", F.coalesce("title", F.concat(F.lit("Unknown Job ("), F.col(code), F.lit(")"))))
 
 
 def recommendations(edges: DataFrame, vectors: DataFrame, titles: DataFrame, tech: DataFrame,

@@ -24,7 +24,7 @@ GROUP_DOUBLES = ("automation_susceptibility", "enhanced_automation_risk",
 
 
 @query("exposure_index_by_group", sql="SELECT * FROM groups", views=("groups",), rounded=GROUP_DOUBLES, money=GROUP_MONEY,
-       group="exposure", ops=("S1", "P1", "P4", "P6", "F1", "F2", "F3", "J1", "J2", "J3", "P7", "P8", "P9",
+       group="exposure", ops=("P1", "P4", "P6", "F1", "F2", "F3", "J1", "J2", "J3", "P7", "P8", "P9",
                               "P10", "P11", "P12", "A1", "A2", "A3", "A4", "W1"))
 def exposure_index_by_group(spark, d):
     return _result(spark, d).groups
@@ -97,7 +97,7 @@ def wage_fill(spark, d):
   SELECT AREA_TITLE, SOC_Code_Cleaned, major_group, estimated_zapier_apps, zapier_apps_per_worker,
          enhanced_automation_risk, enhanced_risk_category FROM occ_apps""", views=("occ_apps",),
        rounded=("estimated_zapier_apps", "zapier_apps_per_worker", "enhanced_automation_risk"),
-       group="exposure", ops=("S2", "J2", "A4", "P10"))
+       group="exposure", ops=("J2", "A4", "P10"))
 def app_coverage(spark, d):
     occ = _result(spark, d).occupations
     return occ.select(X.AREA, X.CODE, "major_group", "estimated_zapier_apps", "zapier_apps_per_worker",
@@ -145,7 +145,7 @@ def quality_report(spark, d):
 
 
 @query("write_roundtrip", sql="SELECT * FROM groups", views=("groups",), rounded=GROUP_DOUBLES, money=GROUP_MONEY,
-       group="exposure", ops=("S6", "S8", "U1"))
+       group="exposure", ops=("S6", "U1"))
 def write_roundtrip(spark, d):
     """Minor-group table written partitioned by area to the shared checkpoint folder and read back."""
     import uuid

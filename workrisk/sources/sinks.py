@@ -12,7 +12,7 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", partition_
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         w.json(path)
     else:
