@@ -173,6 +173,20 @@ def test_quantiles_by_key_matches_percentile(spark):
     assert all(abs(got[key] - exp[key]) <= 1e-12 * (1 + abs(exp[key])) for key in exp)
 
 
+def test_quantiles_without_keys_and_with_null_keys(spark):
+    from pyspark.sql import functions as F
+    from workrisk.operators.common import quantiles_by_key, scalar_quantiles
+    rows = [(None, 1.0), (None, 2.0), ("", 5.0), ("a", 7.0)] + [("a", 3.0)] * 200 + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {(r.k, r.q): r.quantile for r in quantiles_by_key(df, ["k"], "v", [0.0, 0.5, 1.0]).collect()}
+    assert got == {(None, 0.0): 1.0, (None, 0.5): 1.5, (None, 1.0): 2.0, ("", 0.0): 5.0, ("", 0.5): 5.0, ("", 1.0): 5.0,
+                   ("a", 0.0): 3.0, ("a", 0.5): 3.0, ("a", 1.0): 7.0}
+    one = scalar_quantiles(df, "v", {"low": 0.1, "mid": 0.5, "top": 0.999}).first()
+    exact = df.agg(F.percentile("v", [0.1, 0.5, 0.999]).alias("p")).first().p
+    assert all(abs(a - b) < 1e-9 for a, b in zip(one, exact))
+    assert tuple(scalar_quantiles(df.limit(0), "v", {"mid": 0.5}).first()) == (None,)
+
+
 def test_keyed_positions_stable_under_checkpoint(spark):
     """Positions must not depend on whether the range shuffle is evaluated once or twice."""
     from pyspark.sql import Window

@@ -58,25 +58,44 @@ def keyed_positions(df: DataFrame, keys: list[str], order: list[Column], pos_col
              .withColumn(pos_col, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))
 
 
-def quantiles_by_key(df: DataFrame, keys: list[str], value: str, qs: list[float],
-                     cut_input: bool = True) -> DataFrame:
-    """Exact quantiles with linear interpolation (as ``percentile``) per key, without
-    holding a group's values in one aggregation buffer.
+def quantiles_by_key(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (as ``percentile``) per key, by a histogram of the values.
 
-    Returns (keys..., q, quantile); NULL values are ignored; keys without
-    values are absent. ``cut_input=False`` when ``df`` is already materialised.
-    """
-    from workrisk.session import materialize
-    v = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    v = materialize(v) if cut_input else v
-    # positions are read three times (counts, lower and upper neighbour): cut them once
-    pos = materialize(keyed_positions(v, keys, [F.col("_v").asc()]))
-    n = pos.groupBy(*keys).agg(F.max("pos").alias("_n"))
-    want = (n.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-             .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
-             .withColumn("_lo", F.floor("_h") + 1).withColumn("_hi", F.ceil("_h") + 1)
-             .withColumn("_f", F.col("_h") - F.floor("_h")))
-    lo = pos.select(*keys, F.col("pos").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = pos.select(*keys, F.col("pos").alias("_hi"), F.col("_v").alias("_vhi"))
-    j = want.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
-    return j.select(*keys, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("quantile"))
+    Rows are counted per (key, value) before anything is shuffled, so a value that fills a third of
+    the rows is one row. The distinct values are ranged by (keys, value) and written once; a running
+    sum within each range and the sums of earlier ranges give the positions that a value covers. One
+    pass over them finds both neighbours of every quantile: no group is held in one task.
+
+    Returns (keys..., q, quantile); NULL values are ignored; keys without values are absent (with no
+    keys, an empty input gives no rows)."""
+    from workrisk.session import write_stage
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = write_stage(counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_v"))
+                         .withColumn("_pid", F.spark_partition_id()))
+    # one row for each range and key in it
+    spans = ranged.groupBy("_pid", *keys).agg(F.sum("_c").alias("_span"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                         F.sum("_span").over(whole).alias("_n"), F.coalesce(F.sum("_span").over(before), F.lit(0)).alias("_off"))
+    here = (F.col("_pid") == F.col("_p"))
+    for k in keys:
+        here = here & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    running = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (ranged.withColumn("_to", F.sum("_c").over(running)).join(spans, here)
+              .withColumn("_to", F.col("_off") + F.col("_to")).withColumn("_from", F.col("_to") - F.col("_c")))
+    wanted = F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q: F.struct(
+        q.alias("q"), (F.floor((F.col("_n") - 1) * q) + 1).alias("lo"), (F.ceil((F.col("_n") - 1) * q) + 1).alias("hi")))
+    covers = lambda at: (F.col("_from") < at) & (at <= F.col("_to"))
+    hits = (placed.select(*keys, "_v", "_n", "_from", "_to", F.explode(F.filter(wanted, lambda w: covers(w["lo"]) | covers(w["hi"]))).alias("w"))
+            .groupBy(*keys, F.col("w.q").alias("q"))
+            .agg(F.max(F.when(covers(F.col("w.lo")), F.col("_v"))).alias("_lo"),
+                 F.max(F.when(covers(F.col("w.hi")), F.col("_v"))).alias("_hi"), F.first("_n").alias("_n")))
+    part = (F.col("_n") - 1) * F.col("q") - F.floor((F.col("_n") - 1) * F.col("q"))
+    return hits.select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part).alias("quantile"))
+
+
+def scalar_quantiles(df: DataFrame, value: str, names: dict[str, float]) -> DataFrame:
+    """One row with the named exact quantiles of a column (nulls without values), see ``quantiles_by_key``."""
+    found = quantiles_by_key(df, [], value, sorted(set(names.values())))
+    return found.agg(*[F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(name) for name, q in names.items()])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from workrisk.functions import (clean_soc_code, clip, dirty_to_double, major_code, minor_code,
                                 risk_category, safe_div, sum0)
-from workrisk.operators.common import quantiles_by_key, with_scalars
+from workrisk.operators.common import quantiles_by_key, scalar_quantiles, with_scalars
 from workrisk.session import materialize
 
 AREA = "AREA_TITLE"
@@ -129,7 +129,7 @@ def tech_susceptibility(tech: DataFrame, code_col: str = "SOC_Code") -> DataFram
 
 def attach_tech(occ: DataFrame, tech_s: DataFrame) -> DataFrame:
     """J1 + P35: left join susceptibility; fill misses with the median of the tech table."""
-    med = (tech_s.agg(F.percentile("automation_susceptibility", 0.5).alias("_med_susc")))
+    med = scalar_quantiles(tech_s, "automation_susceptibility", {"_med_susc": 0.5})
     dim = tech_s.select(CODE, "tech_intensity_score", "automation_susceptibility")
     susc = F.coalesce(F.col("automation_susceptibility"), F.col("_med_susc"))
     return (with_scalars(occ.join(dim, CODE, "left"), med)
@@ -156,7 +156,7 @@ def fill_wages(occ: DataFrame, nat_wages: DataFrame, area: str = AREA,
                            .drop("_nat_wage"))
     ok = F.col("A_MEAN").isNotNull() & (F.col("A_MEAN") != 0)
     # exact median per area without buffering an area's wages in one task
-    med = (quantiles_by_key(step1.filter(ok), [area], "A_MEAN", [0.5], cut_input=False)
+    med = (quantiles_by_key(step1.filter(ok), [area], "A_MEAN", [0.5])
            .select(area, F.col("quantile").alias("_med_wage")))
     fill = F.coalesce(F.when(F.col("_med_wage") != 0, F.col("_med_wage")), F.lit(default_wage))
     return (step1.join(_per_area(med), area, "left")

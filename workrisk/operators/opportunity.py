@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from workrisk.functions import safe_div, tech_stratum
 from workrisk.functions.categories import STRATUM_LOW_MAX, STRATUM_MEDIUM_MAX
+from workrisk.operators.common import scalar_quantiles, with_scalars
 
 SIX = ["cognitive_skills", "social_skills", "operations_skills", "maintenance_skills", "technical_skills",
        "management_skills"]
@@ -104,7 +105,8 @@ def high_potential(v2: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, col: str, quantiles=(0.2, 0.8)) -> DataFrame:
     """One-row profile - percentiles, mean, median, sample std, min, max, n."""
     c = F.col(col)
-    aggs = [F.percentile(c, q).alias(f"p{int(round(q * 100))}") for q in quantiles]
-    aggs += [F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"),
-             F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n")]
-    return df.agg(*aggs)
+    names = {f"p{int(round(q * 100))}": q for q in quantiles}
+    found = scalar_quantiles(df, col, names | {"_median": 0.5})
+    rest = df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+                  F.count(c).alias("n"))
+    return with_scalars(rest, found).select(*names, "mean", F.col("_median").alias("median"), "std", "min", "max", "n")

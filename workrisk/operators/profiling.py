@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workrisk.operators.common import with_scalars
+from workrisk.operators.common import scalar_quantiles, with_scalars
 from workrisk.session import materialize
 
 HIST_BINS = 30
@@ -25,10 +25,10 @@ DENSITY_WINDOW = 20
 def profile(df: DataFrame, col: str) -> DataFrame:
     """N, mean, sample std, min, p25, median, p75, max, IQR."""
     c = F.col(col)
-    return (df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                   F.min(c).alias("min"), F.percentile(c, 0.25).alias("p25"), F.median(c).alias("median"),
-                   F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"))
-              .withColumn("iqr", F.col("p75") - F.col("p25")))
+    rest = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    found = scalar_quantiles(df, col, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return (with_scalars(rest, found).withColumn("iqr", F.col("p75") - F.col("p25"))
+            .select("n", "mean", "std", "min", "p25", "median", "p75", "max", "iqr"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
@@ -51,8 +51,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
 def box_stats(df: DataFrame, col: str) -> DataFrame:
     """T4: quartiles and 1.5 IQR whiskers (most extreme data inside the fences)."""
     c = F.col(col)
-    q = (df.agg(F.percentile(c, 0.25).alias("q1"), F.median(c).alias("median"),
-                           F.percentile(c, 0.75).alias("q3")))
+    q = scalar_quantiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return (with_scalars(df, q).groupBy("q1", "median", "q3")
@@ -63,8 +62,8 @@ def box_stats(df: DataFrame, col: str) -> DataFrame:
 def kde(df: DataFrame, col: str, points: int = KDE_POINTS) -> DataFrame:
     """T5: Gaussian KDE with Scott's bandwidth (std * n^(-1/5)) on a grid over [min, max].
 
-    Each datum is expanded to the fixed number of grid points (explode, not a
-    join) and the kernel sums are aggregated per grid point.
+    Equal values are counted first; each distinct one is expanded to the fixed number of grid
+    points (explode, not a join) and the kernel sums are aggregated per grid point.
     """
     c = F.col(col)
     s = (df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n"),
@@ -73,10 +72,11 @@ def kde(df: DataFrame, col: str, points: int = KDE_POINTS) -> DataFrame:
     h = F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))
     g = F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / (points - 1)
     k = F.exp(-0.5 * F.pow((g - c) / h, 2)) / (h * math.sqrt(2 * math.pi))
-    return (with_scalars(df.filter(c.isNotNull()), s)
+    values = df.filter(c.isNotNull()).groupBy(c.alias(col)).agg(F.count(F.lit(1)).alias("_times"))
+    return (with_scalars(values, s)
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
               .groupBy("i", "_lo", "_hi", "_n")
-              .agg(F.sum(k).alias("_k"))
+              .agg(F.sum(k * F.col("_times")).alias("_k"))
               .select(F.col("i").cast("bigint").alias("point"), g.alias("x"), (F.col("_k") / F.col("_n")).alias("density")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workrisk.functions import occ_from_onet, safe_div, sum0
-from workrisk.operators.common import top_k, with_scalars
+from workrisk.operators.common import scalar_quantiles, top_k, with_scalars
 from workrisk.operators.exposure import AREA
 
 RISK_PERCENTILE = 0.8
@@ -29,7 +29,7 @@ def first_per_occ(df: DataFrame, code: str = "onet_code") -> DataFrame:
 def percentile_flag(risk: DataFrame, q: float = RISK_PERCENTILE) -> DataFrame:
     """automation_risk_score >= its q-quantile over the deduplicated codes."""
     r = first_per_occ(risk)
-    thr = (r.agg(F.percentile("automation_risk_score", q).alias("risk_threshold")))
+    thr = scalar_quantiles(r, "automation_risk_score", {"risk_threshold": q})
     return (with_scalars(r, thr)
              .withColumn("perc_ile_thresholded_risk", F.col("automation_risk_score") >= F.col("risk_threshold")))
 
@@ -43,7 +43,7 @@ def displacement(occupations: DataFrame, sector: DataFrame, job_risk: DataFrame)
     """J4 + J5 + P26: occupations with sector, risk score (median filled) and displacement."""
     jr = job_risk.select("OCC_CODE", "automation_risk_score", "perc_ile_thresholded_risk", "adoption_rate")
     j = occupations.join(sector_dim(sector), "OCC_CODE", "left").join(jr, "OCC_CODE", "left")
-    med = (j.agg(F.percentile("automation_risk_score", 0.5).alias("_med")))
+    med = scalar_quantiles(j, "automation_risk_score", {"_med": 0.5})
     rate = F.col("adoption_rate") * (F.col("automation_risk_score") / 100.0)
     return (with_scalars(j, med)
              .withColumn("automation_risk_score", F.coalesce("automation_risk_score", "_med"))

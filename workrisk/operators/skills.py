@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workrisk.functions import null_max, safe_div
-from workrisk.operators.common import with_scalars
+from workrisk.operators.common import scalar_quantiles, with_scalars
 
 # ---------------------------------------------------------------- fixed values
 # Category of each O*NET skill element, as used by the reference model.
@@ -117,7 +117,7 @@ def top_decile_blend(risk: DataFrame, area_occupations: DataFrame, code: str = "
     ``area_occupations``: (OCC_CODE, automation_susceptibility) of the
     reference area; the first row per OCC_CODE (by code order) is used.
     """
-    p90 = (risk.agg(F.percentile("technical_skills", TOP_TECH_QUANTILE).alias("_p90")))
+    p90 = scalar_quantiles(risk, "technical_skills", {"_p90": TOP_TECH_QUANTILE})
     area = (area_occupations.groupBy("OCC_CODE")
                             .agg(F.min_by("automation_susceptibility", "SOC_Code_Cleaned").alias("_susc")))
     j = with_scalars(risk.withColumn("OCC_CODE", F.substring_index(F.col(code), ".", 1))
@@ -204,7 +204,7 @@ def adoption_fill(risk: DataFrame, tech: DataFrame, code: str = "onet_code") ->
     """adoption_rate = hot-tech ratio by code; misses get the median of the merged column."""
     t = tech.select(F.col("onet_code").alias(code), F.col("hot_tech_ratio").alias("adoption_rate"))
     j = risk.join(t, code, "left")
-    med = (j.agg(F.percentile("adoption_rate", 0.5).alias("_m")))
+    med = scalar_quantiles(j, "adoption_rate", {"_m": 0.5})
     return (with_scalars(j, med).withColumn("adoption_rate", F.coalesce("adoption_rate", "_m")).drop("_m"))
 
 

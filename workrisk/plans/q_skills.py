@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from workrisk.operators import exposure as X
 from workrisk.operators import skills as K
-from workrisk.operators.common import with_scalars
+from workrisk.operators.common import scalar_quantiles, with_scalars
 from workrisk.plans import oracle_skills as O
 from workrisk.plans.q_exposure import _result
 from workrisk.plans.registry import query
@@ -126,7 +126,7 @@ def distinct_counts(spark, d):
 def risk_lookup(spark, d):
     """Long-term risk per occupation code; codes without skill data get the median (flagged)."""
     risk = K.long_term_risk(_cats(spark, d))
-    med = (risk.agg(F.percentile("automation_risk_score", 0.5).alias("_m")))
+    med = scalar_quantiles(risk, "automation_risk_score", {"_m": 0.5})
     codes = _result(spark, d).occupations.select("OCC_CODE").distinct()
     r = risk.select(F.col("onet_code"), "automation_risk_score")
     j = with_scalars(codes.join(r, F.concat(codes.OCC_CODE, F.lit(".00")) == r.onet_code, "left"), med)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that every job in this package relies on:
 #  * ANSI mode stays on (Spark 4 default) - operators use try_cast/try_divide.
@@ -71,3 +72,13 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Cuts the lineage like ``materialize``; the columns stay prunable."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"stage-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
