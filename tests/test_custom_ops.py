@@ -135,6 +135,27 @@ def test_transition_types(spark):  # F8 / G7 labels
         G.type_filter("sideways")
 
 
+def test_tiles_with_ties_lose_no_pair(spark):  # G2: risk-ordered blocks
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    rows = [(f"j{i:02d}", [rnd.random(), rnd.random()], float(rnd.choice([0, 1, 1, 1, 1, 2, 3])), 0.5) for i in range(40)]
+    jobs = spark.createDataFrame(rows, "code string, v array<double>, risk double, hot double")
+    table = G.pair_table(jobs, tile_size=4).collect()
+    assert sorted((r.src, r.dst) for r in table if r.dst) == sorted(
+        (a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and b[2] <= a[2])
+    by_src = {}
+    for r in table:
+        part = by_src.setdefault(r.src, [0.0, 0.0])
+        part[r.dst is None] += r.w
+    assert all(abs(a - b) < 1e-9 for a, b in by_src.values())
+    formed = {(r.bi, r.bj) for r in G.tiles(jobs.withColumn("risk", F.expr("cast(substr(code, 2) as double)")), 4).collect()}
+    assert formed == {(i, j) for i in range(10) for j in range(i + 1)}  # distinct risks: half of the grid
+    written = spark.createDataFrame(table, G.PAIR_SCHEMA)
+    exact = {(r.src, r.dst): r.p for r in G.transition_matrix(written.filter("dst is not null")).collect()}
+    found = {(r.src, r.dst): r.p for r in G.table_matrix(written).collect()}
+    assert found.keys() == exact.keys() and all(abs(found[k] - exact[k]) < 1e-9 for k in exact)
+
+
 def test_transition_edge_cases(spark):  # G3-G6 fixtures
     # a: risk 0 -> risk factor 0; b is riskier than a -> no a->b pair; c has a vector that makes a
     # negative weight (kept in the row sum, dropped from the graph); d is isolated (only riskier targets).

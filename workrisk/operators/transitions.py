@@ -2,17 +2,17 @@
 
 Pair weights need every ordered pair of occupations (the row normalisation
 sums over all targets), so they are evaluated on a tile grid: vectors are
-hashed into ``B`` blocks, each vector is replicated to the ``B`` tiles of its
-row and column of the grid (an equi-join on the tile key, no cross join), and
-every tile (block_i x block_j) is evaluated with one vectorised numpy step in
-``applyInPandas``. A tile holds at most ``2 * tile_size`` vectors, whatever
-the input size. The pair table is materialised once and reused by the row
+cut into blocks of the risk order, each vector is replicated to the tiles of
+its row and column that can hold a pair (an equi-join on the tile key, no
+cross join), and every tile (block_i x block_j) is evaluated with one
+vectorised numpy step in ``applyInPandas``. A tile holds at most
+``2 * tile_size`` vectors, whatever the input size. The pair table, with the
+tiles' partial row sums, is written once and reused by the row
 normalisation, the rank iterations and the recommendations.
 """
 
 from __future__ import annotations
 
-import math
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,7 @@ from workrisk.functions import clean_onet_code
 from workrisk.functions import major_code as _major
 from workrisk.functions import minor_code as _minor
 from workrisk.operators import _kernels
-from workrisk.operators.common import top_k, with_scalars
+from workrisk.operators.common import keyed_positions, top_k, with_scalars
 from workrisk.operators._kernels import WEIGHTS  # noqa: F401
 from workrisk.session import materialize
 from workrisk.sources.model import bucket_count, fresh_folder, numbered_nodes, read_edges, write_edges
@@ -67,28 +67,60 @@ def skill_vectors(skills: DataFrame, elements: list[str], code: str = "onet_code
 PAIR_SCHEMA = _kernels.PAIR_SCHEMA
 
 
-def pair_weights(jobs: DataFrame, tile_size: int = 256) -> DataFrame:
-    """Raw weights of every ordered pair (src, dst) with risk(dst) <= risk(src).
+def tiles(jobs: DataFrame, tile_size: int = 256) -> DataFrame:
+    """``jobs`` replicated to the tiles that need them: bi (block of the source), bj (of the target), role.
+
+    Blocks are ranges of the risk order, so a block only meets blocks of no higher risk: tiles whose
+    targets are all riskier than their sources are never formed, which is half of the grid. Blocks
+    after a source block take part only while they start with that block's highest risk (ties)."""
+    j = jobs.select("code", "v", "risk", "hot")
+    ranked = materialize(keyed_positions(j, [], [F.col("risk").asc_nulls_first(), F.col("code").asc()], "_pos")
+                         .withColumn("_b", F.expr(f"int((_pos - 1) div {tile_size})")))
+    edges = ranked.groupBy("_b").agg(F.min("risk").alias("_low"), F.max("risk").alias("_high"))  # a row for each block
+    ties = (edges.select(F.col("_b").alias("_i"), F.col("_high").alias("_tie"))
+            .join(edges.select(F.col("_b").alias("_j"), F.col("_low").alias("_tie")), "_tie").filter("_j > _i"))
+    last = ties.groupBy(F.col("_i").alias("_b")).agg(F.max("_j").alias("_last"))
+    first = ties.groupBy(F.col("_j").alias("_b")).agg(F.min("_i").alias("_first"))
+    count = edges.agg((F.max("_b")).alias("_top"))
+    reach = (with_scalars(edges, count).join(last, "_b", "left").join(first, "_b", "left")
+             .select("_b", "_top", F.coalesce("_last", "_b").alias("_last"), F.coalesce("_first", "_b").alias("_first")))
+    r = ranked.drop("_pos").join(F.broadcast(reach), "_b")  # one row for each block of ``tile_size`` jobs
+    columns = ["code", "v", "risk", "hot"]
+    as_src = r.select(F.col("_b").alias("bi"), F.explode(F.sequence(F.lit(0), "_last")).alias("bj"), F.lit("s").alias("role"), *columns)
+    as_dst = r.select(F.explode(F.sequence("_first", "_top")).alias("bi"), F.col("_b").alias("bj"), F.lit("t").alias("role"), *columns)
+    return as_src.unionByName(as_dst)
+
+
+def pair_table(jobs: DataFrame, tile_size: int = 256) -> DataFrame:
+    """Raw weights of every ordered pair (src, dst) with risk(dst) <= risk(src), and their row sums.
+
+    ``jobs``: (code, v array<double>, risk double, hot double). Pairs whose target is riskier have
+    weight 0 and are not emitted (they add nothing to a row sum). Returns (src, dst, w, sim, cost);
+    a row without dst holds the sum of a source's weights in one tile, so that no pair has to be
+    shuffled for the normalisation."""
+    return tiles(jobs, tile_size).groupBy("bi", "bj").applyInPandas(_kernels.pair_tile, PAIR_SCHEMA)
 
-    ``jobs``: (code, v array<double>, risk double, hot double). Pairs whose
-    target is riskier have weight 0 and are not emitted (they add nothing to
-    a row sum). Returns (src, dst, w, sim, cost).
-    """
-    n = jobs.count()
-    blocks = max(1, math.ceil(n / tile_size))
-    j = jobs.select("code", "v", "risk", "hot").withColumn(
-        "_b", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-    grid = F.sequence(F.lit(0), F.lit(blocks - 1))
-    as_src = j.select(F.col("_b").alias("bi"), F.explode(grid).alias("bj"), F.lit("s").alias("role"),
-                      "code", "v", "risk", "hot")
-    as_dst = j.select(F.explode(grid).alias("bi"), F.col("_b").alias("bj"), F.lit("t").alias("role"),
-                      "code", "v", "risk", "hot")
-    return as_src.unionByName(as_dst).groupBy("bi", "bj").applyInPandas(_kernels.pair_tile, PAIR_SCHEMA)
+
+def pair_weights(jobs: DataFrame, tile_size: int = 256) -> DataFrame:
+    """The pairs of ``pair_table`` alone."""
+    return pair_table(jobs, tile_size).filter(F.col("dst").isNotNull())
 
 
 def transition_matrix(pairs: DataFrame) -> DataFrame:
-    """G4 normalisation: p = w / row sum (a zero row sum becomes 1e-10)."""
-    sums = pairs.groupBy("src").agg(F.sum("w").alias("_rs"))
+    """G4 normalisation of pairs: p = w / row sum (a zero row sum becomes 1e-10)."""
+    return _normalised(pairs, pairs.groupBy("src").agg(F.sum("w").alias("_rs")))
+
+
+def table_matrix(table: DataFrame) -> DataFrame:
+    """``transition_matrix`` of a written ``pair_table``: the tiles' partial sums are added up by source.
+
+    The pairs are read once and joined in place as long as the sums (one row for each source) can be
+    broadcast, by the runtime's size check."""
+    sums = table.filter(F.col("dst").isNull()).groupBy("src").agg(F.sum("w").alias("_rs"))
+    return _normalised(table.filter(F.col("dst").isNotNull()), sums)
+
+
+def _normalised(pairs: DataFrame, sums: DataFrame) -> DataFrame:
     rs = F.when(F.col("_rs") == 0, F.lit(ZERO_ROW_SUM)).otherwise(F.col("_rs"))
     return pairs.join(sums, "src").withColumn("p", F.col("w") / rs).drop("_rs")
 
