@@ -34,9 +34,10 @@ from pyspark.sql import types as T
 
 from .bpe import ByteBPE
 from .common import pieces, text_bytes, written
-from .piecebpe import PieceBPE
+from .piecebpe import SPACE, PieceBPE
 
-UNIT_BYTES = 4 << 20  # of texts in a unit, about
+UNIT_BYTES = 2 << 20  # of texts in a unit, about
+CACHE_BYTES, CACHE_WORDS = 64 << 20, 200_000  # of the encoders of B and A
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
 
 
@@ -44,10 +45,11 @@ class Pair:
     """The two encoders of a process, with the bytes of their tokens."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = ByteBPE(byte_path), PieceBPE(piece_path)
+        self.a, self.b = ByteBPE(byte_path, CACHE_WORDS), PieceBPE(piece_path, CACHE_BYTES)
         self.a.special, self.a.special_split = {}, None  # their strings are plain text here
         self.sizes = [np.array([len(x) for x in side.token_bytes], np.int64) for side in (self.a, self.b)]
         self.names = [names(len(self.a.token_bytes), b",|"), names(len(self.b.token_bytes), b",;")]
+        self.widths = [np.char.str_len(x[:, 0]).astype(np.int32) for x in self.names]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides for each text; none where a side's bytes are not those of the space and the text."""
@@ -56,14 +58,24 @@ class Pair:
         coded = zip(texts, spaced, self.a.encode_batch(spaced), self.b.encode_batch(texts, ends=False), strict=True)
         for text, whole, *sides in coded:
             ids = [np.frombuffer(x, "<u4") for x in sides]
-            raw = whole.encode()
-            if not text or any(b"".join(map(s.token_bytes.__getitem__, x.tolist())) != raw
-                               for s, x in zip((self.a, self.b), ids, strict=True)):
+            if not text or not self.same_bytes(whole, ids):
                 ids = [x[:0] for x in ids]
             for out, x in zip(both, ids, strict=True):
-                out.append(x.astype(np.int64))
+                out.append(x)
         return both
 
+    def same_bytes(self, whole: str, ids: list[np.ndarray]) -> bool:
+        """Whether the tokens' bytes of both sides join to those of the text.
+
+        Both encoders only cut a text, but for characters that stand for others (U+2581 for a space)
+        and unknown ids, so elsewhere the number of bytes tells; there the bytes are compared."""
+        raw = whole.encode()
+        if any(s[x].sum() != len(raw) for s, x in zip(self.sizes, ids, strict=True)):
+            return False
+        if SPACE not in whole and (ids[1] != self.b.unknown).all():
+            return True
+        return all(b"".join(map(s.token_bytes.__getitem__, x.tolist())) == raw for s, x in zip((self.a, self.b), ids, strict=True))
+
     def forget(self) -> None:
         self.a.cache.clear()
         self.b.forget()
@@ -79,60 +91,63 @@ def encoders(byte_path: str, piece_path: str) -> Pair:
     return Pair(byte_path, piece_path)
 
 
-def tokens(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
-    """A row for each token of the documents: doc, id, start and end, in bytes from the unit's start."""
-    flat = np.concatenate([*ids, np.zeros(0, np.int64)])
-    end = np.cumsum(sizes[flat])
-    return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(x) for x in ids]), "id": flat,
-                         "start": end - sizes[flat], "end": end, "row": np.arange(len(flat))})
+class Tokens:
+    """The tokens of a unit's documents in turn: doc, id, start and end, in bytes from the unit's start."""
+
+    def __init__(self, ids: list[np.ndarray], sizes: np.ndarray):
+        self.doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        self.id = np.concatenate([*ids, np.zeros(0, "<u4")])
+        self.end = np.cumsum(sizes[self.id])
+        self.start = self.end - sizes[self.id]
+
+    def __len__(self) -> int:
+        return len(self.id)
+
+    def frame(self, row: str) -> pd.DataFrame:
+        return pd.DataFrame({"doc": self.doc, "start": self.start, row: np.arange(len(self), dtype=np.int32)}, copy=False)
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def overlaps(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all pairs of tokens that overlap: each start's covering token of the other side, in both directions."""
-    columns = ["doc", "start", "row"]
-    forth = pd.merge_asof(a[columns], b[columns], on="start", by="doc", suffixes=("_a", "_b"))
-    back = pd.merge_asof(b[columns], a[columns], on="start", by="doc", suffixes=("_b", "_a"))
-    # a pair that starts together is found both ways
-    back = back[a["start"].to_numpy()[back["row_a"].to_numpy()] != back["start"].to_numpy()]
-    return tuple(np.concatenate([forth[c].to_numpy(), back[c].to_numpy()]) for c in ("row_a", "row_b"))
+    left, right = a.frame("a"), b.frame("b")
+    forth = pd.merge_asof(left, right, on="start", by="doc")["b"].to_numpy()
+    back = pd.merge_asof(right, left, on="start", by="doc")["a"].to_numpy()
+    new = a.start[back] != b.start  # a pair that starts together is found both ways
+    return np.append(left["a"].to_numpy(), back[new]), np.append(forth, right["b"].to_numpy()[new])
 
 
-def groups_text(a: pd.DataFrame, b: pd.DataFrame, link_a: np.ndarray, link_b: np.ndarray, pair_names: list) -> tuple[bytes, np.ndarray]:
-    """``a1,a2|b1;...`` of all documents in turn, and its length for each token (those of A, then those of B)."""
-    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+def groups_text(a: Tokens, b: Tokens, link_a: np.ndarray, link_b: np.ndarray, pair: Pair) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """``a1,a2|b1;...`` of all documents in turn, and the length of each token's part, for A and for B."""
+    last_a, last_b = np.zeros(len(a), np.int8), np.zeros(len(b), np.int8)
     last_a[link_a], last_b[link_b] = 1, 1
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     place_a = np.arange(len(a)) + np.append(0, link_b + 1)[group_a]  # behind the B tokens of earlier groups
     place_b = np.arange(len(b)) + (link_a + 1)[group_b]
-    parts = [pair_names[0][a["id"].to_numpy(), last_a], pair_names[1][b["id"].to_numpy(), last_b]]
-    text = np.zeros(len(a) + len(b), dtype=max(x.dtype for x in parts))
-    text[place_a], text[place_b] = parts
-    return text.tobytes().translate(None, b"\0"), np.concatenate([np.char.str_len(x) for x in parts])
+    text = np.zeros(len(a) + len(b), dtype=max(x.dtype for x in pair.names))
+    text[place_a], text[place_b] = pair.names[0][a.id, last_a], pair.names[1][b.id, last_b]
+    return text.tobytes().translate(None, b"\0"), pair.widths[0][a.id], pair.widths[1][b.id]
 
 
 def align_unit(pair: Pair, texts: list[str]) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, list[bytes], np.ndarray]:
     """Numbers and digest of each document, distinct linked id pairs (sorted), the documents' links as places among
     these, and how many links each pair has."""
     n, (ids_a, ids_b) = len(texts), pair.encode(texts)
-    a, b = tokens(ids_a, pair.sizes[0]), tokens(ids_b, pair.sizes[1])
+    a, b = Tokens(ids_a, pair.sizes[0]), Tokens(ids_b, pair.sizes[1])
     row_a, row_b = overlaps(a, b)
-    together = a["end"].to_numpy()[row_a] == b["end"].to_numpy()[row_b]
+    together = a.end[row_a] == b.end[row_b]
     link_a, link_b = np.sort(row_a[together]), np.sort(row_b[together])  # in both sides' order
-    doc_a, link_doc = a["doc"].to_numpy(), a["doc"].to_numpy()[link_a]
-    count = lambda rows: np.bincount(rows, minlength=n)
-    per_link = count(link_doc)
-    numbers = {"n_a": count(doc_a), "n_b": count(b["doc"].to_numpy()), "n_groups": per_link, "n_links": per_link,
-               "n_overlaps": count(doc_a[row_a])}
-    text, lengths = groups_text(a, b, link_a, link_b, pair.names)
-    ends = np.cumsum(np.bincount(np.concatenate([doc_a, b["doc"].to_numpy()]), lengths, n).astype(np.int64))
-    digests = [hashlib.sha256(text[s:e - 1]).hexdigest() if e > s else ""
-               for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    place, keys = pd.factorize(a["id"].to_numpy()[link_a] << 32 | b["id"].to_numpy()[link_b])
+    count = lambda docs, weights=None: np.bincount(docs, weights, n).astype(np.int64)
+    per_link = count(a.doc[link_a])
+    numbers = {"n_a": count(a.doc), "n_b": count(b.doc), "n_groups": per_link, "n_links": per_link,
+               "n_overlaps": count(a.doc[row_a])}
+    text, width_a, width_b = groups_text(a, b, link_a, link_b, pair)
+    ends = np.cumsum(count(a.doc, width_a) + count(b.doc, width_b)).tolist()
+    digests = [hashlib.sha256(text[s:e - 1]).hexdigest() if e > s else "" for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    place, keys = pd.factorize(a.id[link_a].astype(np.int64) << 32 | b.id[link_b])
     order = np.argsort(keys)
     keys, times = keys[order], np.bincount(place, minlength=len(keys))[order]
-    place = np.argsort(order)[place]
-    cuts = np.cumsum(per_link)[:-1]
-    return numbers, digests, keys, [x.tobytes() for x in np.split(place.astype("<u4"), cuts)], times
+    place = np.argsort(order).astype("<u4")[place]
+    return numbers, digests, keys, [x.tobytes() for x in np.split(place, np.cumsum(per_link)[:-1])], times
 
 
 UNITS = T.StructType([
