@@ -245,6 +245,39 @@ def test_top_k_equals_brute_force(spark):
     assert covertree.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_ties(spark):
+    r = np.random.default_rng(8)
+    for seed, (n, ids, spread) in enumerate([(24, 13, 3), (600, 90, 2), (700, 700, 1), (300, 4, 5)]):
+        x = r.integers(-spread, spread + 1, (n, 6)).astype(np.float32) / 8
+        vec_id = r.integers(0, ids, n) * 5
+        df = spark.createDataFrame([(int(i), v) for i, v in zip(vec_id, x.tolist())], "vec_id long, embedding array<float>")
+        got = sorted(map(tuple, covertree.top_k(df, df.where("vec_id % 20 = 0"), k=10).collect()))
+        whole = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+        best = {}
+        for q in np.flatnonzero(vec_id % 20 == 0):
+            for i, s in zip(vec_id.tolist(), (whole @ whole[q]).tolist()):
+                if i != vec_id[q]:
+                    key = (int(vec_id[q]), i)
+                    best[key] = max(best.get(key, s), s)
+        want = []
+        for q in sorted({q for q, _ in best}):
+            order = sorted((-s, i) for (a, i), s in best.items() if a == q)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(order)]
+        assert got == want, seed
+
+
+def test_cover_trees_prune_compact_data_and_stay_exact():
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 8)) * 4000
+    data = np.floor(centres[r.integers(0, 40, 6000)] + r.normal(size=(6000, 8)) * 30)
+    queries = data[:200]
+    found = covertree.dual_search(queries, np.arange(200), data, [np.array([i]) for i in range(6000)], 10)
+    scores = queries @ data.T
+    scores[np.arange(200), np.arange(200)] = -np.inf
+    for i in range(200):
+        assert found.id[i].tolist() == np.lexsort((np.arange(6000), -scores[i]))[:10].tolist()
+
+
 def test_html_blocks_and_extraction():
     page = ("<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><ul><li>"
             "<a href=/x>Home</a></li></ul></nav><!-- c --><article><h1>Big &amp; title</h1><p><b>First   one.<br><p>Second"

@@ -9,7 +9,7 @@ data in a cover tree each and walks both trees at once. A pair of nodes is prune
     centre . centre + |q centre| * r + |r centre| * q + q * r
 
 (q, r the covering radii) is below the worst kth score among the node's queries. What is
-left is compared leaf by leaf. Each unit returns the best k of every query; a window merges
+left is compared leaf by leaf, one matrix product for a pair of leaves. Each unit returns the best k of every query; a window merges
 them. The pivots only shape the blocks: every row is searched, results are exact.
 
 A block's equal vectors are one point of its tree with their k + 1 smallest ids, which is all
@@ -23,7 +23,6 @@ different vector and never a match of their own id; fewer candidates than k give
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -38,7 +37,7 @@ SCALE = 1024
 PIVOTS = 64           # vectors that shape the blocks, chosen by a hash of the id
 BLOCK = 4096          # candidates in a block, about
 GROUP = 512           # queries in a group, about
-LEAF = 24             # points below which a node is not split further
+LEAF = 256            # points below which a node is not split further: one product for each pair of leaves
 CHILDREN = 32         # children of a node at most
 
 
@@ -98,13 +97,45 @@ class CoverTree:
         return first
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int):
+class Best:
+    """The best k (score, id) of every query so far, distinct ids, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), -np.inf)
+        self.id = np.zeros((queries, k), dtype=np.int64)
+        self.worst = np.full(queries, -np.inf)  # the kth score
+
+    def merge(self, rows: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Take in candidates of the queries ``rows``; ``row`` is the place in ``rows`` of each."""
+        held, place = np.nonzero(self.score[rows] > -np.inf)
+        row = np.append(row, held)
+        score = np.append(score, self.score[rows[held], place])
+        ids = np.append(ids, self.id[rows[held], place])
+        order = np.lexsort((-score, ids, row))  # of an id's several vectors the best one stays
+        row, score, ids = row[order], score[order], ids[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+        row, score, ids = row[new], score[new], ids[new]
+        order = np.lexsort((ids, -score, row))
+        row, score, ids = row[order], score[order], ids[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = nth < self.k
+        row, score, ids, nth = row[kept], score[kept], ids[kept], nth[kept]
+        self.score[rows] = -np.inf
+        self.score[rows[row], nth], self.id[rows[row], nth] = score, ids
+        self.worst[rows] = self.score[rows, self.k - 1]
+
+
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: list[np.ndarray], k: int) -> Best:
     """Best k (score, id) of every query; ``ids``: ascending ids of each data point."""
-    best: list[list[tuple[int, int]]] = [[] for _ in range(len(queries))]  # heaps of (score, -id)
+    best = Best(len(queries), k)
     if not len(queries) or not len(data):
         return best
     qt, rt = CoverTree(queries), CoverTree(data)
-    worst = np.full(len(queries), -np.inf)  # kth score of each query so far
+    flat, counts = np.concatenate(ids), np.array([len(x) for x in ids])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    repeats = int(np.unique(flat, return_counts=True)[1].max())  # vectors that share an id
     bound_cache: dict[int, float] = {}
 
     def bounds(q: int, nodes: list[int]) -> np.ndarray:
@@ -115,32 +146,27 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
         return dots + qt.norms[qc] * r + rt.norms[c] * qr + qr * r + 1e-6 * (1 + np.abs(dots))
 
     def leaves(q: int, r: int) -> None:
+        """One product of two leaves; only scores that can be among the best of a query are merged."""
         qs, rs = qt.members[q], rt.members[r]
-        scores = queries[qs] @ data[rs].T
-        for row, i in enumerate(qs.tolist()):
-            heap, own = best[i], int(query_ids[i])
-            for j in np.flatnonzero(scores[row] >= worst[i]).tolist():
-                score = int(scores[row, j])
-                for found in ids[rs[j]].tolist():
-                    if found == own:
-                        continue
-                    item = (score, -found)
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-                    else:
-                        break
-            if len(heap) == k:
-                worst[i] = heap[0][0]
-        bound_cache.clear()
+        size = counts[rs]
+        where = np.repeat(first[rs] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = flat[where]
+        scores = np.repeat(queries[qs] @ data[rs].T, size, axis=1)
+        scores[own == query_ids[qs, None]] = -np.inf
+        least, enough = best.worst[qs], k * repeats  # so many columns hold k ids at least
+        if len(own) > enough:
+            least = np.maximum(least, np.partition(scores, len(own) - enough, axis=1)[:, len(own) - enough])
+        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        if len(row):
+            best.merge(qs, row, scores[row, column], own[column])
+            bound_cache.clear()
 
     stack = [(math.inf, 0, 0)]
     while stack:
         bound, q, r = stack.pop()
         low = bound_cache.get(q)
         if low is None:
-            low = bound_cache[q] = float(worst[qt.members[q]].min())
+            low = bound_cache[q] = float(best.worst[qt.members[q]].min())
         if bound < low:
             continue
         q_kids, r_kids = qt.children[q], rt.children[r]
@@ -223,7 +249,7 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
 
     def search(q: pa.Table, r: pa.Table) -> pa.Table:
         q_ids, r_ids = (t.column("id").to_numpy() for t in (q, r))
-        out: list[tuple] = []
+        out: list = [[], [], []]
         if len(q_ids) and len(r_ids):
             vectors = as_matrix(r.column("v"))
             order = np.lexsort((r_ids, *vectors.T))
@@ -233,9 +259,9 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
             start = np.flatnonzero(new)
             ids = [np.unique(x)[:k + 1] for x in np.split(r_ids, start[1:])]
             found = dual_search(as_matrix(q.column("v")), q_ids, vectors[start], ids, k)
-            out = [(int(i), -m, s) for i, heap in zip(q_ids, found, strict=True) for s, m in heap]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            row, place = np.nonzero(found.score > -np.inf)
+            out = [q_ids[row], found.id[row, place], found.score[row, place].astype(np.int64)]
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
     best = (left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
             .applyInArrow(search, "query_id long, vec_id long, score long"))
