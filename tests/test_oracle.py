@@ -10,7 +10,10 @@ SAMPLE = ["exposure_index_by_group", "area_summary", "occupation_details", "leve
           "quality_report", "box_stats", "synthetic_distribution",
           "skill_categories", "risk_long_term", "nearest_code", "adoption_fill", "opportunity_v2",
           "sector_rollup", "sector_top5", "transition_matrix", "recommendations", "skill_gaps",
-          "wage_quartiles", "similar_areas", "projection", "histogram", "ecdf", "label_density"]
+          "wage_quartiles", "similar_areas", "projection", "histogram", "ecdf", "label_density",
+          "employment_from_csv", "app_entries", "apps_by_major", "soc_titles_from_json", "title_lookup", "merge_check",
+          "groups_csv_roundtrip", "requested_recommendations", "document_roundtrip", "sector_documents", "profile",
+          "percentile_flag", "top_decile_blend", "kde", "top_occupations", "area_group_chart", "area_occupation_gaps"]
 
 
 @pytest.fixture(scope="module")

@@ -97,3 +97,76 @@ def test_recommendations_for_requested_codes(spark):  # S4 + G7
     assert by_dst["11-2011.00"].transition_type == "different_minor"
     with pytest.raises(ValueError):
         G.recommendations(edges, vec, titles, tech, ["a", "b"], transition_type="lateral")
+
+
+def test_broken_csv_lines_are_kept_apart(spark):
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("AREA_TITLE,OCC_CODE,OCC_TITLE,O_GROUP,TOT_EMP,A_MEAN,A_MEDIAN\n"
+                'Alabama,11-1011,"Chief, ""head""",detailed,"1,234",*,#\nAlabama,11-1012\n'
+                "Alabama,11-1013,x,detailed,1,2,3,4\nGuam,11-1014,,broad,,,\n")
+    rows = readers.read_employment(spark, d, corrupt=readers.CORRUPT).collect()
+    good = [r for r in rows if r[readers.CORRUPT] is None]
+    assert [(r.OCC_CODE, r.OCC_TITLE, r.TOT_EMP) for r in good] == [("11-1011", 'Chief, "head"', "1,234"), ("11-1014", None, None)]
+    assert sorted(r[readers.CORRUPT] for r in rows if r not in good) == ["Alabama,11-1012", "Alabama,11-1013,x,detailed,1,2,3,4"]
+    assert readers.read_employment(spark, d).count() == 4  # without the column all lines are rows
+
+
+def test_last_app_entry_of_a_major_group_counts(spark):
+    from workrisk.operators import exposure as X
+    d = tempfile.mkdtemp()
+    entry = lambda code, n: {"soc_code": code, "major_group": code[:2], "estimated_apps": n}
+    for name, doc in (("a", {"zapier_apps_by_soc": [entry("11-0000", 9), entry("11-0000", 2), entry("13-0000", 4)]}),
+                      ("b", {"zapier_apps_by_detailed_soc": [entry("15-1111", 7), entry("15-2222", 1)], "zapier_apps_by_soc": [entry("15-0000", 99)]}),
+                      ("c", {"metadata": {"total_zapier_apps": 1}})):
+        with open(os.path.join(d, name + ".json"), "w") as f:
+            json.dump(doc, f, indent=1)
+    apps = readers.read_app_coverage(spark, d)
+    assert [r.soc_code for r in apps.orderBy("position").collect()] == ["11-0000", "11-0000", "13-0000", "15-1111", "15-2222"]
+    assert dict(X.app_counts_by_major(apps).collect()) == {"11": 2.0, "13": 4.0, "15": 1.0}
+    assert dict(X.app_counts_by_major(apps.drop("position")).collect()) == {"11": 9.0, "13": 4.0, "15": 7.0}
+
+
+def test_title_objects_of_many_files_and_lines(spark):
+    d = tempfile.mkdtemp()
+    for i in range(8):
+        with open(os.path.join(d, f"{i}.json"), "w") as f:
+            json.dump({f"11-{i:04d}": {"minor_code": "11-1000", "minor_title": f"t{i}", "other": [1]}}, f, indent=2)
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write('{"11-9999": {')
+    m = readers.read_soc_mapping(spark, d)
+    assert m.rdd.getNumPartitions() > 1  # small files are packed, but spread over the cores
+    assert sorted((r.detailed_code, r.minor_title, r.major_title) for r in m.collect()) == [(f"11-{i:04d}", f"t{i}", None) for i in range(8)]
+    p = os.path.join(tempfile.mkdtemp(), "lines.json")
+    with open(p, "w") as f:
+        f.write('{"11-0001": {"minor_title": "a"}, "11-0002": null}\nnot json\n{"11-0003": {"minor_title": "c"}}\n')
+    assert sorted((r.detailed_code, r.minor_title) for r in readers.read_soc_mapping(spark, p, lines=True).collect()) == [
+        ("11-0001", "a"), ("11-0002", None), ("11-0003", "c")]
+
+
+def test_document_sinks_round_trip(spark):
+    schema = "state string, total double, maps map<string,double>, list array<struct<n:bigint,t:string>>"
+    rows = [("New York", 1.5, {"a b": 2.0, "c": 0.1}, [(1, "x"), (2, None)]), ("Guam", None, {}, [])]
+    df = spark.createDataFrame(rows, schema)
+    d = tempfile.mkdtemp()
+    sinks.write_documents(df, os.path.join(d, "by"))
+    sinks.write_map_document(df, os.path.join(d, "map"))
+    key = lambda r: r.state
+    want = sorted(df.collect(), key=key)
+    assert sorted(sinks.read_documents(spark, os.path.join(d, "by"), schema).collect(), key=key) == want
+    assert sorted(sinks.read_map_document(spark, os.path.join(d, "map"), schema).collect(), key=key) == want
+
+
+def test_merge_check_mends_multiplied_rows(spark):
+    from workrisk.operators import exposure as X
+    from workrisk.operators.quality import checked_merge
+    emp = spark.createDataFrame([("A", "111011", "t", 100.0, 1.0), ("A", "111012", "u", 50.0, 1.0), ("B", "111011", "t", None, 1.0)],
+                                f"{X.AREA} string, {X.CODE} string, OCC_TITLE string, TOT_EMP double, A_MEAN double")
+    tech = spark.createDataFrame([("111011", 2.0, 9.0), ("111011", 1.0, 8.0)],
+                                 f"{X.CODE} string, tech_intensity_score double, automation_susceptibility double")
+    merged, found = checked_merge(emp, tech)
+    assert found == {"original_total": 150.0, "merged_total": 250.0, "original_rows": 3, "merged_rows": 5, "multiplied": True}
+    assert sorted((r[X.AREA], r[X.CODE], r.tech_intensity_score) for r in merged.collect()) == [
+        ("A", "111011", 1.0), ("A", "111012", None), ("B", "111011", 1.0)]
+    merged, found = checked_merge(emp, tech.limit(1))
+    assert not found["multiplied"] and merged.count() == 3

@@ -20,6 +20,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, tiebreak:
               .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
+def multi_top_k(df: DataFrame, keys: list[str], rankings: Column, k: int, order: list[Column], tiebreak: list[str]) -> DataFrame:
+    """Several top-k rankings of the same rows in one pass.
+
+    ``rankings`` is an array of structs, one for each ranking that a row takes part in; their fields
+    become columns, and those of ``keys`` and ``order`` may be among them. The array is exploded and
+    ranked once, so the partial group limit and the one exchange serve all rankings."""
+    entries = df.select("*", F.inline(rankings))
+    return top_k(entries, keys, order, k, tiebreak)
+
+
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a one-row global aggregate to every row.
 

@@ -7,11 +7,11 @@ area - marks the national level, because a sector can itself be NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workrisk.functions import occ_from_onet, safe_div, sum0
-from workrisk.operators.common import scalar_quantiles, top_k, with_scalars
+from workrisk.operators.common import multi_top_k, scalar_quantiles, with_scalars
 from workrisk.operators.exposure import AREA
 
 RISK_PERCENTILE = 0.8
@@ -149,29 +149,20 @@ def sector_top5(detailed: DataFrame, opportunity: DataFrame, k: int = 5) -> Data
     opportunity rankings TOT_EMP / economic_value of high-potential rows.
     Ties are broken by (OCC_CODE, area) so every ranking is a total order.
     """
-    flagged = detailed.filter(F.col("perc_ile_thresholded_risk") & F.col(SECTOR).isNotNull())
-    opp = opportunity_occupations(detailed, opportunity).filter(F.col(SECTOR).isNotNull())
-
-    def ranked(df, kind, by, emp, ev):
-        base = df.select(F.col(AREA).alias("src_area"), SECTOR, "OCC_CODE", "OCC_TITLE",
-                         F.col(emp).cast("double").alias("employment"),
-                         F.col(ev).cast("double").alias("economic_value"))
-        area_level = base.withColumn("area", F.col("src_area"))
-        nat_level = base.withColumn("area", F.lit(NATIONAL))
-        both = area_level.unionByName(nat_level)
-        col = "employment" if by == "employment" else "economic_value"
-        out = top_k(both, ["area", SECTOR], [F.col(col).desc_nulls_last()], k, ["OCC_CODE", "src_area"])
-        return out.withColumn("kind", F.lit(kind)).withColumn("ranked_by", F.lit(by))
-
-    parts = [ranked(flagged, "risk", "employment", "RISK_EMP", "AT_RISK_ECONOMIC_VALUE"),
-             ranked(flagged, "risk", "economic_value", "RISK_EMP", "AT_RISK_ECONOMIC_VALUE"),
-             ranked(opp, "opportunity", "employment", "TOT_EMP", "economic_value"),
-             ranked(opp, "opportunity", "economic_value", "TOT_EMP", "economic_value")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("kind", "ranked_by", "area", SECTOR, "rank", "OCC_CODE", "OCC_TITLE", "src_area",
-                      "employment", "economic_value")
+    codes = opportunity.select("OCC_CODE").distinct().withColumn("_opp", F.lit(True))
+    rows = (detailed.join(codes, "OCC_CODE", "left").filter(F.col(SECTOR).isNotNull())
+            .select(F.col(AREA).alias("src_area"), SECTOR, "OCC_CODE", "OCC_TITLE", "perc_ile_thresholded_risk", "_opp",
+                    *[F.col(c).cast("double").alias(c) for c in ("TOT_EMP", "economic_value", "RISK_EMP", "AT_RISK_ECONOMIC_VALUE")]))
+    sides = [("risk", F.col("perc_ile_thresholded_risk"), "RISK_EMP", "AT_RISK_ECONOMIC_VALUE"),
+             ("opportunity", F.coalesce("_opp", F.lit(False)), "TOT_EMP", "economic_value")]
+    entries = [F.when(takes_part, F.struct(F.lit(kind).alias("kind"), F.lit(by).alias("ranked_by"), area.alias("area"),
+                                           F.col(emp).alias("employment"), F.col(ev).alias("value"), F.col(order).alias("_order")))
+               for kind, takes_part, emp, ev in sides for by, order in (("employment", emp), ("economic_value", ev))
+               for area in (F.col("src_area"), F.lit(NATIONAL))]
+    ranked = multi_top_k(rows.filter(sides[0][1] | sides[1][1]), ["kind", "ranked_by", "area", SECTOR],
+                         F.array_compact(F.array(*entries)), k, [F.col("_order").desc_nulls_last()], ["OCC_CODE", "src_area"])
+    return ranked.select("kind", "ranked_by", "area", SECTOR, "rank", "OCC_CODE", "OCC_TITLE", "src_area", "employment",
+                         F.col("value").alias("economic_value"))
 
 
 # Fields of the document: part, name, column of the area totals; part, name, column by sector, count that must be positive.
@@ -257,3 +248,75 @@ def document_fields(doc: DataFrame) -> DataFrame:
     lists += [by_sector(part, name) for part, name, _, _ in SECTOR_FIELDS]
     lists += [jobs(part) for part in ("risk", "opportunity")]
     return doc.select("area", F.explode(F.concat(*lists)).alias("x")).select("area", "x.*")
+
+
+# ---------------------------------------------------------------- D12
+
+SECTOR_MAPS = {"industry_impact_percentage": "impact", "industry_wise_economic_value": "economic_value",
+               "industry_wise_employment": "employment", "risked_top_5_industry_by_employment": "risk_employment",
+               "risked_top_5_industry_by_economic_value": "risk_economic_value"}
+RISKED = ("risk_employment", "risk_economic_value")  # only sectors with a row at risk are in these maps
+AREA_TOTALS = {"total_jobs": "employment", "total_economic_value": "economic_value", "total_jobs_at_risk": "risk_employment",
+               "total_jobs_at_risk_percentage": "jobs_pct", "total_economic_value_at_risk": "risk_economic_value",
+               "total_economic_value_at_risk_percentage": "value_pct"}
+SECTOR_DOCUMENT = ("area string, " + ", ".join(f"{c} double" for c in AREA_TOTALS) + ", "
+                   + ", ".join(f"{c} map<string,double>" for c in SECTOR_MAPS)
+                   + f", {TOP_JOBS} array<struct<ranked_by:string,sector:string,rank:bigint,OCC_CODE:string,OCC_TITLE:string,"
+                     "employment:double,economic_value:double>>")
+
+
+def sector_document(detailed: DataFrame, k: int = 5) -> DataFrame:
+    """One document for each area: totals, maps by sector, and the top-k occupations at risk of each sector.
+
+    Totals and sectors come from one aggregation, the top lists from one ranking; both are rows
+    (area, section, ...) of one union that a single grouping by area turns into documents. A list
+    is bounded by the sectors of an area."""
+    flag = F.col("perc_ile_thresholded_risk")
+    sums = (detailed.groupingSets([[AREA], [AREA, SECTOR]], AREA, SECTOR)
+            .agg(F.grouping(SECTOR).alias("whole"), sum0("TOT_EMP").alias("employment"), sum0("economic_value").alias("economic_value"),
+                 sum0(F.when(flag, F.col("TOT_EMP"))).alias("risk_employment"),
+                 sum0(F.when(flag, F.col("economic_value"))).alias("risk_economic_value"), F.count_if(flag).alias("at_risk"))
+            .filter((F.col("whole") == 1) | F.col(SECTOR).isNotNull())
+            .withColumn("jobs_pct", safe_div("risk_employment", "employment") * 100.0)
+            .withColumn("value_pct", safe_div("risk_economic_value", "economic_value") * 100.0)
+            .withColumn("impact", F.coalesce("jobs_pct", F.lit(0.0))))
+    rankings = F.array(*[F.struct(F.lit(by).alias("ranked_by"), F.col(c).alias("_order"))
+                         for by, c in (("employment", "TOT_EMP"), ("economic_value", "economic_value"))])
+    jobs = multi_top_k(detailed.filter(flag & F.col(SECTOR).isNotNull()).select(AREA, SECTOR, "OCC_CODE", "OCC_TITLE", "TOT_EMP", "economic_value"),
+                       [AREA, SECTOR, "ranked_by"], rankings, k, [F.col("_order").desc_nulls_last()], ["OCC_CODE"])
+    numbers = [*dict.fromkeys([*AREA_TOTALS.values(), *SECTOR_MAPS.values(), "at_risk"])]
+    job = F.struct("ranked_by", F.col(SECTOR).alias("sector"), F.col("rank").cast("bigint").alias("rank"), "OCC_CODE", "OCC_TITLE",
+                   F.col("TOT_EMP").cast("double").alias("employment"), F.col("economic_value").cast("double").alias("economic_value"))
+    rows = sums.select(F.col(AREA).alias("area"), F.when(F.col("whole") == 0, F.col(SECTOR)).alias("sector"),
+                       F.struct(*[F.col(c).cast("double").alias(c) for c in numbers]).alias("n"), F.lit(None).cast(jobs.select(job.alias("j")).schema["j"].dataType).alias("job"))
+    tops = jobs.select(F.col(AREA).alias("area"), F.lit(None).cast("string").alias("sector"), F.lit(None).cast(rows.schema["n"].dataType).alias("n"),
+                       job.alias("job"))
+    is_total = F.col("sector").isNull() & F.col("n").isNotNull()
+    total = F.max(F.when(is_total, F.col("n")))
+
+    def by_sector(c: str) -> Column:
+        here = F.col("sector").isNotNull()
+        if c in RISKED:
+            here = here & (F.col("n.at_risk") > 0)
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(here, F.struct("sector", F.col(f"n.{c}"))))))
+
+    return rows.union(tops).groupBy("area").agg(
+        *[total[c].alias(name) for name, c in AREA_TOTALS.items()], *[by_sector(c).alias(name) for name, c in SECTOR_MAPS.items()],
+        F.array_sort(F.collect_list("job")).alias(TOP_JOBS))
+
+
+def sector_document_fields(docs: DataFrame) -> DataFrame:
+    """The documents of D12 as rows: area, field, sector, position, code, value."""
+    def row(field, value, sector=None, position=None, code=None):
+        return F.struct(field.alias("field"), (F.lit(None) if sector is None else sector).cast("string").alias("sector"),
+                        (F.lit(None) if position is None else position).cast("bigint").alias("position"),
+                        (F.lit(None) if code is None else code).cast("string").alias("code"), value.cast("double").alias("value"))
+
+    def of_map(name: str) -> Column:
+        return F.transform(F.map_entries(name), lambda e: row(F.lit(name), e["value"], e["key"]))
+
+    jobs = F.transform(TOP_JOBS, lambda e: row(F.concat(F.lit("top_5_by_"), e["ranked_by"]),
+                                               F.when(e["ranked_by"] == "employment", e["employment"]).otherwise(e["economic_value"]),
+                                               e["sector"], e["rank"], e["OCC_CODE"]))
+    lists = [F.array(*[row(F.lit(c), F.col(c)) for c in AREA_TOTALS]), *map(of_map, SECTOR_MAPS), jobs]
+    return docs.select("area", F.inline(F.concat(*lists)))

@@ -206,6 +206,28 @@ def occupation_gaps(spark, d):
     return DB.occupation_gaps(_result(spark, d).occupations).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("area_group_chart", sql="""
+  SELECT AREA_TITLE, rank, minor_group_name AS label, minor_current_index AS current, minor_potential_index AS potential,
+         TOT_EMP AS employment, economic_value FROM (
+    SELECT *, row_number() OVER (PARTITION BY AREA_TITLE ORDER BY minor_current_index DESC NULLS LAST, minor_group) AS rank
+    FROM groups) WHERE rank <= 10""", views=("groups",), rounded=("current", "potential"), money=("employment", "economic_value"),
+       group="dashboards", ops=("W10",))
+def area_group_chart(spark, d):
+    return DB.area_group_chart(_result(spark, d).groups)
+
+
+@query("area_occupation_gaps", sql="""
+  SELECT AREA_TITLE, rank, SOC_Code_Cleaned, OCC_TITLE, automation_susceptibility AS potential_risk,
+         enhanced_automation_risk AS current_risk, automation_gap, TOT_EMP AS employment, economic_value FROM (
+    SELECT *, automation_susceptibility - enhanced_automation_risk AS automation_gap,
+           row_number() OVER (PARTITION BY AREA_TITLE ORDER BY automation_susceptibility - enhanced_automation_risk DESC NULLS LAST,
+                              SOC_Code_Cleaned) AS rank FROM occupations) WHERE rank <= 10""", views=("occupations",),
+       rounded=("potential_risk", "current_risk", "automation_gap"), money=("employment", "economic_value"), group="dashboards",
+       ops=("W11",))
+def area_occupation_gaps(spark, d):
+    return DB.area_occupation_gaps(_result(spark, d).occupations)
+
+
 @query("unpivot_indices", sql="""
   SELECT AREA_TITLE, minor_group_name, rank,
          CASE WHEN metric = 'minor_current_index' THEN 'Current Risk' ELSE 'Potential Risk' END AS metric, score
@@ -419,13 +441,13 @@ def key_insights(spark, d):
                            DB.national_metrics(r.summary))
 
 
-@query("national_dashboard", sql=None, group="dashboards", ops=("D9", "S7"))
+@query("national_dashboard", sql=None, group="dashboards", ops=("D9",))
 def national_dashboard(spark, d):
     r = _result(spark, d)
     return DB.national_dashboard(r.summary, r.groups)
 
 
-@query("area_documents", sql=None, group="dashboards", ops=("D2", "D3", "D4", "D5", "D6", "D7", "S7"))
+@query("area_documents", sql=None, group="dashboards", ops=("D2", "D3", "D4", "D5", "D6", "D7"))
 def area_documents(spark, d):
     r = _result(spark, d)
     return DB.area_documents(r.summary, r.groups, r.occupations)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from workrisk.operators import opportunity as OP
 from workrisk.operators import rollup as R
 from workrisk.plans import oracle_rollup  # noqa: F401
@@ -9,8 +11,10 @@ from workrisk.plans.q_exposure import _result
 from workrisk.plans.q_skills import skills_risk_table
 from workrisk.plans.registry import query
 from workrisk.plans.stages import stage
-from workrisk.session import materialize
-from workrisk.sources import domain
+from workrisk.plans.sql import register
+from workrisk.session import materialize, write_stage
+from workrisk.sources import domain, sinks
+from workrisk.sources.model import fresh_folder
 
 SIX = tuple(OP.SIX)
 
@@ -88,7 +92,7 @@ def displacement(spark, d):
 @query("opportunity_join", sql="""
   SELECT d.AREA_TITLE, d.OCC_CODE, d.TOT_EMP, d.economic_value, d.sector
   FROM detailed d JOIN opp_hp h ON d.OCC_CODE = h.OCC_CODE""", views=("detailed", "opp_hp"),
-       money=("TOT_EMP", "economic_value"), group="rollup", ops=("J6"))
+       money=("TOT_EMP", "economic_value"), group="rollup", ops=("J6",))
 def opportunity_join(spark, d):
     det, opp = _detailed(spark, d)
     return R.opportunity_occupations(det, opp).select("AREA_TITLE", "OCC_CODE", "TOT_EMP", "economic_value", "sector")
@@ -162,7 +166,7 @@ def _document(spark, d):
     return R.risk_opportunity_document(R.area_rollup(det, opp), R.sector_rollup(det, opp), R.sector_top5(det, opp))
 
 
-@query("risk_opportunity_doc", sql=None, group="rollup", ops=("D11", "S7"))
+@query("risk_opportunity_doc", sql=None, group="rollup", ops=("D11",))
 def risk_opportunity_doc(spark, d):
     return _document(spark, d)
 
@@ -181,3 +185,49 @@ _FIELDS = " UNION ALL ".join(
        group="rollup", ops=("D11",))
 def risk_opportunity_fields(spark, d):
     return R.document_fields(_document(spark, d))
+
+
+@query("document_roundtrip", sql=_FIELDS, views=("area_roll", "sector_roll", "top5"), money=("value",), group="rollup",
+       ops=("S7", "D11"))
+def document_roundtrip(spark, d):
+    """The risk and opportunity documents written as JSON by area, and read back as rows."""
+    docs, path = _document(spark, d), fresh_folder(spark, "documents")
+    sinks.write_documents(docs, path, partition_by="area")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return R.document_fields(sinks.read_documents(spark, path, schema, "area"))
+
+
+register("sector_sums", ("detailed",), """
+  SELECT AREA_TITLE AS area, sector, grouping(sector) AS whole, coalesce(sum(TOT_EMP), 0.0) AS employment,
+         coalesce(sum(economic_value), 0.0) AS economic_value,
+         coalesce(sum(TOT_EMP) FILTER (perc_ile_thresholded_risk), 0.0) AS risk_employment,
+         coalesce(sum(economic_value) FILTER (perc_ile_thresholded_risk), 0.0) AS risk_economic_value,
+         count(*) FILTER (perc_ile_thresholded_risk) AS at_risk
+  FROM detailed GROUP BY GROUPING SETS ((AREA_TITLE), (AREA_TITLE, sector))""")
+register("sector_doc_sums", ("sector_sums",), """
+  SELECT *, risk_employment / nullif(employment, 0) * 100.0 AS jobs_pct, risk_economic_value / nullif(economic_value, 0) * 100.0 AS value_pct,
+         coalesce(risk_employment / nullif(employment, 0) * 100.0, 0.0) AS impact FROM sector_sums WHERE whole = 1 OR sector IS NOT NULL""")
+_SECTOR_FIELDS = " UNION ALL ".join(
+    [f"SELECT area, '{name}' AS field, {_NONE}, CAST({c} AS DOUBLE) AS value FROM sector_doc_sums WHERE whole = 1"
+     for name, c in R.AREA_TOTALS.items()]
+    + [f"SELECT area, '{name}', sector, NULL, NULL, CAST({c} AS DOUBLE) FROM sector_doc_sums WHERE whole = 0"
+       + (" AND at_risk > 0" if c in R.RISKED else "") for name, c in R.SECTOR_MAPS.items()]
+    + [f"""SELECT AREA_TITLE, 'top_5_by_{by}', sector, rank, OCC_CODE, CAST({c} AS DOUBLE) FROM (
+          SELECT *, row_number() OVER (PARTITION BY AREA_TITLE, sector ORDER BY {c} DESC NULLS LAST, OCC_CODE) AS rank
+          FROM detailed WHERE perc_ile_thresholded_risk AND sector IS NOT NULL) WHERE rank <= 5"""
+       for by, c in (("employment", "TOT_EMP"), ("economic_value", "economic_value"))])
+
+
+@query("sector_documents", sql=f"""
+  SELECT s.source, f.* FROM ({_SECTOR_FIELDS}) f, (VALUES ('by area'), ('one map')) s(source)""",
+       views=("sector_doc_sums", "detailed"), money=("value",), group="rollup", ops=("D12", "S7"))
+def sector_documents(spark, d):
+    """The sector documents of all areas, written as one JSON document an area and as one map of them, both read back."""
+    docs = write_stage(R.sector_document(_detailed(spark, d)[0]))
+    by_area, whole = fresh_folder(spark, "sectors"), fresh_folder(spark, "sector-map")
+    sinks.write_documents(docs, by_area, partition_by="area")
+    sinks.write_map_document(docs, whole, key="area")
+    parts = [("by area", sinks.read_documents(spark, by_area, R.SECTOR_DOCUMENT, "area")),
+             ("one map", sinks.read_map_document(spark, whole, R.SECTOR_DOCUMENT, key="area"))]
+    first, second = (R.sector_document_fields(x).select(F.lit(name).alias("source"), "*") for name, x in parts)
+    return first.union(second)
