@@ -29,6 +29,14 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 

@@ -6,13 +6,16 @@ languages that contain it. The popcount of a language over a text's n-grams, cor
 for the filter's false positives in that language's slice, estimates how many of the
 n-grams the language really contains; the highest estimate decides.
 
-Texts are lower-cased in ASCII; bytes that are no letters become spaces, and n-grams
-hold at most one space next to another character, so digits and punctuation carry no
-weight.
+Texts are lower-cased in ASCII; bytes that are no letters become spaces, a text has a
+space before and after it, and n-grams hold at most one space next to another character,
+so digits and punctuation carry no weight. Words of one or two bytes with their spaces are
+learned as well; they decide where a text has no n-gram of full length.
 
 Defined results: null text, empty text and text without a letter give ``und`` with
-score 0; equal estimates go to the alphabetically smaller language; without any
-labelled text every row is ``und``. Rows are never dropped or repeated.
+score 0; equal estimates go to the alphabetically smaller language (with score 0, if no
+n-gram is known in any); without any labelled text every row is ``und``. Null ids are as
+good as others; columns of the input keep their values, but for one that has the name of an
+added column. Rows are never dropped or repeated.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, mix64, pieces, text_bytes
+from .common import append_columns, free_name, mix64, pieces, text_bytes
 
 UNKNOWN = "und"
 ORDER = 5          # bytes in an n-gram
@@ -43,26 +46,36 @@ _FOLD[65:91] = np.arange(97, 123)
 
 
 def ngrams(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams (uint64) of the rows of a flat byte buffer, and the row of each."""
-    text = _FOLD[flat]
+    """N-grams and short words (uint64, packed bytes) of the rows of a flat byte buffer, and the row of each."""
+    rows = len(offsets) - 1
+    start = offsets + 2 * np.arange(rows + 1)  # a space before and after each row; two spaces in a row part the rows
+    text = np.full(start[-1] + ORDER, 32, dtype=np.uint8)
+    text[np.arange(len(flat)) + 1 + 2 * np.repeat(np.arange(rows), np.diff(offsets))] = _FOLD[flat]
     n = len(text) - ORDER + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     space = text == 32
-    blank = np.zeros(len(text), dtype=bool)
-    blank[1:] = space[1:] & space[:-1]
-    valid = ~blank[:n]
-    for i in range(1, ORDER):
-        valid &= ~blank[i:n + i]
-    ends = offsets[1:-1]
-    for i in range(1, ORDER):  # no n-gram reaches over the end of its row
-        cut = ends - i
-        valid[cut[(cut >= 0) & (cut < n)]] = False
-    at = np.flatnonzero(valid)
-    gram = np.zeros(len(at), dtype=np.uint64)
-    for i in range(ORDER):
-        gram = gram << np.uint64(8) | text[at + i]
-    return gram, np.searchsorted(offsets, at, side="right") - 1
+    double = space[:-1] & space[1:]  # at its first space
+    valid = ~double[:n]
+    for i in range(1, ORDER - 1):
+        valid &= ~double[i:n + i]
+    grams, places = [], []
+    opens = space[:n] & ~space[1:n + 1]  # before the first byte of a word
+    for size, use in ((ORDER, valid), (3, opens & space[2:n + 2]), (4, opens & ~space[2:n + 2] & space[3:n + 3])):
+        at = np.flatnonzero(use)
+        gram = np.zeros(len(at), dtype=np.uint64)
+        for i in range(size):
+            gram = gram << np.uint64(8) | text[at + i]
+        grams.append(gram)
+        places.append(at)
+    return np.concatenate(grams), np.searchsorted(start, np.concatenate(places), side="right") - 1
+
+
+def deciding(gram: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of full length; short words only of rows that have none."""
+    full = gram >= np.uint64(1 << 8 * (ORDER - 1))
+    has = np.zeros(rows, dtype=bool)
+    has[row[full]] = True
+    keep = full | ~has[row]
+    return gram[keep], row[keep]
 
 
 def slots(gram: np.ndarray, size: int = SLOTS) -> list[np.ndarray]:
@@ -75,20 +88,21 @@ class LanguageFilter:
     """The bit-sliced filter and each language's rate of false positives."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: np.ndarray  # words of a mask x slots: one word up to 64 languages
     false_rate: np.ndarray
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], size: int = SLOTS) -> LanguageFilter:
         languages = sorted(grams)
-        if len(languages) > 64:
-            raise ValueError("a mask has 64 bits: learn at most 64 languages")
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * k().itemsize)
-        masks = np.zeros(size, dtype=kind)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64)
+                    if min(len(languages), 64) <= 8 * k().itemsize)
+        masks = np.zeros((max(1, -(-len(languages) // 64)), size), dtype=kind)
+        fill = np.zeros(len(languages))
         for i, lang in enumerate(languages):
+            bit = kind(1 << i % 64)
             for s in slots(grams[lang], size):
-                np.bitwise_or.at(masks, s, kind(1 << i))
-        fill = np.array([np.count_nonzero(masks & kind(1 << i)) / size for i in range(len(languages))])
+                np.bitwise_or.at(masks[i // 64], s, bit)
+            fill[i] = np.count_nonzero(masks[i // 64] & bit) / size
         return cls(languages, masks, fill ** HASHES)
 
     def estimates(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,15 +111,16 @@ class LanguageFilter:
         share = np.zeros((rows, len(self.languages)))
         total = np.zeros(rows)
         for a, b in pieces(offsets):
-            gram, row = ngrams(flat[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            gram, row = deciding(*ngrams(flat[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]), b - a)
             if not len(gram):
                 continue
-            found = self.masks
-            mask = np.bitwise_and.reduce([found[s] for s in slots(gram, len(self.masks))])
+            at = slots(gram, self.masks.shape[1])
             total[a:b] = np.bincount(row, minlength=b - a)
-            for i in range(len(self.languages)):
-                bit = (mask >> mask.dtype.type(i)) & mask.dtype.type(1)
-                share[a:b, i] = np.bincount(row, weights=bit, minlength=b - a)
+            for word, found in enumerate(self.masks):
+                mask = np.bitwise_and.reduce([found[s] for s in at])
+                for i in range(64 * word, min(64 * (word + 1), len(self.languages))):
+                    bit = (mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1)
+                    share[a:b, i] = np.bincount(row, weights=bit, minlength=b - a)
         share /= np.maximum(total, 1)[:, None]
         return np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1), total
 
@@ -148,7 +163,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     texts = F.max(F.when(F.col("gram").isNull(), F.col("n")))
     total = counted.groupBy("lang").agg(texts.alias("texts"))
     kept = (counted.join(F.broadcast(total), "lang")  # a row per language
-            .where(F.col("gram").isNotNull() & (F.col("n") >= F.greatest(F.lit(2), F.col("texts") * MIN_SHARE)))
+            .where(F.col("gram").isNotNull() & (F.col("n") >= F.greatest(F.least(F.lit(2), F.col("texts")), F.col("texts") * MIN_SHARE)))
             .groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect())
     return LanguageFilter.build({r["lang"]: np.array(r["grams"], dtype=np.int64).astype(np.uint64) for r in kept})
 
@@ -159,7 +174,7 @@ def predict(df: DataFrame, model: LanguageFilter, text_col: str = "text", lang_o
 
     The score is the winner's corrected share less half of the runner-up's."""
     bc = df.sparkSession.sparkContext.broadcast(model)  # SLOTS masks: a fixed size
-    letter = "_has_letter"
+    letter = free_name(df, "_has_letter")
 
     def run(columns):
         m = bc.value
