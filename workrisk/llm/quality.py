@@ -13,7 +13,8 @@ scoring always reads whole texts.
 
 Defined results: a null text is scored like an empty one, which is a single chunk of
 padding; with labels of one class or none the score is the share of label 1 (0.5 without
-labels). Repeated rows get equal scores.
+labels). Null ids are as good as others. Repeated rows get equal scores: a score depends on
+the text alone, not on the rows it is scored with.
 """
 
 from __future__ import annotations
@@ -122,8 +123,15 @@ def features(tables: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.nd
 
 
 def head(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = np.maximum(x @ net.hidden + net.hidden_bias, 0)
-    return 1 / (1 + np.exp(-np.clip(h @ net.out + net.out_bias, -30, 30))), h
+    """Probabilities and hidden values. Sums run in a fixed order: a matrix product's depends on the number of rows."""
+    h = np.zeros((len(x), HIDDEN), dtype=x.dtype) + net.hidden_bias
+    for i in range(x.shape[1]):
+        h += x[:, i:i + 1] * net.hidden[i]
+    np.maximum(h, 0, out=h)
+    logit = np.zeros(len(x), dtype=x.dtype) + net.out_bias
+    for i in range(HIDDEN):
+        logit += h[:, i] * net.out[i]
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), h
 
 
 def score_texts(net: Network, flat: np.ndarray, offsets: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
