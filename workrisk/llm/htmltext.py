@@ -14,8 +14,10 @@ pages of at most ``SAMPLE_BYTES`` bytes); every page is extracted from its whole
 
 Defined results: null and empty html, and pages without article blocks, give the empty
 string; character references are decoded, white space within a block becomes one space;
-unclosed and unbalanced tags are closed as far as the block structure needs it; repeated
-rows give repeated results.
+unclosed and unbalanced tags are closed as far as the block structure needs it; an unclosed
+``select``, ``svg``, ``iframe``, ``noscript`` or ``template`` is read as if its tag were not there,
+text of ``math`` and ``object`` stays; null ids are as good as others; repeated rows give
+repeated results.
 """
 
 from __future__ import annotations
@@ -40,10 +42,12 @@ ITERATIONS = 80
 
 # Kinds of HTML elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "object",
-       "noframes", "xmp"}
+RAW = {"script", "style", "textarea", "title", "xmp"}  # text up to the end tag, or else up to the end of the page
+SKIPPED = {"noscript", "template", "iframe", "svg", "select", "noframes"}  # left out where they are closed
+NESTED = {"template", "svg"}  # those that may hold one of their own
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
-          "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label"}
+          "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msqrt", "object"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "main", "aside", "nav", "td"}
@@ -57,7 +61,8 @@ SPACES = re.compile(r"\s+")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # ancestors, outermost first: tag, and tag-independent class words as .word
+    path: tuple[str, ...]  # ancestors, outermost first: tag, and tag-independent class words as .word; a name
+    # that comes again further in is named there only (the innermost element's names are all there)
     text: str
     link: float            # share of the characters within links
 
@@ -69,6 +74,24 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     path: tuple[str, ...] = ()
     linked = links = 0
+    unclosed: set[str] = set()  # skipped elements that have no end tag in the rest of the page
+
+    def skip(tag: str, at: int) -> int | None:
+        """The place after the end tag of a skipped element; None where it is not closed."""
+        if tag in unclosed:
+            return None
+        level = 1
+        for m in re.compile(rf"<(/?){tag}(?![^\s/>])[^>]*>?", re.I).finditer(html, at):
+            if m[1]:
+                level -= 1
+            elif tag in NESTED:
+                level += not m[0].endswith("/>")
+            else:
+                return None
+            if not level:
+                return m.end()
+        unclosed.add(tag)
+        return None
 
     def flush() -> None:
         nonlocal parts, linked
@@ -128,6 +151,10 @@ def blocks(html: str) -> list[Block]:
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = stop.end() if stop else end
             continue
+        if tag in SKIPPED:
+            if not (m[3] or m[6] or "").endswith("/"):
+                at = skip(tag, at) or at
+            continue
         above = stack[-1][1] if stack else ()
         if tag in INLINE:
             links += tag == "a"
@@ -154,6 +181,9 @@ def blocks(html: str) -> list[Block]:
         words: tuple[str, ...] = ()
         if "=" in attributes:
             words = tuple(f".{w}" for g in ATTRIBUTE.findall(attributes) for w in WORD.findall("".join(g).lower()))
+        # without names that come again, so that deep nesting doesn't make long paths
+        if len(set(above)) < len(above):
+            above = tuple(reversed(dict.fromkeys(reversed(above))))
         stack.append((tag, (*above, tag, *words)))
     flush()
     return out
