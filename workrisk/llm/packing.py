@@ -14,15 +14,20 @@ start, where position ids begin anew). They are NumPy files written under tempor
 and renamed; a repeated task writes the same files again.
 
 Defined results: a null or empty text has no tokens: one line with length 0 and no file;
-repeated rows are packed each; ties between equal lengths keep the order of the rows; an
-empty table writes nothing.
+a null id keeps its row, with a null id; repeated rows are packed each; ties between equal
+lengths keep the order of the rows; an empty table writes nothing. Only the id and the text of
+a row are read, so other columns may have any name. Runs of white space beyond ``SPACE_RUN``
+characters are cut there before they are encoded (the library fails on very long ones); no
+character is lost.
 """
 
 from __future__ import annotations
 
 import base64
 import io
+import re
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +42,8 @@ from .warc import store_of
 ROW_LENGTH = 2048
 GROUP_TOKENS = 4 << 20
 PAD_ID = 0
+SPACE_RUN = 4096  # characters of white space that the tokenizer library gets at once
+_LONG_RUN = re.compile(rf"\s{{{SPACE_RUN}}}(?=\s)")
 
 
 class RoomTree:
@@ -98,6 +105,15 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def cut_runs(text: str) -> Iterator[str]:
+    """The text in pieces, cut after every ``SPACE_RUN`` characters of a longer run of white space."""
+    start = 0
+    for m in _LONG_RUN.finditer(text):
+        yield text[start:m.end()]
+        start = m.end()
+    yield text[start:]
+
+
 def save(fs, base: str, name: str, array: np.ndarray) -> None:
     data = io.BytesIO()
     np.save(data, array)
@@ -157,7 +173,7 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
-                tokens.append(np.array(enc.encode_ordinary(text or ""), dtype=dtype))
+                tokens.append(np.concatenate([np.array(enc.encode_ordinary(t), dtype=dtype) for t in cut_runs(text or "")]))
                 size += len(tokens[-1]) + 1
                 if size >= GROUP_TOKENS:
                     yield finish()
