@@ -8,7 +8,8 @@ Defined results: a null or empty text has no letter and goes in the first stage;
 a null id are never removed as duplicates or as contaminated; rows that repeat an id with the
 same text are one document, of which the row that is first by its other columns (as JSON)
 stays after the third stage; rows that repeat an id with different texts are documents of
-their own there; an empty table passes through.
+their own there; an empty table passes through. Columns that a stage needs for itself get names
+that the documents do not have, so every column keeps its own values.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workrisk.llm import bpe, decontaminate, jaccard, langid, quality
-from workrisk.llm.common import fold_of, table, with_ids, written
+from workrisk.llm.common import fold_of, free_name, table, with_ids, written
 from workrisk.llm.queries import LANG_FOLDS, LANG_HELD, QUALITY_FOLDS, QUALITY_HELD, QUALITY_THRESHOLD, tokenizer_path
 
 LANGUAGE_THRESHOLD = 0.1  # below it no learned language explains the text
@@ -26,8 +27,9 @@ LANGUAGE_THRESHOLD = 0.1  # below it no learned language explains the text
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in one of the learned languages."""
     model = langid.fit(docs.where(fold_of("doc_id", LANG_FOLDS) != LANG_HELD))
-    found = langid.predict(docs, model, lang_out="_lang_pred", score_out="_lang_score")
-    kept = (F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LANGUAGE_THRESHOLD)
+    lang, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
+    found = langid.predict(docs, model, lang_out=lang, score_out=score)
+    kept = (F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LANGUAGE_THRESHOLD)
     return found.where(kept).select(docs.columns)
 
 
@@ -35,8 +37,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep documents that the quality classifier accepts; it learns from labelled documents that are left."""
     labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", QUALITY_FOLDS) != QUALITY_HELD)
     net = quality.fit(docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
-    scored = quality.score(docs, net, score_out="_quality")
-    return scored.where(F.col("_quality") >= QUALITY_THRESHOLD).select(docs.columns)
+    score = free_name(docs, "_quality")
+    return quality.score(docs, net, score_out=score).where(F.col(score) >= QUALITY_THRESHOLD).select(docs.columns)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,21 +51,22 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return with_ids(docs, removed, "doc_id", "left_anti").select(docs.columns)
     # one row for each text of a repeated id, under a key of its own
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    key, packed = free_name(docs, "_key"), free_name(docs, "_row")
     again = with_ids(docs, repeated, "doc_id", "left_semi")
     if rest:
         row = F.struct(*(F.col(f"`{c}`") for c in rest))
-        again = (again.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row"))
-                 .select("doc_id", "text", "_row.*"))
+        again = (again.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias(packed))
+                 .select("doc_id", "text", f"{packed}.*"))
     else:
         again = again.distinct()
-    again = again.select(*docs.columns, F.xxhash64("doc_id", "text", F.lit("document")).alias("_key"))
-    once = with_ids(docs, repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias("_key"))
+    again = again.select(*docs.columns, F.xxhash64("doc_id", "text", F.lit("document")).alias(key))
+    once = with_ids(docs, repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias(key))
     keyed = written(once.union(again), "keyed")
-    groups = written(jaccard.join_components(keyed.select("_key", "text"), id_col="_key"), "keys")
-    groups = groups.where("_key is not null").join(keyed.select("_key", "doc_id"), "_key")
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
-    removed = groups.join(first, "component_id").where("_key <> first._key").select("_key").distinct()
-    return with_ids(keyed, written(removed, "removed"), "_key", "left_anti").select(docs.columns)
+    groups = written(jaccard.join_components(keyed.select(key, "text"), id_col=key), "keys")
+    groups = groups.where(F.col(key).isNotNull()).join(keyed.select(key, "doc_id"), key)
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    removed = groups.join(first, "component_id").where(F.col(key) != F.col(f"first.{key}")).select(key).distinct()
+    return with_ids(keyed, written(removed, "removed"), key, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
