@@ -152,3 +152,17 @@ def test_pipeline_keeps_clashing_columns(spark):
     assert got.columns == docs.columns
     want = {(0, "k0", "r0", "q0"), (0, "k1", "r1", "q1"), (1, "k2", "r2", "q2"), (1, "k3", "r3", "q3")}
     assert {(r["doc_id"], r["_KEY"], r["_row"], r["_quality"]) for r in got.collect()} == want
+
+
+def test_a_process_holds_one_large_object_and_small_caches():
+    from workrisk.llm import bpe, common
+    coder = bpe.tokenizer(tokenizer_path())
+    assert bpe.tokenizer(tokenizer_path()) is coder
+    small = bpe.ByteBPE(tokenizer_path(), cache_bytes=20_000)
+    texts = [" ".join("".join(chr(97 + int(d)) for d in str(1000 * i + j)) for j in range(300)) for i in range(1, 7)]
+    assert [small.encode(t) for t in texts] == [coder.encode(t) for t in texts]
+    assert len(small.cache) < len(coder.cache)
+    small.forget()
+    assert not small.cache and small.cached == 0
+    list(common.lean(iter)(iter([])))
+    assert not common._held and bpe.tokenizer(tokenizer_path()) is not coder

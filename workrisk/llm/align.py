@@ -37,7 +37,7 @@ from .common import pieces, text_bytes, written
 from .piecebpe import SPACE, PieceBPE
 
 UNIT_BYTES = 2 << 20  # of texts in a unit, about
-CACHE_BYTES, CACHE_WORDS = 64 << 20, 200_000  # of the encoders of B and A
+CACHE_BYTES, WORD_BYTES = 64 << 20, 44 << 20  # of the encoders of B and A
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
 
 
@@ -45,7 +45,7 @@ class Pair:
     """The two encoders of a process, with the bytes of their tokens."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = ByteBPE(byte_path, CACHE_WORDS), PieceBPE(piece_path, CACHE_BYTES)
+        self.a, self.b = ByteBPE(byte_path, WORD_BYTES), PieceBPE(piece_path, CACHE_BYTES)
         self.a.special, self.a.special_split = {}, None  # their strings are plain text here
         self.sizes = [np.array([len(x) for x in side.token_bytes], np.int64) for side in (self.a, self.b)]
         self.names = [names(len(self.a.token_bytes), b",|"), names(len(self.b.token_bytes), b",;")]
@@ -77,7 +77,7 @@ class Pair:
         return all(b"".join(map(s.token_bytes.__getitem__, x.tolist())) == raw for s, x in zip((self.a, self.b), ids, strict=True))
 
     def forget(self) -> None:
-        self.a.cache.clear()
+        self.a.forget()
         self.b.forget()
 
 

@@ -17,14 +17,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, held
 
 # White space, the alternatives of the public split pattern, the letters and
 # numbers that Unicode 16 added to this Python's tables, and the printable stand-ins of bytes.
@@ -43,6 +42,8 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SIMPLE = 0x530
 # Leaves of the trees that are worked on many words at a time.
 LEAVES = (8, 16, 32)
+CACHE_BYTES = 16 << 20  # words and ids that a tokenizer remembers, about
+ENTRY = 200  # bytes of a remembered word besides its own and those of its ids
 NONE = 1 << 62
 SHIFT = 32
 
@@ -71,7 +72,7 @@ def byte_characters() -> list[str]:
 class ByteBPE:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, cache_words: int = 150_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -99,8 +100,9 @@ class ByteBPE:
         self.rank_id = np.zeros(len(self.pairs) and max(r for r, _ in self.pairs.values()) + 1, dtype=np.int64)
         for rank, merged in self.pairs.values():
             self.rank_id[rank] = merged
-        self.cache_words = cache_words
+        self.cache_bytes = cache_bytes
         self.cache: dict[str, bytes] = {}
+        self.cached = 0  # bytes in the cache, about
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token, by a segment tree over adjacent pair ranks."""
@@ -234,8 +236,8 @@ class ByteBPE:
         """Ids of texts as little-endian unsigned 32-bit integers."""
         cut = [self.pre_tokens(t) for t in texts]
         cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
+        if self.cached > self.cache_bytes:
+            self.forget()
         fresh = list(set().union(*cut).difference(cache)) if cut else []
         encoded = self.merge_words([w.encode("utf-8", "surrogatepass") for w in fresh])
         cache.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(fresh, encoded, strict=True))
@@ -245,8 +247,15 @@ class ByteBPE:
         for w in fresh:
             if len(w) > 64:
                 del cache[w]
+            else:
+                self.cached += ENTRY + len(w) + len(cache[w])
         return out
 
+    def forget(self) -> None:
+        """Empty the cache of words."""
+        self.cache.clear()
+        self.cached = 0
+
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
@@ -258,10 +267,9 @@ class ByteBPE:
         return b"".join(map(table.__getitem__, values.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str) -> ByteBPE:
-    """One tokenizer for each file and process."""
-    return ByteBPE(path)
+    """The tokenizer of a file, kept in the process until another operator works there."""
+    return held(("byte_bpe", path), lambda: ByteBPE(path))
 
 
 def _texts(column: pa.Array, limit: int = 1 << 20):
@@ -291,7 +299,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         out = [pa.array(ids, pa.binary())]
         return [*out, pa.array(map(bpe.decode, ids), pa.string())] if decoded_col else out
 
-    return append_columns(df, [text_col], fields, run)
+    return append_columns(df, [text_col], fields, run, done=lambda: tokenizer(path).forget(), keep=True)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -301,4 +309,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         bpe = tokenizer(path)
         return [pa.array([bpe.decode(x or b"") for x in columns[0].to_pylist()], pa.string())]
 
-    return append_columns(df, [ids_col], [T.StructField(text_col, T.StringType())], run)
+    return append_columns(df, [ids_col], [T.StructField(text_col, T.StringType())], run, keep=True)

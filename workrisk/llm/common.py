@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +51,54 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict[Any, Any] = {}
+
+
+def held(key, make: Callable[[], Any]) -> Any:
+    """The one large object that a worker process keeps for its next tasks; another one takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def release_memory() -> None:
+    """Give back what earlier work of a reused worker process has freed but kept."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable:
+    """``run`` for ``mapInArrow``; a task begins and ends without memory that its worker no longer uses.
+
+    Without ``keep`` the object that an earlier operator holds in the process goes too."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            _held.clear()
+        release_memory()
+        yield from run(batches)
+        release_memory()
+
+    return task
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField],
-                   fn: Callable[[list[pa.Array]], list[pa.Array]], done: Callable[[], None] | None = None) -> DataFrame:
+                   fn: Callable[[list[pa.Array]], list[pa.Array]], done: Callable[[], None] | None = None,
+                   keep: bool = False) -> DataFrame:
     """Add columns that ``fn`` computes from the ``inputs`` of an Arrow batch; ``done`` runs when a task ends.
+    ``keep``: ``fn`` uses a ``held`` object.
 
     Every other column passes through unchanged. A column of ``df`` that has the
     name of an added one is replaced, as ``withColumn`` does. ``fn`` gets runs of whole
@@ -62,7 +111,6 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     schema = T.StructType([*base.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier tasks of a reused worker left
         for batch in batches:
             size = np.ones(batch.num_rows, dtype=np.int64)
             for i in where:
@@ -76,7 +124,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
         if done is not None:
             done()
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run, keep), schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

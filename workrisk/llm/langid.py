@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, free_name, mix64, pieces, text_bytes
+from .common import append_columns, free_name, lean, mix64, pieces, text_bytes
 
 UNKNOWN = "und"
 ORDER = 5          # bytes in an n-gram
@@ -158,7 +158,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     [pa.array([lang] * (len(own) + 1), pa.string()), pa.array([*own.astype(np.int64), None], pa.int64()),
                      pa.array([*n.astype(np.int64), int((langs == lang).sum())], pa.int64())], ["lang", "gram", "n"])
 
-    counted = (sample.select(F.col(text_col), F.col(lang_col)).mapInArrow(count, "lang string, gram long, n long")
+    counted = (sample.select(F.col(text_col), F.col(lang_col)).mapInArrow(lean(count), "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     texts = F.max(F.when(F.col("gram").isNull(), F.col("n")))
     total = counted.groupBy("lang").agg(texts.alias("texts"))
