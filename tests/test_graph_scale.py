@@ -78,3 +78,29 @@ def test_queries_store_no_table_of_pairs(spark, monkeypatch):
     n = q_graph.jobs_table(spark, SF_SMALL).count()
     stages.clear()
     assert rows and max(rows) <= 12 * n < n * (n - 1) // 4
+
+
+def test_rank_packs_the_edges_and_writes_no_table_of_them(spark):
+    """Nodes in many slices, some without outgoing or incoming edges; nothing but sums goes to the shared folder."""
+    import os
+    from workrisk.session import ensure_checkpoint_dir
+    from workrisk.sources import model as M
+    rnd = random.Random(3)
+    pairs = {(rnd.randrange(40), rnd.randrange(50)) for _ in range(300)}
+    edges = [(f"n{s}", f"n{d}", rnd.random() / 8) for s, d in sorted(pairs)]
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    nodes, n_edges = M.counted_nodes(df)
+    assert n_edges == len(edges) and sorted(r.id for r in nodes.collect()) == list(range(nodes.count()))
+    names = sorted({x for e in edges for x in e[:2]})
+    want = {v: 1 / len(names) for v in names}
+    for _ in range(15):
+        new = {v: 0.15 / len(names) for v in names}
+        for s, d, w in edges:
+            new[d] += 0.85 * want[s] * w
+        want = new
+    for got in (G.job_rank(df, max_iter=15), G.model_rank(nodes, M.numbered_edges(df, nodes), 7, max_iter=15, checkpoint_every=4)):
+        got = {r.node: r["rank"] for r in got.collect()}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in names)
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("edges")]
