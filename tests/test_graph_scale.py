@@ -104,3 +104,18 @@ def test_rank_packs_the_edges_and_writes_no_table_of_them(spark):
         got = {r.node: r["rank"] for r in got.collect()}
         assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in names)
     assert not [x for x in set(os.listdir(folder)) - before if x.startswith("edges")]
+
+
+def test_growing_dimensions_do_not_go_through_the_driver(spark):
+    """Parts are a row for each code: a scan of few compressed bytes is no small table, whatever the size check says."""
+    from conftest import SF_SMALL
+    from workrisk.operators import skills as K
+    from workrisk.sources import domain
+    risk = spark.range(3).select(F.format_string("x%d", "id").alias("onet_code"))
+    for df in (domain.employment(spark, SF_SMALL), domain.skills_long(spark, SF_SMALL), K.adoption_fill(risk, domain.tech(spark, SF_SMALL))):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "p_partkey" in plan and "SortMergeJoin" in plan
+        lines = plan.split("\n")
+        for at, line in enumerate(lines):  # a broadcast side is indented below its exchange
+            if "BroadcastExchange" in line or "BuildRight" in line and "Broadcast" in line:
+                assert "p_partkey" not in line
