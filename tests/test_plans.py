@@ -53,3 +53,10 @@ def test_facts_are_summed_before_grouping_sets(spark):
     tree = _plan(domain.employment(spark, SF_SMALL)).split("\n\n")[0]
     below = tree[tree.index("Expand"):]
     assert below.index("HashAggregate") < below.index("Scan")
+
+
+def test_ratings_are_read_once(spark):
+    """Risk of the codes: the quantile, the joins and the search read a written table, not the ratings again."""
+    from workrisk.plans import q_skills
+    files = q_skills._blended(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "embeddings" in f]

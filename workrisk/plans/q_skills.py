@@ -11,7 +11,7 @@ from workrisk.plans import oracle_skills as O
 from workrisk.plans.q_exposure import _result
 from workrisk.plans.registry import query
 from workrisk.plans.stages import stage
-from workrisk.session import materialize
+from workrisk.session import write_stage
 from workrisk.sources import domain
 
 CATS = tuple(K.CATEGORY_NAMES)
@@ -34,7 +34,7 @@ def skills_risk_table(spark, d):
     def build():
         occ = _result(spark, d).occupations
         b = K.backfill_missing(_blended(spark, d, occ), occ)
-        return materialize(K.adoption_fill(b, domain.tech(spark, d)))
+        return write_stage(K.adoption_fill(b, domain.tech(spark, d)))
     return stage(spark, d, "skills_risk", build)
 
 
