@@ -94,3 +94,13 @@ def test_long_text(libraries):
     numbers, digests, keys, links, times = align.align_unit(pair, [text, "", text])
     assert numbers["n_groups"][0] == numbers["n_groups"][2] > 100_000 and numbers["n_groups"][1] == 0
     assert digests[0] == digests[2] and digests[1] == "" and times.sum() == sum(len(x) // 4 for x in links)
+
+
+def test_words_in_use_stay_remembered():
+    from workrisk.llm.bpe import ByteBPE
+    coder, merged = ByteBPE(tokenizer_path(), cache_bytes=40_000), []
+    block = coder._merge_block
+    coder._merge_block = lambda words, leaves: merged.extend(words) or block(words, leaves)
+    for i in range(40):
+        coder.encode(" words of every text " + " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(26)))
+    assert merged.count(b" every") == 1 and len(coder.cache) + len(coder.old) < 400

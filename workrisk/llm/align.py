@@ -76,10 +76,6 @@ class Pair:
             return True
         return all(b"".join(map(s.token_bytes.__getitem__, x.tolist())) == raw for s, x in zip((self.a, self.b), ids, strict=True))
 
-    def forget(self) -> None:
-        self.a.forget()
-        self.b.forget()
-
 
 def names(size: int, marks: bytes) -> np.ndarray:
     """The decimal names of ids, each with either mark behind it."""
@@ -179,7 +175,6 @@ def aligned_units(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, part.column(0).type), pa.array([unit]), *rest,
                                                   found.cast(pair_type)], names=schema.names)
                 unit += 1
-        pair.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -194,6 +189,7 @@ def pair_counts(units: DataFrame) -> DataFrame:
 
 def sums_of_unit(docs: pa.Table, counts: pa.Table) -> pa.Table:
     """``n_best`` and ``count_sum`` of a unit's documents."""
+    encoders.cache_clear()  # the process has no more texts to encode
     counts = counts.sort_by("key")
     count, best = counts.column("count").to_numpy(), counts.column("best").to_numpy()
     n_best, total = [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, held
+from .common import Remembered, append_columns, held
 
 # White space, the alternatives of the public split pattern, the letters and
 # numbers that Unicode 16 added to this Python's tables, and the printable stand-ins of bytes.
@@ -43,6 +43,7 @@ SIMPLE = 0x530
 # Leaves of the trees that are worked on many words at a time.
 LEAVES = (8, 16, 32)
 CACHE_BYTES = 16 << 20  # words and ids that a tokenizer remembers, about
+LONGEST_CACHED = 64
 ENTRY = 200  # bytes of a remembered word besides its own and those of its ids
 NONE = 1 << 62
 SHIFT = 32
@@ -69,7 +70,7 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class ByteBPE:
+class ByteBPE(Remembered):
     """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
@@ -100,9 +101,7 @@ class ByteBPE:
         self.rank_id = np.zeros(len(self.pairs) and max(r for r, _ in self.pairs.values()) + 1, dtype=np.int64)
         for rank, merged in self.pairs.values():
             self.rank_id[rank] = merged
-        self.cache_bytes = cache_bytes
-        self.cache: dict[str, bytes] = {}
-        self.cached = 0  # bytes in the cache, about
+        super().__init__(cache_bytes, ENTRY, LONGEST_CACHED)
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token, by a segment tree over adjacent pair ranks."""
@@ -156,6 +155,10 @@ class ByteBPE:
 
     def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
         """``merge_word`` of many short pre-tokens: their trees advance together, node by node."""
+        return [np.frombuffer(ids, "<u4") for ids in self.merged(words)]
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(words)
         sizes = np.array([len(w) for w in words])
         low = 1
@@ -167,7 +170,7 @@ class ByteBPE:
                 for r, ids in zip(part.tolist(), self._merge_block([words[i] for i in part], leaves), strict=True):
                     out[r] = ids
         for r in np.flatnonzero((sizes >= low) | (sizes == 0)).tolist():
-            out[r] = np.array(self.merge_word(words[r]), dtype=np.int64)
+            out[r] = np.array(self.merge_word(words[r]), dtype="<u4").tobytes()
         return out
 
     def _values(self, left: np.ndarray, right: np.ndarray, place: np.ndarray | int) -> np.ndarray:
@@ -177,7 +180,7 @@ class ByteBPE:
         found = (self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] == key) & (left >= 0) & (right >= 0)
         return np.where(found, self.pair_rank[np.minimum(at, len(self.pair_rank) - 1)] << 8 | place, NONE)
 
-    def _merge_block(self, words: list[bytes], leaves: int) -> list[np.ndarray]:
+    def _merge_block(self, words: list[bytes], leaves: int) -> list[bytes]:
         n, width = len(words), leaves + 1
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(n, width)
         size = np.array([len(w) for w in words])
@@ -218,9 +221,9 @@ class ByteBPE:
                     tree[node, c] = np.minimum(tree[2 * node, c], tree[2 * node + 1, c])
                     step >>= 1
             col = col[tree[1, col] < NONE]
-        kept = ids.T
-        flat, counts = kept[kept >= 0], (kept >= 0).sum(axis=1)
-        return np.split(flat, np.cumsum(counts)[:-1])
+        kept = ids.T >= 0
+        flat, ends = ids.T[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
     def pre_tokens(self, text: str) -> list[str]:
         """The text cut into pre-tokens; a special token is one by itself."""
@@ -235,27 +238,15 @@ class ByteBPE:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers."""
         cut = [self.pre_tokens(t) for t in texts]
+        fresh = self.unmet(cut)
         cache = self.cache
-        if self.cached > self.cache_bytes:
-            self.forget()
-        fresh = list(set().union(*cut).difference(cache)) if cut else []
-        encoded = self.merge_words([w.encode("utf-8", "surrogatepass") for w in fresh])
-        cache.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(fresh, encoded, strict=True))
+        cache.update(zip(fresh, self.merged([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
         for word, i in self.special.items():
             cache[word] = i.to_bytes(4, "little")
-        out = [b"".join([cache[w] for w in words]) for words in cut]
-        for w in fresh:
-            if len(w) > 64:
-                del cache[w]
-            else:
-                self.cached += ENTRY + len(w) + len(cache[w])
+        out = [b"".join(map(cache.__getitem__, words)) for words in cut]
+        self.keep(fresh)
         return out
 
-    def forget(self) -> None:
-        """Empty the cache of words."""
-        self.cache.clear()
-        self.cached = 0
-
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 

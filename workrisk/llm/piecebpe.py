@@ -13,7 +13,7 @@ searches for that sequence:
 
 Texts are cut where no piece of the model can cross: before a space that follows another character and
 around characters that occur in no longer piece. Encoded cuts are kept in a cache bounded by bytes,
-which is emptied when a task ends; which pieces may stand behind which is remembered within the same bound.
+which ``encode`` empties when a task ends; which pieces may stand behind which is remembered within the same bound.
 
 Defined results: a null text is encoded like an empty one (only the begin and end ids); characters
 without a piece become the ids of their UTF-8 bytes, or the unknown id where the model has no byte
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import _texts
-from .common import append_columns
+from .common import Remembered, append_columns
 
 # Fixed values of the public model format.
 SPACE = "▁"
@@ -81,7 +81,7 @@ def wire_fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
-class PieceBPE:
+class PieceBPE(Remembered):
     """Encoder and decoder of one merge-type model file."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
@@ -145,9 +145,11 @@ class PieceBPE:
             own = re.escape("".join(sorted(inside - {SPACE})))
             self.alphabet = inside
             self.cut = re.compile(f"{SPACE}*[{own}]+|{SPACE}+|[^{own}]")
+            self.plain_cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")  # the same where all characters are in longer pieces
+        self.coded_size = np.array([len(x) // 4 for x in self.coded])
+        self.coded_ids = np.frombuffer(b"".join(self.coded), "<u4")
         self.forget_pairs()
-        self.cache: dict[str, bytes] = {}
-        self.cache_bytes, self.cached = cache_bytes, 0
+        super().__init__(cache_bytes, ENTRY, LONGEST_CACHED)
 
     def merge(self, text: str, border: int = 0) -> list[str]:
         """Pieces of a short string by merging; stops at once if a merge crosses ``border`` (if given)."""
@@ -193,6 +195,23 @@ class PieceBPE:
 
     def search_words(self, words: list[str]) -> list[list[int]]:
         """``search`` of many cuts of 2 to ``WIDTHS[-1]`` characters: numbers of their pieces, all cuts step by step."""
+        return self._search_words(words, lambda flat, ends: [flat[s:e].tolist() for s, e in zip([0, *ends[:-1]], ends, strict=True)])
+
+    def coded_words(self, words: list[str]) -> list[bytes]:
+        """``search_words`` as ids, little-endian unsigned 32-bit integers."""
+        first = np.cumsum(self.coded_size) - self.coded_size
+
+        def ids(flat: np.ndarray, ends: list[int]) -> list[bytes]:
+            size = self.coded_size[flat]
+            to = np.cumsum(size)
+            raw = self.coded_ids[np.arange(size.sum()) + np.repeat(first[flat] - to + size, size)].tobytes()
+            to = (4 * np.append(0, to)[ends]).tolist()
+            return [raw[s:e] for s, e in zip([0, *to[:-1]], to, strict=True)]
+
+        return self._search_words(words, ids)
+
+    def _search_words(self, words: list[str], parts: Callable[[np.ndarray, list[int]], list]) -> list:
+        """``parts`` of the piece numbers of blocks of cuts, and where each cut's end, in the order of the cuts."""
         out: list = [None] * len(words)
         length = np.array([len(w) for w in words])
         low = 0
@@ -201,11 +220,12 @@ class PieceBPE:
             low = width
             for start in range(0, len(rows), STEP_WORDS):
                 part = rows[start:start + STEP_WORDS]
-                for r, found in zip(part.tolist(), self._search_block([words[i] for i in part], length[part], width), strict=True):
+                found_parts = parts(*self._search_block([words[i] for i in part], length[part], width))
+                for r, found in zip(part.tolist(), found_parts, strict=True):
                     out[r] = found
         return out
 
-    def _search_block(self, words: list[str], length: np.ndarray, width: int) -> list[list[int]]:
+    def _search_block(self, words: list[str], length: np.ndarray, width: int) -> tuple[np.ndarray, list[int]]:
         n = len(words)
         chars = np.frombuffer("".join([w.ljust(width) for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
         longest = self.matches.at_each_place(chars.reshape(n, width).T.astype(np.int64), length)
@@ -232,9 +252,7 @@ class PieceBPE:
                 at[back] -= self.size[piece[back]]
                 last[back] = np.where(depth[back] > 0, pieces[depth[back] - 1, back] + 1, 0)
             col = col[at[col] < length[col]]
-        flat = pieces.T[np.arange(width + 1) < depth[:, None]].tolist()
-        ends = np.cumsum(depth).tolist()
-        return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        return pieces.T[np.arange(width + 1) < depth[:, None]], np.cumsum(depth).tolist()
 
     def longest(self, word: str, at: int) -> str:
         """The longest piece that matches at a position, or the character there."""
@@ -283,37 +301,33 @@ class PieceBPE:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of cuts."""
         many = [w for w in words if 1 < len(w) <= WIDTHS[-1] and (self.alphabet or not self.beyond(w))]
-        found = dict(zip(many, self.search_words(many), strict=True)) if many else {}
-        coded = self.coded
-        return [b"".join([coded[k] for k in found[w]]) if w in found else
-                b"".join(map(self.bytes_of, self.search(w) if len(w) > 1 else [w])) for w in words]
+        found = dict(zip(many, self.coded_words(many), strict=True)) if many else {}
+        return [found[w] if w in found else b"".join(map(self.bytes_of, self.search(w) if len(w) > 1 else [w])) for w in words]
 
     def beyond(self, word: str) -> bool:
         return any(c not in self.number for c in word)
 
     def forget(self) -> None:
         """Empty the cache of cuts (at the end of a task) and, if it has grown large, that of pairs."""
-        self.cache.clear()
-        self.cached = 0
+        super().forget()
         if PAIR * len(self.follows) > self.cache_bytes:
             self.forget_pairs()
 
+    def cuts(self, text: str) -> list[str]:
+        plain = self.alphabet is not None and self.alphabet.issuperset(text)
+        return (self.plain_cut if plain else self.cut).findall(text)
+
     def encode_batch(self, texts: list[str], ends: bool = True) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers, with begin and end ids where ``ends``."""
-        cache = self.cache
         first, last = (struct.pack("<I", i) if ends else b"" for i in (self.begin, self.end))
-        if self.cached > self.cache_bytes:
-            self.forget()
-        cut = [self.cut.findall((" " + t if t and self.dummy_prefix else t).replace(" ", SPACE)) for t in texts]
-        fresh = list(set().union(*cut).difference(cache))
-        coded = self.encode_words(fresh)
-        cache.update(zip(fresh, coded, strict=True))
+        if PAIR * len(self.follows) > self.cache_bytes:
+            self.forget_pairs()
+        cut = [self.cuts((" " + t if t and self.dummy_prefix else t).replace(" ", SPACE)) for t in texts]
+        fresh = self.unmet(cut)
+        cache = self.cache
+        cache.update(zip(fresh, self.encode_words(fresh), strict=True))
         out = [b"".join([first, *map(cache.__getitem__, words), last]) for words in cut]
-        for word, ids in zip(fresh, coded, strict=True):
-            if len(word) > LONGEST_CACHED:
-                del cache[word]
-            else:
-                self.cached += ENTRY + len(word) + len(ids)
+        self.keep(fresh)
         return out
 
     def encode(self, text: str) -> bytes:
