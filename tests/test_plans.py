@@ -60,3 +60,19 @@ def test_ratings_are_read_once(spark):
     from workrisk.plans import q_skills
     files = q_skills._blended(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not [f for f in files if "embeddings" in f]
+
+
+def test_facts_are_shuffled_once_by_part(spark):
+    """The sums, the national sums and the part meet in one shuffle of the facts; no copy of the sums is shuffled."""
+    exchanges = [ln for ln in _plan(domain.employment(spark, SF_SMALL)).split("\n") if ln.startswith("Arguments: hashpartitioning(")]
+    assert len([ln for ln in exchanges if "l_partkey" in ln]) == 1
+    assert not [ln for ln in exchanges if "n_name" in ln and "l_partkey" in ln]
+
+
+def test_occupations_read_only_the_columns_needed(spark):
+    """Readers of the occupations scan the written wages table, without the columns that they do not use."""
+    occ = X.occupations(domain.employment(spark, SF_SMALL), domain.tech(spark, SF_SMALL), domain.apps(spark, SF_SMALL))
+    assert occ.inputFiles()
+    plan = _plan(occ.groupBy(X.AREA).agg(F.sum("A_MEAN")))
+    scans = [ln for ln in plan.split("\n") if ln.startswith("ReadSchema")]
+    assert scans and not [ln for ln in scans if "OCC_TITLE" in ln or "tech_intensity_score" in ln]

@@ -170,3 +170,30 @@ def test_merge_check_mends_multiplied_rows(spark):
         ("A", "111011", 1.0), ("A", "111012", None), ("B", "111011", 1.0)]
     merged, found = checked_merge(emp, tech.limit(1))
     assert not found["multiplied"] and merged.count() == 3
+
+
+def test_employment_of_odd_facts(spark):
+    """Facts without a part or a part key, parts sold in one area, negative and half-cent prices, two nations of a name."""
+    from workrisk.sources import domain
+    d = tempfile.mkdtemp()
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    write("nation", [(0, "A", 0), (1, "B", 0), (2, "B", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    write("supplier", [(1, 0), (2, 1), (3, 2)], "s_suppkey bigint, s_nationkey int")
+    write("part", [(1, "p1", "Brand#11", 5), (2, "p2", "Brand#12", 6)],
+          "p_partkey bigint, p_name string, p_brand string, p_size int")
+    write("lineitem", [(1, 1, 1.0, 0.125), (1, 2, 1.0, 10.0), (1, 3, 1.0, 20.0), (2, 1, 2.0, -0.125), (9, 1, 1.0, 30.0),
+                       (None, 2, 1.0, 40.0)], "l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double")
+    rows = {(r.AREA_TITLE, r.OCC_CODE): (r.OCC_TITLE, r.O_GROUP, r.TOT_EMP, r.A_MEAN)
+            for r in domain.employment(spark, d).filter("OCC_TITLE IS NOT NULL").collect()}
+    assert rows == {
+        ("A", "11-05000001"): ("p1", "detailed", "10", "5"), ("B", "11-05000001"): ("p1", "detailed", "20", "600"),
+        ("U.S.", "11-05000001"): ("p1", "detailed", "30", "401"),
+        ("A", "12-06000002"): ("p2", "detailed", "20", "-2"), ("U.S.", "12-06000002"): ("p2", "detailed", "20", "-2"),
+        ("A", "00-0000"): ("All Occupations", "total", "40", "300"),
+        ("B", "00-0000"): ("All Occupations", "total", "30", "933"),
+        ("U.S.", "00-0000"): ("All Occupations", "total", "70", "571")}
+    orphans = domain.employment(spark, d).filter("OCC_TITLE IS NULL").collect()
+    code = "null-null  null"
+    assert sorted((r.AREA_TITLE, r.OCC_CODE, r.O_GROUP, r.TOT_EMP, r.A_MEAN) for r in orphans) == [
+        ("A", code, "major", "10", "1,200"), ("B", code, "major", "10", "1,600"),
+        ("U.S.", code, "major", "10", "1,200"), ("U.S.", code, "major", "10", "1,600")]
