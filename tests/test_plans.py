@@ -76,3 +76,11 @@ def test_occupations_read_only_the_columns_needed(spark):
     plan = _plan(occ.groupBy(X.AREA).agg(F.sum("A_MEAN")))
     scans = [ln for ln in plan.split("\n") if ln.startswith("ReadSchema")]
     assert scans and not [ln for ln in scans if "OCC_TITLE" in ln or "tech_intensity_score" in ln]
+
+
+def test_summary_is_kept(spark):
+    """Dashboards of the same session read the summary once computed, not the occupations again."""
+    from workrisk.plans import q_exposure
+    s = q_exposure._summary(spark, SF_SMALL)
+    assert s is q_exposure._summary(spark, SF_SMALL)
+    assert "Scan parquet" not in _plan(DB.projections(s))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workrisk.operators import dashboards as DB
-from workrisk.plans.q_exposure import _result
+from workrisk.plans.q_exposure import _result, _summary
 from workrisk.plans.registry import query
 
 _top = """
@@ -22,7 +22,7 @@ _top = """
                count(*) OVER () AS n_areas FROM summary)""", views=("summary",),
        rounded=("current_ratio", "percentile"), group="dashboards", ops=("W4", "D2"))
 def area_rank(spark, d):
-    return DB.area_rank(_result(spark, d).summary).withColumn("rank", F.col("rank").cast("bigint"))
+    return DB.area_rank(_summary(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("top_occupations", sql=" UNION ALL ".join(
@@ -98,7 +98,7 @@ def risk_distribution(spark, d):
                                   AND b.current_ratio <= a.current_ratio * 1.25) WHERE rank <= 5""",
        views=("summary",), rounded=("current_index", "difference"), group="dashboards", ops=("J14", "W14", "D7"))
 def similar_areas(spark, d):
-    return DB.similar_areas(_result(spark, d).summary).withColumn("rank", F.col("rank").cast("bigint"))
+    return DB.similar_areas(_summary(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("projection", sql="""
@@ -112,7 +112,7 @@ def similar_areas(spark, d):
        rounded=("current_index",), money=("economic_value_at_risk", "employment_at_risk"),
        group="dashboards", ops=("P29", "D6", "P27"))
 def projection(spark, d):
-    return DB.projections(_result(spark, d).summary)
+    return DB.projections(_summary(spark, d))
 
 
 @query("national_overview", sql="""
@@ -132,7 +132,7 @@ def projection(spark, d):
        money=("total_economic_value_at_risk", "total_employment_at_risk", "total_economic_value", "total_employment"),
        group="dashboards", ops=("A16",))
 def national_overview(spark, d):
-    return DB.national_overview(_result(spark, d).summary)
+    return DB.national_overview(_summary(spark, d))
 
 
 _METRICS = """
@@ -151,7 +151,7 @@ _METRICS = """
        rounded=("current_index", "potential_index", "automation_gap", "projected_index", "economic_value_at_risk",
                 "workers_at_risk"), group="dashboards", ops=("A12",))
 def national_metrics(spark, d):
-    return DB.national_metrics(_result(spark, d).summary)
+    return DB.national_metrics(_summary(spark, d))
 
 
 @query("national_distribution", sql="""
@@ -177,7 +177,7 @@ def national_distribution(spark, d):
            'largest_gaps' FROM summary) WHERE rank <= 5""", views=("summary",), rounded=("value",),
        group="dashboards", ops=("W13", "W9"))
 def area_extremes(spark, d):
-    return DB.area_extremes(_result(spark, d).summary).withColumn("rank", F.col("rank").cast("bigint"))
+    return DB.area_extremes(_summary(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("group_average", sql="""
@@ -291,7 +291,7 @@ def gap_occupations(spark, d):
                                     "national_potential", "potential_differential", "automation_gap", "national_gap",
                                     "gap_differential"), group="dashboards", ops=("J15", "P27", "D7"))
 def area_comparison(spark, d):
-    return DB.comparison(_result(spark, d).summary)
+    return DB.comparison(_summary(spark, d))
 
 
 @query("top_groups", sql="""
@@ -354,7 +354,7 @@ def retraining(spark, d):
                  (4, 'Very Low Risk')) p(position, label))""", views=("summary",), rounded=("percentage",),
        money=("employment",), group="dashboards", ops=("A14", "D9"))
 def synthetic_distribution(spark, d):
-    return DB.synthetic_distribution(_result(spark, d).summary)
+    return DB.synthetic_distribution(_summary(spark, d))
 
 
 _FIXED2 = ("(CASE WHEN CAST(round(({x}) * 100.0) AS BIGINT) < 0 THEN '-' ELSE '' END"
@@ -383,7 +383,7 @@ def _fx(x: str) -> str:
        money=("total_employment",), group="dashboards", ops=("D10", "P30", "P31", "P32", "P14"))
 def area_dashboard(spark, d):
     r = _result(spark, d)
-    return DB.area_dashboard(r.summary, r.groups)
+    return DB.area_dashboard(_summary(spark, d), r.groups)
 
 
 @query("top_risk_areas", sql="""
@@ -395,7 +395,7 @@ def area_dashboard(spark, d):
        rounded=("current_index", "potential_index", "automation_gap"),
        money=("economic_value_at_risk", "workers_at_risk"), group="dashboards", ops=("W9", "P14"))
 def top_risk_areas(spark, d):
-    return DB.top_risk_areas(_result(spark, d).summary)
+    return DB.top_risk_areas(_summary(spark, d))
 
 
 _CHART = """
@@ -437,17 +437,17 @@ def _fx1(x: str) -> str:
        views=("summary", "groups"), group="dashboards", ops=("P32",))
 def key_insights(spark, d):
     r = _result(spark, d)
-    return DB.key_insights(DB.top_risk_areas(r.summary), DB.industry_risk_chart(r.groups),
-                           DB.national_metrics(r.summary))
+    s = _summary(spark, d)
+    return DB.key_insights(DB.top_risk_areas(s), DB.industry_risk_chart(r.groups), DB.national_metrics(s))
 
 
 @query("national_dashboard", sql=None, group="dashboards", ops=("D9",))
 def national_dashboard(spark, d):
     r = _result(spark, d)
-    return DB.national_dashboard(r.summary, r.groups)
+    return DB.national_dashboard(_summary(spark, d), r.groups)
 
 
 @query("area_documents", sql=None, group="dashboards", ops=("D2", "D3", "D4", "D5", "D6", "D7"))
 def area_documents(spark, d):
     r = _result(spark, d)
-    return DB.area_documents(r.summary, r.groups, r.occupations)
+    return DB.area_documents(_summary(spark, d), r.groups, r.occupations)

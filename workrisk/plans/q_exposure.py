@@ -9,6 +9,7 @@ from workrisk.operators.quality import employment_quality
 from workrisk.plans import oracle_exposure  # noqa: F401  (registers the oracle CTEs)
 from workrisk.plans.registry import query
 from workrisk.plans.stages import stage
+from workrisk.session import materialize
 from workrisk.sources import domain
 
 
@@ -17,6 +18,11 @@ def _result(spark, d) -> X.ExposureResult:
                                                                 domain.apps(spark, d)))
 
 
+def _summary(spark, d):
+    """One row per area, kept once computed."""
+    return stage(spark, d, "summary", lambda: materialize(_result(spark, d).summary))
+
+
 GROUP_MONEY = ("TOT_EMP", "economic_value", "potential_econ_value_at_risk", "current_econ_value_at_risk")
 GROUP_DOUBLES = ("automation_susceptibility", "enhanced_automation_risk",
                  "estimated_zapier_apps", "zapier_apps_per_worker", "minor_potential_index", "minor_current_index",
@@ -42,7 +48,7 @@ SUMMARY_DOUBLES = ("potential_ratio", "current_ratio", "automation_gap", "pct_po
                     coalesce(array_to_string(lowest_risk_industries, '|'), '') AS lowest_risk_industries)
   FROM summary""", views=("summary",), rounded=SUMMARY_DOUBLES, money=SUMMARY_MONEY, group="exposure", ops=("A5", "W3", "D1"))
 def area_summary(spark, d):
-    s = _result(spark, d).summary
+    s = _summary(spark, d)
     return (s.withColumn("highest_risk_industries", F.array_join("highest_risk_industries", "|"))
              .withColumn("lowest_risk_industries", F.array_join("lowest_risk_industries", "|")))
 
